@@ -7,20 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality
-from .shared import read_table
+from . import langid, license_scan, line_dedup, mixing, quality, toxicity
+from .shared import is_training, read_table
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "text", "lang")
+    model = langid.fit(docs.where(is_training("doc_id", 4, 2)))
+    found = langid.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (~is_training("doc_id", 4, 2)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def fit_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The production fit: labels of the training folds only."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(is_training("doc_id", 4, 2))
+    return toxicity.fit(docs, labels)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "text", "lang")
+    rows = toxicity.score(docs, fit_toxicity(spark, docs, sf_dir)).select("row.doc_id", "score", "threshold", "rejected")
+    predicted = (F.col("score") >= toxicity.DEFAULT_THRESHOLD).cast("int")
+    return rows.select("doc_id", (~is_training("doc_id", 4, 2)).alias("held_out"), "score", predicted.alias("predicted"), "threshold", "rejected")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(_documents(spark, sf_dir, "text"))
     base = F.col("failed_rules").bitwiseAND(F.lit(quality.rule_mask(quality.BASE)).cast("long")) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.passes("v2").alias("kept"), "n_lines", "failed_rules")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir, "text")).withColumnRenamed("id", "doc_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.probe(_documents(spark, sf_dir, "text"), digest=True)
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_sha256"))
@@ -34,7 +58,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_license_scan": op7_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
