@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, line_dedup, mixing, near_dup, quality, toxicity
+from . import langid, license_scan, line_dedup, lm_score, mixing, near_dup, pieces, quality, toxicity
 from .shared import is_training, read_table
 
 
@@ -15,6 +15,12 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sampled segmentation of every text; ``lossless``: decoding it gave the text back."""
+    rows = pieces.encode(_documents(spark, sf_dir, "text"))
+    return rows.select("row.doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "lossless", "ids")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir, "text"), width=4).withColumnRenamed("id", "doc_id")
 
@@ -61,7 +67,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "shuffle_key", F.md5("text").alias("text_md5"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lm_score.score(_documents(spark, sf_dir, "text"), "crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2")
+    return rows.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
@@ -69,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scan": op7_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_lm_score": op10_lm_score,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
