@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, line_dedup, lm_score, mixing, near_dup, pieces, quality, toxicity
+from . import langid, license_scan, line_dedup, lm_score, mixing, mtree, near_dup, pieces, quality, toxicity
 from .shared import is_training, read_table
 
 
@@ -25,6 +25,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir, "text"), width=4).withColumnRenamed("id", "doc_id")
 
 
+def op3_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.integer_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return mtree.search(vectors.where(F.col("id") % 50 == 0), vectors)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "text", "lang")
     model = langid.fit(docs.where(is_training("doc_id", 4, 2)))
@@ -75,6 +80,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_exact_search": op3_exact_search,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
@@ -105,6 +111,15 @@ r AS (
   UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.b AS component_id, d.doc_id = c.b AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) c ON c.a = d.doc_id""",
+    "op3_exact_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op6_quality_rules": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
