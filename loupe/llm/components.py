@@ -29,5 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = stored(_small_star(_large_star(now)).distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,9 +6,10 @@ independent trees.  A node picks one or (with chance 1/4) two of the minwise tok
 its own hash, and each set goes to the child named by its value of that token, so the
 expected number of children of a pair at the threshold 0.8 that stay together is one.
 Nodes of up to SMALL_NODE sets are compared exhaustively by signature; larger ones
-branch again, and what is still large at the last level shares LEVELS minwise tokens
-and is linked to the node's smallest member.  A pair at the threshold meets in a tree
-with a chance of 0.5 or more, in ten trees with 0.998 or more.
+branch again.  A large node that kept most of its parent's sets is dense (its sets agree
+on tokens picked at random), and so is what is still large at the last level: its sets
+are linked to its smallest member and branch no more.  A pair at the threshold meets in
+a tree with a chance of 0.5 or more, in ten trees with 0.998 or more.
 
 Those links only gather candidates: their connected components bring the texts
 together, each once.  There, full sets decide: groups of bounded size are linked
@@ -25,6 +26,7 @@ go to the smallest id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +76,8 @@ def signatures(grams: np.ndarray, starts: np.ndarray, n: int = SIGNATURE) -> np.
 
 SKETCH = 64
 TREES, LEVELS, SMALL_NODE = 10, 6, 32
+#: A large node with more than this share of its parent's sets is dense.
+DENSE = 0.6
 #: Signatures that agree less aren't candidates: three deviations under 0.8.
 LEAST_AGREEMENT = 0.65
 #: Most texts, and most shingles in all, of a group that one task links exactly.
@@ -105,17 +109,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
 
 
-def _children(node: np.ndarray, rep: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-    """The children of (node, set) rows: the node's hash picks one token, and with chance 1/4 a second."""
+def _children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of (node, set) rows and the rows they come from: the node's hash picks one token, and with chance 1/4 a second."""
     rows = np.arange(len(node))
     pick = mix(node ^ np.uint64(0xA5A5A5A5))
-    out_node, out_rep = [], []
+    children, sources = [], []
     for k, chosen in enumerate((rows, rows[(pick >> np.uint64(32)) % np.uint64(4) == 0])):
         token = ((pick[chosen] + np.uint64(k * 37)) % np.uint64(SKETCH)).astype(np.int64)
         value = sketch[chosen, token].astype(np.uint64)
-        out_node.append(mix(mix(node[chosen] + np.uint64(k + 1)) ^ (value + (token.astype(np.uint64) << np.uint64(32)))))
-        out_rep.append(rep[chosen])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_node).view(np.int64)), pa.array(np.concatenate(out_rep))], names=["node", "rep"])
+        children.append(mix(mix(node[chosen] + np.uint64(k + 1)) ^ (value + (token.astype(np.uint64) << np.uint64(32)))))
+        sources.append(chosen)
+    return np.concatenate(children).view(np.int64), np.concatenate(sources)
 
 
 def _plant(trees: int):
@@ -123,9 +127,10 @@ def _plant(trees: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rep, sketch = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            sketch = _matrix(batch.column(1))
             for tree in range(trees):
-                yield _children(np.full(len(rep), mix(np.array([tree + 1], np.uint64))[0]), rep, sketch)
+                node, row = _children(np.full(len(sketch), mix(np.array([tree + 1], np.uint64))[0]), sketch)
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(row))], names=["node", "rep"])
 
     return run
 
@@ -133,7 +138,9 @@ def _plant(trees: int):
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield _children(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2)))
+            node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(3)))
+            rep, size, sketch = (batch.column(k).take(pa.array(row)) for k in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(node), rep, size, sketch], names=["node", "rep", "parent_size", "sketch"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -175,22 +182,24 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE) -> DataFrame:
     """Candidate links (a, b) between representatives (rep, sketch)."""
-    rows = reps.mapInArrow(_plant(trees), "node long, rep long")
-    edges: DataFrame | None = None
+    rows = reps.select("rep", "sketch").mapInArrow(_plant(trees), "node long, rep long")
+    leaves, dense = [], []
     for level in range(1, levels + 1):
-        rows = stored(rows, "tree-rows")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-        members = stored(rows.join(sizes, "node"), "tree-nodes")
-        leaves = members.where(F.col("size") <= small).select("node", "rep").join(reps, "rep").select("node", "rep", "sketch")
-        pairs = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small, "a long, b long")
-        edges = pairs if edges is None else edges.unionByName(pairs)
+        members = rows.join(sizes, "node")
+        if level == 1:  # most sets have no company from the start; only the others bring their signatures
+            members = members.join(reps.select("rep", "sketch"), "rep").withColumn("parent_size", F.lit(None).cast("long"))
+        members = stored(members.select("node", "rep", "size", "sketch", "hub", "parent_size"), "tree-nodes")
+        leaves.append(members.where(F.col("size") <= small).select("node", "rep", "sketch"))
         large = members.where(F.col("size") > small)
-        if level == levels:
-            return edges.unionByName(large.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        if large.isEmpty():
-            return edges
-        rows = large.select("node", "rep").join(reps, "rep").select("node", "rep", "sketch").mapInArrow(_branch, "node long, rep long")
-    raise ValueError("levels must be 1 or more")
+        ended = F.coalesce(F.col("size") > DENSE * F.col("parent_size"), F.lit(False)) if level < levels else F.lit(True)
+        dense.append(large.where(ended).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+        open_ = large.where(~ended).select("node", "rep", "size", "sketch")
+        if level == levels or open_.isEmpty():
+            break
+        rows = open_.mapInArrow(_branch, "node long, rep long, parent_size long, sketch binary")
+    edges = functools.reduce(DataFrame.unionByName, leaves).repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small, "a long, b long")
+    return functools.reduce(DataFrame.unionByName, dense, edges)
 
 
 # -- confirming links on full sets
@@ -249,58 +258,57 @@ def _link_group(rep: np.ndarray, sets: _Sets, percent: int, first: np.ndarray, s
 
 
 def _confirm(width: int, percent: int):
-    """Rows (group, block, side, rep, text) -> edges (a, b) from each rep to its component's smallest in the block.
+    """Rows (group, block, side, rep, hub, text) -> edges (a, b) from each rep to its component's smallest in the block, and whether that holds the hub.
 
     Side 0 are the block's own texts, all compared; side 1 are residual texts, compared with those of side 0 only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
-            group, block, side, rep = (table.column(k).to_numpy() for k in range(4))
+            group, block, side, rep, hub = (table.column(k).to_numpy() for k in range(5))
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1), len(group)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                sets = _Sets(table.column(4).slice(lo, hi - lo), width)
+                sets = _Sets(table.column(5).slice(lo, hi - lo), width)
                 own, other = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
                 low = _link_group(rep[lo:hi], sets, percent, other if len(other) else own, own)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi]), pa.array(low), pa.array(group[lo:hi])], names=["a", "b", "group"])
+                with_hub = np.isin(low, low[rep[lo:hi] == hub[lo]])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi]), pa.array(low), pa.array(with_hub)], names=["a", "b", "with_hub"])
 
     return run
 
 
 def _blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    ready = rows.select("group", "block", "side", "rep", "text").repartition("group", "block").sortWithinPartitions("group", "block", "side", "rep")
-    return ready.mapInArrow(_confirm(width, percent), "a long, b long, group long")
+    ready = rows.select("group", "block", "side", "rep", "hub", "text").repartition("group", "block").sortWithinPartitions("group", "block", "side", "rep")
+    return ready.mapInArrow(_confirm(width, percent), "a long, b long, with_hub boolean")
 
 
-def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: int, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """Edges (a, b) of a forest whose components are those of the confirmed links.
+def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: int, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Labels (a: rep, b: smallest linked rep) of the groups linked in one task, and edges (a, b) of the others.
 
-    texts: rep, text.  groups: node, component (the candidate group) and n_shingles.
+    texts: rep, text.  groups: rep, component (the candidate group) and n_shingles.
     """
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("node").alias("hub"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("rep").alias("hub"))
     parts = F.greatest(F.ceil(F.col("n") / group_texts), F.ceil(F.col("total") / group_shingles)).cast("int")
     dealt = groups.join(sizes.select("component", parts.alias("parts"), "hub"), "component")
-    block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts"))).otherwise(0).cast("int")
-    dealt = dealt.select(F.col("component").alias("group"), F.col("node").alias("rep"), "parts", "hub", block.alias("block"))
+    block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))).otherwise(0).cast("int")
+    dealt = dealt.select(F.col("component").alias("group"), "rep", "parts", "hub", block.alias("block"))
     rows = stored(texts.join(dealt, "rep"), "group-texts")
-    hubs = rows.where((F.col("rep") == F.col("hub")) & (F.col("parts") > 1))
-    copies = hubs.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at != block").drop("block").withColumnRenamed("at", "block")
-    first = stored(_blocks(rows.unionByName(copies).withColumn("side", F.lit(0)), width, percent), "group-edges")
-    large = rows.where("parts > 1")
+    whole, large = rows.where("parts = 1"), rows.where("parts > 1")
+    one_task = _blocks(whole.withColumn("side", F.lit(0)), width, percent).select("a", "b")
     if large.isEmpty():
-        return first.select("a", "b")
+        return one_task, one_task.limit(0)
+    hubs = large.where(F.col("rep") == F.col("hub"))
+    copies = hubs.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at != block").drop("block").withColumnRenamed("at", "block")
+    first = stored(_blocks(large.unionByName(copies).withColumn("side", F.lit(0)), width, percent), "group-edges")
     # what no block linked to the hub meets all blocks of its group, in chunks
-    hub_of = large.select("group", "hub", "parts").distinct()
-    joined = components(first.join(hub_of.select("group"), "group", "left_semi").select("a", "b"))
-    linked = joined.join(hub_of.join(joined.withColumnRenamed("node", "hub"), "hub").select("component"), "component", "left_semi").select(F.col("node").alias("rep"))
-    residual = large.join(hub_of.select(F.col("hub").alias("rep")), "rep", "left_anti").join(linked, "rep", "left_anti")
-    residual = stored(residual.drop("hub"), "group-residual")
+    residual = stored(large.join(first.where("NOT with_hub").select(F.col("a").alias("rep")), "rep", "left_semi"), "group-residual")
     chunks = residual.groupBy("group").agg(F.ceil(F.count("*") / group_texts).cast("int").alias("chunks"))
     residual = residual.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("chunks")).cast("int"))
-    right = residual.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", (F.col("at") * F.col("chunks") + F.col("chunk")).alias("block"), F.lit(1).alias("side"), "rep", "text")
-    left = large.join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", (F.col("block") * F.col("chunks") + F.col("chunk")).alias("block"), F.lit(0).alias("side"), "rep", "text")
+    place = (F.col("at") * F.col("chunks") + F.col("chunk")).alias("block")
+    right = residual.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", place, F.lit(1).alias("side"), "rep", "hub", "text")
+    left = large.withColumnRenamed("block", "at").join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", place, F.lit(0).alias("side"), "rep", "hub", "text")
     second = _blocks(left.unionByName(right), width, percent)
-    return first.select("a", "b").unionByName(second.select("a", "b"))
+    return one_task, first.unionByName(second).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -310,14 +318,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
     classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "sketch")).alias("least"))
     classes = stored(classes.select("h1", "h2", "n_shingles", F.col("least.id").alias("rep"), F.col("least.sketch").alias("sketch")), "classes")
-    edges = candidate_edges(classes.select("rep", "sketch"), trees=trees, levels=levels, small=small)
-    groups = components(edges)
-    groups = groups.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n_shingles")), "node")
-    links = confirmed_edges(texts.withColumnRenamed("id", "rep"), groups, width, percent, group_texts, group_shingles)
+    gathered = components(candidate_edges(classes, trees=trees, levels=levels, small=small))
+    groups = classes.select("rep", "n_shingles").join(gathered.withColumnRenamed("node", "rep"), "rep")
+    labels, edges = confirmed_edges(texts.withColumnRenamed("id", "rep"), groups, width, percent, group_texts, group_shingles)
     shared = full.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")  # ids with several rows tie these rows' classes
-    ties = full.join(shared, "id").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(ties))
-    labels = classes.select("h1", "h2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    ties = stored(full.join(shared, "id").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")), "ties")
+    if not ties.isEmpty():
+        edges, labels = edges.unionByName(labels).unionByName(ties), labels.limit(0)
+    edges = stored(edges, "linked")
+    if not edges.isEmpty():
+        labels = labels.unionByName(components(edges).select(F.col("node").alias("a"), F.col("component").alias("b")))
+    labels = classes.select("h1", "h2", "n_shingles", "rep").join(labels.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles", "h1", "h2").join(labels, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))).otherwise(F.col("id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
