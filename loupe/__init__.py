@@ -1,0 +1 @@
+"""File catalogs and full-text search over them, as Spark DataFrames."""
