@@ -142,6 +142,20 @@ class _NearHit(Query):
         return self.near.hits_of(self.k, tokens)
 
 
+@dataclasses.dataclass(frozen=True)
+class _If(Query):
+    """A leaf whose hits count where the condition around it holds."""
+
+    leaf: Query
+    node: Query
+
+    def matches(self, tokens: Tokens) -> Column:
+        return self.leaf.matches(tokens)
+
+    def hits(self, tokens: Tokens) -> Column:
+        return F.when(self.node.matches(tokens), self.leaf.hits(tokens)).otherwise(0)
+
+
 @dataclasses.dataclass(frozen=True)
 class _Both(Query):
     a: Query
@@ -151,7 +165,7 @@ class _Both(Query):
         return self.a.matches(tokens) & self.b.matches(tokens)
 
     def scored(self) -> list[Query]:
-        return self.a.scored() + self.b.scored()
+        return [_If(leaf, self) for leaf in self.a.scored() + self.b.scored()]
 
     def within(self, *columns: str) -> Query:
         return dataclasses.replace(self, a=self.a.within(*columns), b=self.b.within(*columns))
@@ -162,6 +176,9 @@ class _Either(_Both):
     def matches(self, tokens: Tokens) -> Column:
         return self.a.matches(tokens) | self.b.matches(tokens)
 
+    def scored(self) -> list[Query]:
+        return self.a.scored() + self.b.scored()
+
 
 @dataclasses.dataclass(frozen=True)
 class _Without(_Both):
@@ -169,7 +186,7 @@ class _Without(_Both):
         return self.a.matches(tokens) & ~self.b.matches(tokens)
 
     def scored(self) -> list[Query]:
-        return self.a.scored()
+        return [_If(leaf, self) for leaf in self.a.scored()]
 
 
 def _phrase(text: str, **options) -> Phrase:
