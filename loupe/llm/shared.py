@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own = ""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    global _own
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own
     if not root:
-        root = tempfile.mkdtemp(prefix="loupe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own = tempfile.mkdtemp(prefix="loupe-")
     return root.rstrip("/")
 
 
