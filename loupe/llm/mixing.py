@@ -3,7 +3,8 @@
 A source's rate is its target share of the rows over its present share; a document
 is repeated Poisson(rate) times, by inverting the distribution at a number in [0, 1)
 that hashes the seed and the row's key, so a rerun or a retried task repeats it
-exactly.  Copies are then dealt over all partitions by a hash of (key, copy) and
+exactly.  A rate above LARGEST_RATE is drawn as a sum of independent draws of at most that
+rate, so a source's table of cumulative probabilities stays short.  Copies are then dealt over all partitions by a hash of (key, copy) and
 sorted by it: a global shuffle.
 
 Rows with a null source form a source of their own; null weights count as 0, sources
@@ -14,10 +15,14 @@ Columns named ``copy`` or ``shuffle_key`` are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The table of sources is broadcast up to this many rows (a row is a name and some tens of doubles).
+#: One inversion's largest mean: its table has at most 164 steps.
+LARGEST_RATE = 64.0
+#: The table of sources is broadcast up to this many rows, of a name and at most 164 doubles.
 MAX_BROADCAST_SOURCES = 20_000
 #: Beyond it, each source's row is repeated so often and its documents are dealt over the repeats.
 SALTS = 64
@@ -43,8 +48,18 @@ def poisson_steps(rate: Column) -> Column:
     return F.when(rate > 0, steps).otherwise(F.array(F.lit(1.0)))
 
 
+def _steps_of(rate: float) -> list[float]:
+    """``poisson_steps`` of a constant."""
+    out, total, log = [], 0.0, -rate
+    for k in range(math.ceil(rate + 10 * math.sqrt(rate) + 20) + 1):
+        log += math.log(rate / k) if k else 0.0
+        total += math.exp(log)
+        out.append(total)
+    return out
+
+
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, default: str = "1.0") -> DataFrame:
-    """One row per source: rows, target share, rate and the steps of its Poisson distribution.
+    """One row per source: rows, target share, rate, and the draws it takes: ``blocks`` of LARGEST_RATE and one with ``steps``.
 
     ``weights`` maps sources to weights; others get the SQL expression ``default`` over ``n_rows``.
     """
@@ -56,22 +71,30 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
     totals = counts.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
     shares = counts.crossJoin(F.broadcast(totals)).withColumn("target_share", F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(0.0))
     rates = shares.withColumn("rate", F.col("target_share") * F.col("all_rows") / F.col("n_rows"))
-    return rates.select("join_key", "source_key", "n_rows", "target_share", "rate", poisson_steps(F.col("rate")).alias("steps"))
+    blocks = F.greatest(F.ceil(F.col("rate") / LARGEST_RATE) - 1, F.lit(0)).cast("int")
+    return rates.select("join_key", "source_key", "n_rows", "target_share", "rate", blocks.alias("blocks"), poisson_steps(F.col("rate") - blocks * LARGEST_RATE).alias("steps"))
+
+
+def poisson_count(u: Column, steps: Column) -> Column:
+    """The Poisson number at u: how many steps it has passed."""
+    return F.size(F.filter(steps, lambda c: c <= u))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, default_weight: str = "1.0", key_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", max_broadcast: int = MAX_BROADCAST_SOURCES, salts: int = SALTS) -> DataFrame:
     """All columns of docs for each copy, with ``copy`` (int, from 1) and ``shuffle_key`` (long), in shuffled order."""
     docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, source_col, weights, default_weight).select("join_key", "steps")
+    rates = source_rates(docs, source_col, weights, default_weight).select("join_key", "blocks", "steps")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("join_key"), unit(seed, F.col(key_col)).alias("u"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("join_key"), F.col(key_col).cast("string").alias("draw_key"), unit(seed, F.col(key_col)).alias("u"))
     if len(rates.select("join_key").take(max_broadcast + 1)) <= max_broadcast:
         joined = rows.join(F.broadcast(rates), "join_key")
     else:
         rows = rows.withColumn("salt", F.floor(F.col("u") * 1e6).cast("int") % salts)
         rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.join(rates, ["join_key", "salt"])
-    times = F.size(F.filter("steps", lambda c: c <= F.col("u")))
+    whole = F.array(*map(F.lit, _steps_of(LARGEST_RATE)))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("blocks")), F.lit(0), lambda n, j: n + poisson_count(unit(seed, F.col("draw_key"), j), whole))
+    times = poisson_count(F.col("u"), F.col("steps")) + F.when(F.col("blocks") > 0, more).otherwise(0)
     copies = joined.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(f"row.{key_col}").cast("string"), F.lit("null")), F.col("copy"))), 1, 15), 16, 10).cast("long")
     dealt = copies.select("row.*", "copy", place.alias("shuffle_key"))

@@ -124,6 +124,9 @@ def test_mixing_follows_poisson(spark):
     per_doc = mixing.mix_sources(table).where("source = 'small'").groupBy("doc_id").count().groupBy("count").count().collect()
     shares = {r[0]: r[1] / 2000 for r in per_doc}
     assert abs(shares[5] - 0.1755) < 0.04 and abs(shares[3] - 0.1404) < 0.04
+    rare = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("large").alias("source"))
+    copies = [r["n"] for r in mixing.mix_sources(rare).where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert len(copies) == 3 and abs(sum(copies) - 1500) < 200 and max(abs(c - 500) for c in copies) < 120
     plan = mixing.mix_sources(table)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     steps = spark.range(1).select(mixing.poisson_steps(F.lit(900.0)).alias("s")).first()[0]
