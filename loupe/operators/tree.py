@@ -2,17 +2,21 @@
 
 Pointer doubling: after step k a node knows its ancestor 2^k links up and the names
 between, so 256 levels take at most nine self-joins on equal keys, whatever the shape
-of the tree.  A missing parent, or a node that is its own parent, is the root.  Nodes on
+of the tree; nodes that have reached the root leave the loop, and it ends with the
+deepest.  A missing parent, or a node that is its own parent, is the root.  Nodes on
 a cycle or deeper than the limit never reach a root and are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 MAX_DEPTH = 256
 _KEY = ["drive", "file_ref"]
 
@@ -41,19 +45,21 @@ def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exc
 
 def _double(links: DataFrame, max_depth: int, combine: Callable[[Column, Column], Column], value: str) -> DataFrame:
     """Follows ``up`` until it is null, combining ``value`` of the far link with the near one's; what doesn't end is dropped."""
-    span = 1
+    ended, links, span = [], staged(links, "links"), 1
     while span <= max_depth:
+        ended.append(links.where("up IS NULL"))
+        open_ = links.where("up IS NOT NULL")
+        if open_.isEmpty():
+            break
         far = links.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value"))
-        both = links.join(far, (F.col("drive") == F.col("f_drive")) & (F.col("up") == F.col("f_ref")), "left")
-        met = F.col("up").isNotNull()
-        links = both.select(*_KEY, F.when(met, F.col("f_up")).alias("up"), F.when(met, combine(F.col("f_value"), F.col(value))).otherwise(F.col(value)).alias(value))
-        links = links.checkpoint() if _has_checkpoint_dir(links) else links
+        known = reduce(DataFrame.unionByName, ended[:-1]).select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value")) if len(ended) > 1 else None
+        far = far if known is None else far.unionByName(known)
+        both = open_.join(far, (F.col("drive") == F.col("f_drive")) & (F.col("up") == F.col("f_ref")))
+        links = staged(both.select(*_KEY, F.col("f_up").alias("up"), combine(F.col("f_value"), F.col(value)).alias(value)), "links")
         span *= 2
-    return links.where("up IS NULL").drop("up")
-
-
-def _has_checkpoint_dir(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+    else:
+        ended.append(links.where("up IS NULL"))
+    return reduce(DataFrame.unionByName, ended).drop("up")
 
 
 def refs_to_paths(refs: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, present, text
 from ..operators import catalog, match, postings, search, tree
+from ..operators.staging import shared_folder
 from ..streaming import changes
 from . import views
 
@@ -425,8 +426,7 @@ def filetime_to_unix(spark: SparkSession, sf: str) -> DataFrame:
 @query(_APPLIED)
 def streaming_apply(spark: SparkSession, sf: str) -> DataFrame:
     """The change log as a stream of files, replayed to its end; equal to one batch as each batch holds later records only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loupe-stream-")
-    root = tempfile.mktemp(prefix="follow-", dir=base)
+    root = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
     log = views.change_log(spark, sf)
     log.repartitionByRange(2, "usn").sortWithinPartitions("usn").write.parquet(f"{root}/log")
     now = views.present(spark, sf)
