@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, present, text
-from ..operators import catalog, match, postings, search, tree
+from ..operators import catalog, match, postings, search, settings, tree
 from ..operators.staging import shared_folder
+from ..sources import files as sources
+from ..sources import records
 from ..streaming import changes
 from . import views
 
@@ -438,6 +440,39 @@ def streaming_apply(spark: SparkSession, sf: str) -> DataFrame:
     return store.read(running.lastProgress["batchId"] if running.lastProgress else 0).select("drive", "file_ref", "path", "size")
 
 
+@query("SELECT drive, journal_id::BIGINT AS journal_id, next_usn::BIGINT AS next_usn FROM (VALUES ('C', 1, 5000), ('D', 1, 9000), ('E', 3, 500), ('F', 7, 1)) t(drive, journal_id, next_usn)")
+def upsert_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    old = views.offsets(spark, [*views.SNAPSHOT_OFFSETS, ("f", 7, 1)])
+    return settings.upsert_offsets(old, views.offsets(spark, [(d.lower(), j, u) for d, j, u in views.CURRENT_OFFSETS]))
+
+
+# -- bytes
+
+
+def _little(value: Column, n: int) -> Column:
+    """Hex of a number's n bytes, the lowest first."""
+    return F.regexp_replace(F.reverse(F.lpad(F.hex(value.cast("long")), 2 * n, "0")), "(.)(.)", "$2$1")
+
+
+@query("""SELECT user_id AS file_ref, event_id AS parent_ref, event_id + 5 AS usn, 256::BIGINT AS reason, (event_id % 60)::DOUBLE AS modified, 'f' || event_id || 'é.txt' AS name FROM events""")
+def usn_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Journal records built from events (with sequence numbers above the references' 48 bits), then decoded."""
+    e = views.table(spark, sf, "events")
+    name = F.encode(F.concat(F.lit("f"), "event_id", F.lit("é.txt")), "UTF-16LE")
+    size = F.length(name)
+    ticks = F.when(F.col("event_id") % 60 == 0, F.lit(0).cast("long")).otherwise((F.col("event_id") % 60) * 10_000_000 + F.lit(116444736000000000))
+    parts = [(size + 60, 4), (F.lit(2), 2), (F.lit(0), 2), (F.col("user_id") + F.lit(3 << 48), 8), (F.col("event_id") + F.lit(1 << 48), 8), (F.col("event_id") + 5, 8), (ticks, 8), (F.lit(256), 4), (F.lit(0), 8), (F.lit(32), 4), (size, 2), (F.lit(60), 2)]
+    record = F.concat(F.unhex(F.concat(*(_little(v, n) for v, n in parts))), name)
+    return records.journal_records(e.select(record.alias("record"))).select("file_ref", "parent_ref", "usn", "reason", "modified", "name")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def extract_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as UTF-8 files, through the extraction route."""
+    f = views.contents(spark, sf).select(F.col("file_id").alias("doc_id"), F.lit(".md").alias("extension"), F.encode("content", "UTF-8").alias("content"))
+    return sources.extract(f).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 # -- presentation
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.present import filetime_to_unix
 
-_REF_MASK = 0x0000FFFFFFFFFFFF
 # 100 ns ticks from 1601 to 1970, and attribute types of a file record.
 _EPOCH_TICKS = 116444736000000000
 _STANDARD, _FILE_NAME, _DATA, _END = 0x10, 0x30, 0x80, 0xFFFFFFFF
@@ -24,12 +23,9 @@ _NAMESPACE_RANK = {1: 4, 3: 3, 0: 2, 2: 1}
 
 
 def _le(data: Column, offset: int, n: int) -> Column:
-    """The unsigned number of n bytes at a fixed offset; 8 bytes wrap as a signed long does."""
-    total = F.lit(0).cast("long")
-    for k in range(n):
-        byte = F.conv(F.hex(F.substring(data, offset + k + 1, 1)), 16, 10).cast("long")
-        total = total.bitwiseOR(F.shiftleft(byte, 8 * k))
-    return total
+    """The unsigned number of n bytes at a fixed offset, lowest first; null from 2^63 on."""
+    pairs = F.regexp_replace(F.reverse(F.hex(F.substring(data, offset + 1, n))), "(.)(.)", "$2$1")
+    return F.conv(pairs, 16, 10).try_cast("long")
 
 
 def journal_records(rows: DataFrame, data_col: str = "record") -> DataFrame:
@@ -39,8 +35,7 @@ def journal_records(rows: DataFrame, data_col: str = "record") -> DataFrame:
     sound = rows.where((F.length(data) >= 60) & (offset + length <= F.length(data)) & (length > 0))
     raw = F.substr(data, (offset + 1).cast("int"), length.cast("int"))
     return sound.select(
-        _le(data, 8, 8).bitwiseAND(F.lit(_REF_MASK)).alias("file_ref"),
-        _le(data, 16, 8).bitwiseAND(F.lit(_REF_MASK)).alias("parent_ref"),
+        _le(data, 8, 6).alias("file_ref"), _le(data, 16, 6).alias("parent_ref"),  # 48 bits; a sequence number follows
         _le(data, 52, 4).alias("attributes"), _le(data, 40, 4).alias("reason"), _le(data, 24, 8).alias("usn"),
         F.decode(raw, "UTF-16LE").alias("name"), filetime_to_unix(_le(data, 32, 8)).alias("modified"),
     )

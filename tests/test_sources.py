@@ -6,7 +6,9 @@ import struct
 import zipfile
 import zlib
 
-from loupe.sources import files, records
+from loupe.operators import settings
+from loupe.operators.tree import resolve_paths
+from loupe.sources import files, records, volume
 
 
 def archive(parts):
@@ -124,3 +126,56 @@ def test_file_records(spark, tmp_path):
     (tmp_path / "table").write_bytes(good + folder + b"\0" * 1024 + small)
     got = records.file_records(records.table_image(spark, str(tmp_path / "table"))).collect()
     assert sorted((r["file_ref"], r["name"], r["parent_ref"], r["size"]) for r in got) == [(0, "long name.txt", (1 << 33) + 5, big), (1, "dir", 5, 0), (3, "s", 5, 9)]
+
+
+def run_attribute(runs):
+    body = bytes(runs)
+    size = 64 + len(body) + -len(body) % 8
+    return (struct.pack("<IIBB", 0x80, size, 1, 0).ljust(32, b"\0") + struct.pack("<H", 64)).ljust(64, b"\0") + body.ljust(size - 64, b"\0")
+
+
+def test_volume_image(spark, tmp_path):
+    cluster = 2048
+    boot = bytearray(512)
+    struct.pack_into("<HB", boot, 0x0B, 512, 4)
+    struct.pack_into("<Q", boot, 0x30, 4)
+    struct.pack_into("<b", boot, 0x40, -10)
+    zero = file_record(name_attribute("$MFT", 1, 0), run_attribute([0x11, 2, 4, 0x11, 1, 6, 0]))  # clusters 4, 5 and 10
+    table = [zero, file_record(name_attribute("a", 1, 5), flags=3), file_record(name_attribute("b.txt", 1, 1)), b"\0" * 1024, file_record(name_attribute("c.txt", 1, 99)), b"\0" * 1024]
+    image = bytearray(cluster * 12)
+    image[:512] = boot
+    image[4 * cluster : 6 * cluster] = b"".join(table[:4])
+    image[10 * cluster : 11 * cluster] = b"".join(table[4:])
+    path = tmp_path / "c.img"
+    path.write_bytes(image)
+    found = volume.enumerate_volume(spark, str(path), "c")
+    assert sorted((r["file_ref"], r["name"], r["is_dir"]) for r in found.collect()) == [(0, "$MFT", False), (1, "a", True), (2, "b.txt", False), (4, "c.txt", False)]
+    assert {r["file_ref"]: r["path"] for r in resolve_paths(found, "C:/").collect()} == {1: "C:/a", 2: "C:/a/b.txt", 4: "C:/c.txt"}
+    spark.dataSource.register(volume.VolumeImage)
+    ranges = spark.read.format("volume_image").option("path", str(path)).option("rangeBytes", 2048).load()
+    assert ranges.rdd.getNumPartitions() == 3 and ranges.count() == 6
+
+
+def test_journal_listing_and_stream(spark, tmp_path):
+    data = struct.pack("<Q", 99) + journal_record(usn=1, name="old") + journal_record(usn=2, name="new") + journal_record(ref=6, usn=3)
+    listed = volume.journal_listing(spark.createDataFrame([(bytearray(data),)], "buffer binary"), "c").collect()
+    assert sorted((r["drive"], r["file_ref"], r["name"], r["size"]) for r in listed) == [("C", 5, "new", 0), ("C", 6, "n.txt", 0)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b1").write_bytes(data)
+    query = volume.journal_stream(spark, str(tmp_path / "in"), "c", 1, start_usn=2).writeStream.format("memory").queryName("journal_now").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["usn"], r["file_ref"]) for r in spark.table("journal_now").collect()) == [(2, 5), (3, 6)]
+    kinds = spark.createDataFrame([("C", "Fixed", "ntfs"), ("D", "cdrom", "NTFS"), ("E", "removable", "FAT32"), ("F", "fixed", None)], "drive string, kind string, file_system string")
+    assert [r["drive"] for r in volume.supported_volumes(kinds).collect()] == ["C"]
+
+
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    assert "node_modules" in settings.load(spark, path)["excluded_dirs"]
+    settings.save(spark, path, excluded_dirs=["z", "a"])
+    assert settings.load(spark, path)["excluded_dirs"] == ["a", "z"] and "C:\\Windows" in settings.load(spark, path)["excluded_paths"]
+    assert settings.add_path(["C:/A"], "c:\\a/") == ["C:/A"] and settings.add_path(["C:/A"], "C:/b") == ["C:/A", "C:/b"]
+    one = settings.distinct_paths(spark.createDataFrame([("C:/A",), ("c:\\a",), ("D:/x/../y",)], "path string"))
+    assert one.count() == 2
+    offsets = spark.createDataFrame([("C", 1, 5)], "drive string, journal_id long, next_usn long")
+    assert settings.offset_of(offsets, "c") == (1, 5) and settings.offset_of(offsets, "d") is None
