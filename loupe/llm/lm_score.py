@@ -46,7 +46,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         train = batch.column(1).to_numpy(zero_copy_only=False)
         table: dict[bytes, list[int]] = {}
-        for lo, _, scan in scans(batch.column(0), 8 << 20):
+        for lo, _, scan in scans(batch.column(0)):
             low = scan.lowered()
             s, e, owner = low.spans(NONSPACE)
             h = low.hashes(s, e)
