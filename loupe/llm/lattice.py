@@ -76,17 +76,19 @@ class Vocabulary:
         slot = (self.keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
         self.slots[slot[::-1]] = np.arange(len(slot))[::-1]  # a slot's first key
-        self.crowd = int(np.bincount(slot).max())
+        self.crowd = np.bincount(slot, minlength=1 << _SLOT_BITS).astype(np.int8)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is that of a prefix, and the piece's id or -1."""
-        at = self.slots[(h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
-        known = self.keys[at] == h
-        for k in range(1, self.crowd):
-            rest = np.flatnonzero(~known)
-            more = np.minimum(at[rest] + k, len(self.keys) - 1)
-            hit = self.keys[more] == h[rest]
-            at[rest[hit]], known[rest[hit]] = more[hit], True
+        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        at, crowd = self.slots[slot], self.crowd[slot]
+        known = (self.keys[at] == h) & (crowd > 0)
+        k = 1
+        while len(rest := np.flatnonzero((crowd > k) & ~known)):
+            hit = self.keys[at[rest] + k] == h[rest]
+            at[rest[hit]] += k
+            known[rest[hit]] = True
+            k += 1
         return known, np.where(known, self.ids[at], -1)
 
     def raw(self) -> list[bytes]:

@@ -20,7 +20,6 @@ a key like any other.  Other columns are carried.
 from __future__ import annotations
 
 import itertools
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,11 +36,18 @@ ALPHA = 1.0
 #: Characters of text whose words share one lattice batch.
 BATCH_CHARS = 1 << 20
 
-_WORD = re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+_CUT = "\ud801"  # between words; like LITERAL_SPACE it occurs in no text
 
 
 def _split(text: str) -> list[str]:
-    return _WORD.findall(SPACE + text.replace(SPACE, LITERAL_SPACE).replace(" ", SPACE)) if text else []
+    """The words of a text: each run of marks begins one, and a line end is one."""
+    if not text:
+        return []
+    marked = SPACE + text.replace(SPACE, LITERAL_SPACE).replace(" ", SPACE)
+    cut = marked.replace("\n", f"{_CUT}\n{_CUT}").replace(SPACE, _CUT + SPACE)
+    while f"{SPACE}{_CUT}{SPACE}" in cut:
+        cut = cut.replace(f"{SPACE}{_CUT}{SPACE}", SPACE + SPACE)
+    return list(filter(None, cut.split(_CUT)))
 
 
 def encode_texts(texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabulary, alpha: float = ALPHA) -> list[np.ndarray | None]:
