@@ -13,12 +13,11 @@ from ..functions.text import tokens
 
 
 def build(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """token, column, doc_id and positions (array<int>); grouped within a row's arrays, so nothing is shuffled."""
+    """token, column, doc_id and positions (array<int>): one aggregation that combines a document's rows before the shuffle."""
     fields = [F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("toks")) for c in columns]
     each = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*fields)).alias("f"))
-    words = each.select("doc_id", "f.column", "f.toks", F.explode(F.array_distinct("f.toks")).alias("token"))
-    places = F.filter(F.transform("toks", lambda t, i: F.when(t == F.col("token"), i)), lambda i: i.isNotNull())
-    return words.select("token", "column", "doc_id", places.alias("positions"))
+    words = each.select("doc_id", "f.column", F.posexplode("f.toks").alias("p", "token"))
+    return words.groupBy("token", "column", "doc_id").agg(F.array_sort(F.collect_list("p")).alias("positions"))
 
 
 def write(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
