@@ -5,12 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loupe.llm import langid, lm_score, pieces, toxicity
 from loupe.llm.lattice import Lattice, Vocabulary
 from loupe.llm.queries import QUERIES
+from loupe.llm.textscan import scans
 
 WORDS = {"aa": ["lorem", "ipsum", "dolor", "sit", "amet"], "bb": ["kuka", "talo", "yksi", "hyvä", "päivä"], "cc": ["straße", "über", "schön", "zwei", "wald"]}
 
@@ -85,6 +87,31 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_learns_long_tailed_words():
+    """120 telling words, each in 2 to 3 % of the toxic texts and under 0.5 % of all."""
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(1620)]
+    calm, vile = words[:1500], words[1500:]
+
+    def sample(n, every):
+        texts = []
+        for i in range(n):
+            text = list(rng.choice(calm, 60))
+            if i % every == 0:
+                for p in rng.choice(60, 3, False):
+                    text[p] = rng.choice(vile)
+            texts.append(" ".join(text))
+        pairs, owner = toxicity.word_buckets(next(scans(pa.array(texts)))[2])
+        return np.split(pairs, np.searchsorted(owner, np.arange(1, n))), np.arange(n) % every == 0
+
+    texts, toxic = sample(2400, 8)
+    net = toxicity.train(texts, toxic.astype(int))
+    net.shift += math.log(1 / 7)
+    texts, toxic = sample(800, 2)
+    found = np.array([net.score(t, np.zeros(len(t), int), 1)[0] for t in texts]) >= toxicity.DEFAULT_THRESHOLD
+    assert found[toxic].mean() > 0.6 and found[~toxic].mean() < 0.03
+
+
 def enumerate_segmentations(word, scores, v, index):
     if not word:
         return [((), 0.0)]
