@@ -2,14 +2,15 @@
 
 Texts are sets of word shingles.  Equal sets collapse into one class, whose smallest
 id represents it.  Every representative then starts at the root of several
-independent trees.  A node picks one or (with chance 1/4) two of the minwise tokens by
+trees, each with minwise values of its own.  A node picks one or (with chance 1/4) two of its tree's values by
 its own hash, and each set goes to the child named by its value of that token, so the
 expected number of children of a pair at the threshold 0.8 that stay together is one.
 Nodes of up to SMALL_NODE sets are compared exhaustively by signature; larger ones
 branch again.  A large node that kept most of its parent's sets is dense (its sets agree
 on tokens picked at random), and so is what is still large at the last level: its sets
 are linked to its smallest member and branch no more.  A pair at the threshold meets in
-a tree with a chance of 0.5 or more, in ten trees with 0.998 or more.
+a tree with a chance of 0.51 at the last level (simulated), in none of 14 trees with one of
+4e-5; the signatures' cut takes it with one of 2e-8 (exact binomial), in all trees at once.
 
 Those links only gather candidates: their connected components bring the texts
 together, each once.  There, full sets decide: groups of bounded size are linked
@@ -39,9 +40,6 @@ from .shared import stored
 from .textscan import NONSPACE, Scan, keyed, mix, scans, windows
 
 SIGNATURE = 128
-_rng = np.random.default_rng(20240601)
-_XOR = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32)
-_MUL = _rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_sets(scan: Scan, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,27 +66,32 @@ def shingle_sets(scan: Scan, width: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(grams: np.ndarray, starts: np.ndarray, n: int = SIGNATURE) -> np.ndarray:
     """n minwise values (uint32) of each nonempty set; sets begin at ``starts``."""
     x = (grams >> np.uint64(32)).astype(np.uint32)
+    seeds = mix(np.arange(n, dtype=np.uint64) + np.uint64(20240601))
+    xor, mul = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
     out = np.empty((len(starts), n), np.uint32)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], starts)
+        out[:, k] = np.minimum.reduceat((x ^ xor[k]) * mul[k], starts)
     return out
 
 
 SKETCH = 64
-TREES, LEVELS, SMALL_NODE = 10, 6, 32
+#: Every tree has so many minwise values of its own.
+TOKENS = 12
+TREES, LEVELS, SMALL_NODE = 14, 6, 32
 #: A large node with more than this share of its parent's sets is dense.
 DENSE = 0.6
-#: Signatures that agree less aren't candidates: three deviations under 0.8.
-LEAST_AGREEMENT = 0.65
+#: Signatures that agree less aren't candidates: six deviations under 0.8.
+LEAST_AGREEMENT = 0.5
 #: Most texts, and most shingles in all, of a group that one task links exactly.
 GROUP_TEXTS, GROUP_SHINGLES = 512, 1_000_000
 
 
-def _sketch(width: int):
+def _sketch(width: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, h1, h2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             sketch: list[bytes | None] = [None] * batch.num_rows
+            tokens: list[bytes | None] = [None] * batch.num_rows
             for lo, _, scan in scans(batch.column(1)):
                 grams, texts = shingle_sets(scan, width)
                 if not len(grams):
@@ -98,25 +101,26 @@ def _sketch(width: int):
                 size[at] = np.diff(np.append(starts, len(grams)))
                 h1[at] = np.add.reduceat(mix(grams), starts).view(np.int64)
                 h2[at] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
-                for i, row in zip(at, signatures(grams, starts, SKETCH), strict=True):
-                    sketch[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(h1), pa.array(h2), pa.array(sketch, pa.binary())], names=["id", "n_shingles", "h1", "h2", "sketch"])
+                values = (signatures(grams, starts, SKETCH + trees * TOKENS) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+                for i, row in zip(at, values, strict=True):
+                    sketch[i], tokens[i] = row[:SKETCH].tobytes(), row[SKETCH:].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(h1), pa.array(h2), pa.array(sketch, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "n_shingles", "h1", "h2", "sketch", "tokens"])
 
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SKETCH)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
 
 
-def _children(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The children of (node, set) rows and the rows they come from: the node's hash picks one token, and with chance 1/4 a second."""
     rows = np.arange(len(node))
     pick = mix(node ^ np.uint64(0xA5A5A5A5))
     children, sources = [], []
     for k, chosen in enumerate((rows, rows[(pick >> np.uint64(32)) % np.uint64(4) == 0])):
-        token = ((pick[chosen] + np.uint64(k * 37)) % np.uint64(SKETCH)).astype(np.int64)
-        value = sketch[chosen, token].astype(np.uint64)
+        token = ((pick[chosen] + np.uint64(k * 37)) % np.uint64(TOKENS)).astype(np.int64)
+        value = tokens[chosen, token].astype(np.uint64)
         children.append(mix(mix(node[chosen] + np.uint64(k + 1)) ^ (value + (token.astype(np.uint64) << np.uint64(32)))))
         sources.append(chosen)
     return np.concatenate(children).view(np.int64), np.concatenate(sources)
@@ -127,10 +131,10 @@ def _plant(trees: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = _matrix(batch.column(1))
+            tokens = _matrix(batch.column(1), trees * TOKENS)
             for tree in range(trees):
-                node, row = _children(np.full(len(sketch), mix(np.array([tree + 1], np.uint64))[0]), sketch)
-                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(row))], names=["node", "rep"])
+                node, row = _children(np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0]), tokens[:, tree * TOKENS : (tree + 1) * TOKENS])
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), tree, np.int32))], names=["node", "rep", "tree"])
 
     return run
 
@@ -138,9 +142,9 @@ def _plant(trees: int):
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(3)))
-            rep, size, sketch = (batch.column(k).take(pa.array(row)) for k in (1, 2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(node), rep, size, sketch], names=["node", "rep", "parent_size", "sketch"])
+            node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4), TOKENS))
+            rep, size, sketch, own = (batch.column(k).take(pa.array(row)) for k in (1, 2, 3, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(node), rep, size, sketch, own], names=["node", "rep", "parent_size", "sketch", "own"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -167,7 +171,7 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """All pairs of each small node whose signatures agree enough; row i meets row i + k for every k."""
     for table in _groups(batches):
         node, rep = table.column(0).to_numpy(), table.column(1).to_numpy()
-        sketch = _matrix(table.column(2).combine_chunks())
+        sketch = _matrix(table.column(2).combine_chunks(), SKETCH)
         a, b = [], []
         for k in range(1, len(node)):
             i = np.flatnonzero(node[:-k] == node[k:])
@@ -181,23 +185,23 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE) -> DataFrame:
-    """Candidate links (a, b) between representatives (rep, sketch)."""
-    rows = reps.select("rep", "sketch").mapInArrow(_plant(trees), "node long, rep long")
+    """Candidate links (a, b) between representatives (rep, sketch, tokens)."""
+    rows = reps.select("rep", "tokens").mapInArrow(_plant(trees), "node long, rep long, tree int")
     leaves, dense = [], []
     for level in range(1, levels + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
         members = rows.join(sizes, "node")
         if level == 1:  # most sets have no company from the start; only the others bring their signatures
-            members = members.join(reps.select("rep", "sketch"), "rep").withColumn("parent_size", F.lit(None).cast("long"))
-        members = stored(members.select("node", "rep", "size", "sketch", "hub", "parent_size"), "tree-nodes")
+            members = members.join(reps.select("rep", "sketch", "tokens"), "rep").withColumn("own", F.expr(f"substring(tokens, tree * {2 * TOKENS} + 1, {2 * TOKENS})")).withColumn("parent_size", F.lit(None).cast("long"))
+        members = stored(members.select("node", "rep", "size", "sketch", "own", "hub", "parent_size"), "tree-nodes")
         leaves.append(members.where(F.col("size") <= small).select("node", "rep", "sketch"))
         large = members.where(F.col("size") > small)
         ended = F.coalesce(F.col("size") > DENSE * F.col("parent_size"), F.lit(False)) if level < levels else F.lit(True)
         dense.append(large.where(ended).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        open_ = large.where(~ended).select("node", "rep", "size", "sketch")
+        open_ = large.where(~ended).select("node", "rep", "size", "sketch", "own")
         if level == levels or open_.isEmpty():
             break
-        rows = open_.mapInArrow(_branch, "node long, rep long, parent_size long, sketch binary")
+        rows = open_.mapInArrow(_branch, "node long, rep long, parent_size long, sketch binary, own binary")
     edges = functools.reduce(DataFrame.unionByName, leaves).repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small, "a long, b long")
     return functools.reduce(DataFrame.unionByName, dense, edges)
 
@@ -227,11 +231,11 @@ class _Sets:
         return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
     def likely(self, i: int, among: np.ndarray, percent: int) -> np.ndarray:
-        """Those of ``among`` that sizes and signatures don't rule out, the most alike first; a signature errs by 4 deviations once in 30,000."""
+        """Those of ``among`` that sizes and signatures don't rule out, the most alike first; a signature errs by 6 deviations with a chance of 3e-8 at 0.8."""
         size = self.size[among]
         among = among[100 * np.minimum(size, self.size[i]) >= percent * np.maximum(size, self.size[i])]
         agree = (self.signature[among] == self.signature[i]).mean(1)
-        least = percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
+        least = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
         order = np.argsort(-agree, kind="stable")
         return among[order[agree[order] >= least]]
 
@@ -314,10 +318,10 @@ def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: in
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links of ``percent`` or more) and kept of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(texts.mapInArrow(_sketch(width), "id long, n_shingles long, h1 long, h2 long, sketch binary"), "sketches")
+    sketches = stored(texts.mapInArrow(_sketch(width, trees), "id long, n_shingles long, h1 long, h2 long, sketch binary, tokens binary"), "sketches")
     full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "sketch")).alias("least"))
-    classes = stored(classes.select("h1", "h2", "n_shingles", F.col("least.id").alias("rep"), F.col("least.sketch").alias("sketch")), "classes")
+    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "sketch", "tokens")).alias("least"))
+    classes = stored(classes.select("h1", "h2", "n_shingles", F.col("least.id").alias("rep"), F.col("least.sketch").alias("sketch"), F.col("least.tokens").alias("tokens")), "classes")
     gathered = components(candidate_edges(classes, trees=trees, levels=levels, small=small))
     groups = classes.select("rep", "n_shingles").join(gathered.withColumnRenamed("node", "rep"), "rep")
     labels, edges = confirmed_edges(texts.withColumnRenamed("id", "rep"), groups, width, percent, group_texts, group_shingles)

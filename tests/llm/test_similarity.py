@@ -63,6 +63,18 @@ def test_near_duplicates(spark, width, options):
     assert sorted(tuple(r) for r in got) == brute_components(rows, width)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs that share exactly 80 of 100 words: none is lost to a signature's chance."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for pair in range(4000):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 50, 100)]
+        rows += [(2 * pair, " ".join(words[:90])), (2 * pair + 1, " ".join(words[:80] + words[90:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs, width=1).where("component_id != id - id % 2").count()
+    assert got == 0
+
+
 def test_near_duplicates_odd_ids(spark):
     long = "a b c d e f g h i j k l m n o p"
     rows = [(5, long), (5, long), (7, long), (None, long), (None, None), (8, "other words that stand alone here now"), (9, "x y z q w e r t"), (9, long)]
