@@ -502,6 +502,20 @@ def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "documents").select("doc_id", F.md5(shown).alias("shown"), cut.alias("was_cut"))
 
 
+@query()
+def highlight_page(spark: SparkSession, sf: str) -> DataFrame:
+    """highlight_snippet at the operator's own limits; SQL can't stop at the 500th match, so a test compares it by brute force."""
+    cut, _ = present.preview(F.col("html"))
+    return views.table(spark, sf, "pages").select("page_id", present.highlight(cut, present.highlight_terms("the OR div*")).alias("html"))
+
+
+@query(f"SELECT doc_id, md5(substr(text, 1, {present.PREVIEW_CHARS})) AS shown, length(text) > {present.PREVIEW_CHARS} AS was_cut FROM documents")
+def preview_document(spark: SparkSession, sf: str) -> DataFrame:
+    """preview_truncate at the operator's own limit."""
+    shown, cut = present.preview(F.col("text"))
+    return views.table(spark, sf, "documents").select("doc_id", F.md5(shown).alias("shown"), cut.alias("was_cut"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::INTEGER AS n FROM documents")
 def find_count(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "documents").select("doc_id", present.find_count(F.col("text"), "The").alias("n"))

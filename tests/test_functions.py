@@ -1,13 +1,16 @@
 """Path, text and presentation expressions on hand-made edge cases."""
 
+import hashlib
 import html
 import os
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from loupe.functions import paths, present, text
+from loupe.plans.queries import QUERIES
 
 
 def column(spark, values, expression, kind="string"):
@@ -95,3 +98,18 @@ def test_highlight(spark):
     assert column(spark, given[2:], lambda x: present.highlight(x, ["a"], limit=2)) == ["<b>a</b><b>a</b>aa"]
     assert column(spark, ["<'\">&"], present.html_escape) == [html.escape("<'\">&")]
     assert column(spark, ["AxaXa", "", "b"], lambda x: present.find_count(x, "a")) == [3, 0, 0]
+
+
+def test_previews_at_the_production_limits(spark, tmp_path):
+    texts = ["<p>a</p>\n" * 400 + "the <DIV>", "The end & 'x'\n" * 3000, "<div>" * 499 + "the", "the" * 501, "y" * 102_390 + "<div>" + "the" * 20, None]
+    schema = "page_id long, html string"
+    spark.createDataFrame(list(enumerate(texts)), schema).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def marked(x):
+        return re.sub("(?i)(the|div)", r"<b>\1</b>", html.escape(x[:102_400]), count=500).replace("\n", "<br>")
+
+    got = dict(QUERIES["highlight_page"](spark, str(tmp_path)).collect())
+    assert got == {i: None if x is None else marked(x) for i, x in enumerate(texts)}
+    got = {r["doc_id"]: (r["shown"], r["was_cut"]) for r in QUERIES["preview_document"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if x is None else (hashlib.md5(x[:102_400].encode()).hexdigest(), len(x) > 102_400) for i, x in enumerate(texts)}
