@@ -2,15 +2,19 @@
 
 A word's lattice has a node before each character and one after the last, and an edge
 for every vocabulary piece that fits; a character without a piece of its own gets one
-edge, its UTF-8 bytes.  Edges, forward and backward sums and samples are numpy arrays
-over all words of a batch, so their cost is a few array operations an edge.
+edge, spelled by the pieces of its UTF-8 bytes.  Edges, forward and backward sums and samples
+are numpy arrays over all words of a batch, so their cost is a few array operations an edge;
+a batch takes as many steps as its longest word has characters.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 
-from .textscan import Scan
+from .textscan import mix
 
 SPACE = "▁"
 #: Stands for a literal SPACE character of a text; a lone surrogate occurs in no UTF-8 text.
@@ -52,11 +56,14 @@ class Vocabulary:
             log = -np.log(scores[usable].max() - scores + 2.0, where=usable, out=np.zeros(n))
         else:
             log = np.where(usable, scores, 0.0)
-        least = log[usable].min()
-        #: Log scores by piece id; n .. n + 3 are characters of one to four bytes without a piece.
-        self.scores = np.concatenate([np.where(usable, log, least), least * np.arange(1, 5)])
-        total = np.logaddexp.reduce(self.scores[:n][usable])
-        self.scores -= total
+        if (scores[self.byte_ids] == 0).all():  # ranks again: bytes are the rarest pieces
+            log[self.byte_ids] = log[usable].min()
+        else:
+            log[self.byte_ids] = scores[self.byte_ids]
+        drawn = usable.copy()
+        drawn[self.byte_ids] = True
+        #: Log probabilities by piece id; pieces that no text can hold have none.
+        self.scores = np.where(drawn, log - np.logaddexp.reduce(log[drawn]), -np.inf)
         self._index(usable)
 
     def _index(self, usable: np.ndarray) -> None:
@@ -68,8 +75,12 @@ class Vocabulary:
                 ids.setdefault(piece[:k], -1)
             ids[piece] = int(i)
         texts = list(ids)
-        scan, bounds = _characters(texts)
-        keys = scan.hashes(bounds[:-1], bounds[1:])
+        points, bounds = _characters(texts)
+        sizes = np.diff(bounds)
+        keys, open_ = np.full(len(texts), _START), np.arange(len(texts))
+        for k in range(int(sizes.max())):
+            open_ = open_[sizes[open_] > k]
+            keys[open_] = _extended(keys[open_], points[bounds[open_] + k])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(ids.values()))[order]
         self.longest = max(map(len, texts))
@@ -99,14 +110,17 @@ class Vocabulary:
         return values
 
 
-def _characters(texts: list[str]) -> tuple[Scan, np.ndarray]:
-    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-    return Scan(data, bounds), bounds
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+
 
+_START = np.uint64(0x51ED270B9F3C6A85)
 
-def _utf8_length(points: np.ndarray) -> np.ndarray:
-    return 1 + (points >= 0x80).astype(int) + (points >= 0x800) + (points >= 0x10000)
+
+def _extended(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings, each with one more character."""
+    return mix(h ^ (points.astype(np.uint64) + np.uint64(1)))
 
 
 def _stable_order(small: np.ndarray) -> np.ndarray:
@@ -118,40 +132,50 @@ class Lattice:
     """The lattices of some nonempty words; node k of word w is ``base[w] + k``."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
-        scan, bounds = _characters(words)
-        lengths = np.diff(bounds)
-        word = np.repeat(np.arange(len(words)), lengths)
-        stop = np.repeat(bounds[1:], lengths)
+        self.points, bounds = _characters(words)
+        n, lengths = len(self.points), np.diff(bounds)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         self.base = bounds[:-1] + np.arange(len(words))
         self.final = self.base + lengths
-        self.n_nodes = len(scan.data) + len(words)
+        self.n_nodes = n + len(words)
         starts, ends, pieces = [], [], []
-        active = np.arange(len(scan.data))
+        active, h = np.arange(n, dtype=np.int32), np.full(n, _START)
         for length in range(1, vocabulary.longest + 1):
-            active = active[active + length <= stop[active]]
+            room = active + length <= bounds[1:][word[active]]
+            active, h = active[room], h[room]
             if not len(active):
                 break
-            h = scan.hashes(active, active + length)
+            h = _extended(h, self.points[active + length - 1])
             known, piece = vocabulary.find(h)
             if length == 1:
-                piece = np.where(piece < 0, vocabulary.n - 1 + _utf8_length(scan.data), piece)
+                alone = np.flatnonzero(piece < 0)
+                unknown, which = np.unique(self.points[alone], return_inverse=True)
+                piece[alone] = vocabulary.n + which
             hit = piece >= 0
             starts.append(active[hit] + word[active[hit]])
-            ends.append(starts[-1] + length)
-            pieces.append(piece[hit])
-            active = active[known]
-        depth_of = np.zeros(self.n_nodes, np.int64)
-        depth_of[np.arange(len(scan.data)) + word + 1] = np.arange(len(scan.data)) - bounds[:-1][word] + 1
-        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, pieces))
+            ends.append(starts[-1] + np.int32(length))
+            pieces.append(piece[hit].astype(np.int32))
+            active, h = active[known], h[known]
+        #: Byte pieces of the characters without a piece of their own: ids vocabulary.n, vocabulary.n + 1, ...
+        self.spelling = [vocabulary.byte_ids[np.frombuffer((chr(p) if p != ord(LITERAL_SPACE) else SPACE).encode(), np.uint8)] for p in (unknown.tolist() if n else [])]
+        self.n_pieces = vocabulary.n
+        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (starts, ends, pieces))
         order = np.argsort(end, kind="stable")  # a merge of the runs above
         self.start, self.end, self.piece = start[order], end[order], piece[order]
-        self.by_depth = _stable_order(depth_of[self.end])
+        depth_of = np.zeros(self.n_nodes, np.int32)
+        at = np.arange(n, dtype=np.int32)
+        depth_of[at + word + 1] = at - bounds[:-1][word] + 1
+        self.by_depth = _stable_order(depth_of[self.end]).astype(np.int32)
         self.depth = depth_of[self.end][self.by_depth]
-        self.points = scan.data
 
-    def _layers(self, key: np.ndarray) -> list[slice]:
+    def _weights(self, scores: np.ndarray) -> np.ndarray:
+        """The edges' weights: their pieces' scores, or the sums of their bytes' scores."""
+        return np.concatenate([scores, [scores[ids].sum() for ids in self.spelling]])[self.piece]
+
+    def _layers(self, key: np.ndarray) -> Iterator[slice]:
         cuts = np.flatnonzero(np.diff(key)) + 1
-        return [slice(a, b) for a, b in zip(np.append(0, cuts), np.append(cuts, len(key)), strict=True)] if len(key) else []
+        for a, b in zip(itertools.chain((0,), cuts), itertools.chain(cuts, (len(key),) if len(key) else ()), strict=False):
+            yield slice(a, b)
 
     @staticmethod
     def _sum_into(out: np.ndarray, node: np.ndarray, value: np.ndarray) -> None:
@@ -163,16 +187,16 @@ class Lattice:
 
     def forward(self, scores: np.ndarray) -> np.ndarray:
         """Log weight of all paths from a word's start to each node."""
-        alpha = np.full(self.n_nodes, -np.inf)
+        alpha, weight = np.full(self.n_nodes, -np.inf), self._weights(scores)
         alpha[self.base] = 0.0
         for layer in self._layers(self.depth):
             e = self.by_depth[layer]
-            self._sum_into(alpha, self.end[e], alpha[self.start[e]] + scores[self.piece[e]])
+            self._sum_into(alpha, self.end[e], alpha[self.start[e]] + weight[e])
         return alpha
 
-    def expected(self, scores: np.ndarray, times: np.ndarray, n_pieces: int) -> np.ndarray:
+    def expected(self, scores: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece when word w occurs times[w] times."""
-        alpha = self.forward(scores)
+        alpha, weight = self.forward(scores), self._weights(scores)
         beta = np.full(self.n_nodes, -np.inf)
         beta[self.final] = 0.0
         size = np.repeat(self.final - self.base, self.final - self.base + 1)
@@ -182,45 +206,46 @@ class Lattice:
         order = by_start[_stable_order(left[by_start])]
         for layer in self._layers(left[order]):
             e = order[layer]
-            self._sum_into(beta, self.start[e], beta[self.end[e]] + scores[self.piece[e]])
+            self._sum_into(beta, self.start[e], beta[self.end[e]] + weight[e])
         w = word[self.start]
-        weight = np.exp(alpha[self.start] + scores[self.piece] + beta[self.end] - alpha[self.final[w]])
-        return np.bincount(self.piece, weights=weight * times[w], minlength=n_pieces)
+        share = np.exp(alpha[self.start] + weight + beta[self.end] - alpha[self.final[w]])
+        uses = np.bincount(self.piece, weights=share * times[w], minlength=self.n_pieces + len(self.spelling))
+        for k, ids in enumerate(self.spelling):
+            np.add.at(uses, ids, uses[self.n_pieces + k])
+        return uses[: self.n_pieces]
 
     def sample(self, scores: np.ndarray, words: np.ndarray, noise) -> tuple[np.ndarray, np.ndarray]:
         """One segmentation for each of ``words`` (word numbers), drawn backward from the forward sums.
 
         noise(which, step) gives numbers in [0, 1) for the occurrences ``which``.  Returns the
-        edges of all segmentations in reading order, and each one's number of edges.
+        edges of all segmentations in reading order, and each one's number of edges.  A draw
+        reads sums over its node's edges only, so it doesn't depend on a word's neighbours.
         """
         alpha = self.forward(scores)
-        end = self.end
-        share = np.exp(alpha[self.start] + scores[self.piece] - alpha[end])
-        total = np.cumsum(share)
-        n_in = np.bincount(end, minlength=self.n_nodes)
-        stop = np.cumsum(n_in)  # of each node's edges in this order
-        before = np.append(0.0, total)[stop - n_in][end]
-        step_up = np.minimum((total - before) / (total[stop[end] - 1] - before), 1.0) + end
+        upto = np.exp(alpha[self.start] + self._weights(scores) - alpha[self.end])
+        n_in = np.bincount(self.end, minlength=self.n_nodes)
+        first = np.cumsum(n_in) - n_in
+        rank = np.arange(len(self.end)) - first[self.end]
+        by_rank = _stable_order(rank)
+        for layer in itertools.islice(self._layers(rank[by_rank]), 1, None):
+            at = by_rank[layer]
+            upto[at] += upto[at - 1]
         which = np.argsort(words, kind="stable")  # near nodes are looked up together
-        node, taken, step = self.final[words[which]], [], 0
+        node, step = self.final[words[which]], 0
+        stop = np.cumsum((self.final - self.base)[words])  # as many places as characters, filled from the back
+        places = np.full(int(stop[-1]) if len(stop) else 0, -1, np.int32)
         is_base = np.zeros(self.n_nodes, bool)
         is_base[self.base] = True
         n_edges = np.zeros(len(words), np.int64)
         while len(which):
-            at = np.searchsorted(step_up, node + noise(which, step), "right")
-            edge = np.minimum(at, stop[node] - 1)
-            taken.append((which, edge))
+            edge, last = first[node], first[node] + n_in[node] - 1
+            goal = noise(which, step) * upto[last]
+            rest = np.flatnonzero(edge < last)
+            while len(rest := rest[(edge[rest] < last[rest]) & (upto[edge[rest]] <= goal[rest])]):
+                edge[rest] += 1
+            places[stop[which] - 1 - step] = edge
             n_edges[which] += 1
-            node = self.start[edge]
+            node = self.start[edge].astype(np.int64)
             more = ~is_base[node]
             node, which, step = node[more], which[more], step + 1
-        offset = np.cumsum(n_edges)
-        out = np.empty(int(offset[-1]) if len(offset) else 0, np.int64)
-        for k, (w, edge) in enumerate(taken):
-            out[offset[w] - 1 - k] = edge
-        return out, n_edges
-
-    def point(self, edges: np.ndarray) -> np.ndarray:
-        """The character at which each edge starts."""
-        word = np.searchsorted(self.base, self.start[edges], "right") - 1
-        return self.points[self.start[edges] - word]
+        return places[places >= 0], n_edges

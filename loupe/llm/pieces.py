@@ -12,9 +12,10 @@ text for every segmentation.  Characters without a piece, and a literal mark, ar
 encoded by their bytes.
 
 A null text has null ids and decodes to null; an empty one has no ids and decodes to the
-empty text.  Rows with equal keys draw
-equal numbers, so repeated rows and copies of a document get equal ids.  A null key is
-a key like any other.  Other columns are carried.
+empty text; bytes that aren't UTF-8 become replacement characters first.  A very long text
+is encoded whole, alone in its batch.  Rows with equal keys draw equal numbers, so repeated
+rows and copies of a document get equal ids.  A null key is a key like any other.  Other
+columns, whatever their names, are carried in ``row``.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .textscan import mix
 #: Sharpness of the sampling: weights are scores to this power; 1 samples by the scores, large values take the best.
 ALPHA = 1.0
 #: Characters of text whose words share one lattice batch.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 _CUT = "\ud801"  # between words; like LITERAL_SPACE it occurs in no text
 
@@ -57,6 +58,7 @@ def encode_texts(texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabul
     numbers: defaultdict[str, int] = defaultdict()
     numbers.default_factory = numbers.__len__  # a new word gets the next number
     words = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(part or () for part in split)), np.int64, int(n_words.sum()))
+    numbers.default_factory = None  # a bound method of its own dict: a cycle that would keep the words
     if not len(words):
         return [None if t is None else np.zeros(0, np.int32) for t in texts]
     lattice = Lattice(list(numbers), vocabulary)
@@ -70,18 +72,17 @@ def encode_texts(texts: list[str | None], seeds: np.ndarray, vocabulary: Vocabul
     ids, sizes = lattice.piece[edges], np.ones(len(edges), np.int64)
     odd = np.flatnonzero(ids >= vocabulary.n)
     if len(odd):
-        points = lattice.point(edges[odd])
-        spelled = {p: vocabulary.byte_ids[np.frombuffer((chr(p) if p != ord(LITERAL_SPACE) else SPACE).encode(), np.uint8)] for p in np.unique(points).tolist()}
-        sizes[odd] = [len(spelled[p]) for p in points.tolist()]
+        spelled = [lattice.spelling[i - vocabulary.n] for i in ids[odd].tolist()]
+        sizes[odd] = [len(x) for x in spelled]
         ids = np.repeat(ids, sizes)
         at = (np.cumsum(sizes) - sizes)[odd]
         for k in range(4):
-            has = sizes[odd] > k
-            ids[at[has] + k] = [spelled[p][k] for p in points[has].tolist()]
+            has = np.flatnonzero(sizes[odd] > k)
+            ids[at[has] + k] = [spelled[i][k] for i in has.tolist()]
     per_text = np.zeros(len(texts), np.int64)
     np.add.at(per_text, np.repeat(np.repeat(np.arange(len(texts)), n_words), n_edges), sizes)
     cuts = np.cumsum(per_text)
-    return [None if t is None else ids[b - n : b].astype(np.int32) for t, b, n in zip(texts, cuts, per_text, strict=True)]
+    return [None if t is None else ids[b - n : b].astype(np.int32, copy=False) for t, b, n in zip(texts, cuts, per_text, strict=True)]
 
 
 def decode_ids(ids: np.ndarray | None, raw: list[bytes]) -> str | None:
@@ -126,7 +127,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", *,
     handle = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the model file
     rest = [c for c in docs.columns if c != text_col]
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col(key_col).cast("string"), F.lit("null")))
-    rows = docs.select(F.col(text_col).alias("text"), key.alias("seed"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
+    rows = docs.select(F.make_valid_utf8(F.col(text_col)).alias("text"), key.alias("seed"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
     return rows.mapInArrow(_encode(handle, alpha), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, lossless boolean")
 
 

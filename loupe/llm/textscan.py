@@ -1,13 +1,15 @@
 """Vectorised scanning of text batches: words, lines and 64-bit hashes.
 
 Spark hands every task Arrow batches; these helpers turn a batch's UTF-8 bytes
-into numpy arrays of word (or line) spans and hashes without a Python loop over
-words.  A span's hash is a polynomial over Z/2^64 taken from prefix sums and then
-mixed, so any span of the buffer costs O(1).
+into numpy arrays of word (or line) spans and hashes.  A short span's hash mixes its
+bytes eight at a time, for all spans at once; a long span gets a BLAKE2b digest, so no
+family of texts collides by construction.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,8 +27,10 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_ROOTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans up to so many bytes are hashed eight bytes at a time by mixing, longer ones by BLAKE2b.
+SHORT = 32
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,29 +46,13 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
 
-def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        root = _ROOTS[which]
-        tables = []
-        for r in (root, pow(root, -1, 1 << 64)):
-            steps = np.full(size, r, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        have = _powers[which] = (tables[0], tables[1])
-        if size > 16 * CHUNK_BYTES:  # tables for a giant text are not kept
-            del _powers[which]
-    return have
-
-
 class Scan:
     """One chunk of texts: ``data`` holds their bytes, text i is data[bounds[i]:bounds[i+1]]."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.data, self.bounds = data, bounds
         self.n = len(bounds) - 1
-        self._sums: dict[int, np.ndarray] = {}
+        self._eights: np.ndarray | None = None
 
     def lowered(self) -> Scan:
         return Scan(LOWER[self.data], self.bounds)
@@ -108,13 +96,25 @@ class Scan:
         return starts, ends, owner
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        powers, inverse = _power_tables(len(self.data) + 1, which)
-        sums = self._sums.get(which)
-        if sums is None:
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=sums[1:])
-            self._sums[which] = sums
-        return mix((sums[ends] - sums[starts]) * inverse[starts])
+        """A 64-bit hash of each span's bytes and length; a span's path depends on its length only."""
+        if self._eights is None:  # the eight bytes from each place on, zeros after the end
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[: len(self.data)] = self.data
+            self._eights = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
+        sizes = ends - starts
+        out = mix(sizes.astype(np.uint64) + _SEEDS[which])
+        open_, offset = np.flatnonzero(sizes <= SHORT), 0
+        while len(open_):
+            left = np.minimum(sizes[open_] - offset, 8)
+            out[open_] = mix(out[open_] ^ (self._eights[starts[open_] + offset] & _MASKS[left]))
+            offset += 8
+            open_ = open_[sizes[open_] > offset]
+        long = np.flatnonzero(sizes > SHORT)
+        if len(long):
+            view, salt = memoryview(np.ascontiguousarray(self.data)), bytes([which])
+            digests = [hashlib.blake2b(view[a:b], digest_size=8, salt=salt).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            out[long] = np.frombuffer(b"".join(digests), "<u8")
+        return out
 
     def count_in(self, of: np.ndarray) -> np.ndarray:
         """Bytes of the class ``of`` in each text."""

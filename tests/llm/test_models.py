@@ -113,15 +113,25 @@ def test_toxicity_learns_long_tailed_words():
 
 
 def enumerate_segmentations(word, scores, v, index):
+    """All (pieces, score) of a word; a character without a piece is its bytes' pieces."""
     if not word:
         return [((), 0.0)]
     out = []
     for k in range(1, len(word) + 1):
         if word[:k] in index:
-            out += [((word[:k], *s), x + scores[index[word[:k]]]) for s, x in enumerate_segmentations(word[k:], scores, v, index)]
+            first = (index[word[:k]],)
+        elif k == 1:
+            first = tuple(v.byte_ids[b] for b in word[0].encode())
+        else:
+            continue
+        out += [((*first, *s), x + scores[list(first)].sum()) for s, x in enumerate_segmentations(word[k:], scores, v, index)]
     return out
 
 
+def usable_pieces(v):
+    return {p: i for i, p in enumerate(v.pieces) if not p.startswith("<") and "\u2581" not in p.lstrip("\u2581")}
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return Vocabulary()
@@ -129,33 +139,42 @@ def vocabulary():
 
 def test_lattice_sums_all_segmentations(vocabulary):
     v = vocabulary
-    index = {p: i for i, p in enumerate(v.pieces) if not p.startswith("<")}
-    words = ["▁hello", "▁", "x", "▁the", "abcdefgh", "▁naïve"]
+    index = usable_pieces(v)
+    assert math.isclose(np.exp(v.scores).sum(), 1, rel_tol=1e-9)
+    words = ["▁hello", "▁", "x", "▁the", "abcdefgh", "▁naïve", "▁a\u2c00ꙮb", "\U0001d4b3"]
     lattice = Lattice(words, v)
     alpha = lattice.forward(v.scores)[lattice.final]
     for w, a in zip(words, alpha, strict=True):
         assert math.isclose(a, np.logaddexp.reduce([x for _, x in enumerate_segmentations(w, v.scores, v, index)]), rel_tol=1e-12)
-    expected = lattice.expected(v.scores, np.array([2.0, 0, 0, 0, 1, 0]), v.n + 4)
+    times = {"▁hello": 2, "abcdefgh": 1, "▁a\u2c00ꙮb": 3}
+    expected = lattice.expected(v.scores, np.array([times.get(w, 0) for w in words], float))
     want = Counter()
-    for w, times in (("▁hello", 2), ("abcdefgh", 1)):
+    for w, n in times.items():
         found = enumerate_segmentations(w, v.scores, v, index)
         total = np.logaddexp.reduce([x for _, x in found])
         for s, x in found:
             for p in s:
-                want[index[p]] += times * math.exp(x - total)
+                want[p] += n * math.exp(x - total)
     assert all(math.isclose(expected[i], n, rel_tol=1e-9) for i, n in want.items()) and math.isclose(expected.sum(), sum(want.values()))
 
 
 def test_sampling_follows_the_lattice(vocabulary):
     v = vocabulary
-    index = {p: i for i, p in enumerate(v.pieces) if not p.startswith("<")}
     ids = pieces.encode_texts(["hello"] * 20_000, np.arange(20_000, dtype=np.uint64), v)
-    seen = Counter(tuple(v.pieces[i] for i in x) for x in ids)
-    found = enumerate_segmentations("▁hello", v.scores, v, index)
+    seen = Counter(tuple(x.tolist()) for x in ids)
+    found = enumerate_segmentations("▁hello", v.scores, v, usable_pieces(v))
     total = np.logaddexp.reduce([x for _, x in found])
     for s, x in found:
         p = math.exp(x - total)
-        assert abs(seen[s] / 20_000 - p) < 5 * math.sqrt(p / 20_000) + 1e-3
+        assert abs(seen[tuple(map(int, s))] / 20_000 - p) < 5 * math.sqrt(p / 20_000) + 1e-3
+
+
+def test_a_sample_does_not_depend_on_its_batch(vocabulary):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(30)) for _ in range(200)]
+    seeds = np.arange(200, dtype=np.uint64)
+    together = pieces.encode_texts(texts, seeds, vocabulary)
+    assert all((pieces.encode_texts([t], seeds[i : i + 1], vocabulary)[0] == together[i]).all() for i, t in enumerate(texts))
 
 
 def test_round_trip(spark):
@@ -174,15 +193,17 @@ def test_round_trip(spark):
     assert other != got.where("row.doc_id = 8").first()["ids"]
 
 
-def test_lm_scores(spark, vocabulary):
-    texts = ["the cat sat", "The dog SAT on the mat", None, "", "unseen words here ▁ 日本", "the the the", "rep " * 20_000, "the cat sat"]
+@pytest.mark.parametrize("adapt", [True, False])
+def test_lm_scores(spark, vocabulary, adapt):
+    texts = ["the cat sat", "The dog SAT on the mat", None, "", "unseen words here ▁ 日本", "the the the", "rep " * 20_000, "the cat sat", "ꙮ x\u2c00y ▁ über"]
     rows = [(i, t, i % 2) for i, t in enumerate(texts)] + [(None, "null id", 0), (0, "the cat sat", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, word int")
-    split = [((t or "").encode().lower().split(), i is not None and i != 4) for i, t, _ in rows]
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    split = [(lower(t).split(), i is not None and i != 4) for i, t, _ in rows]
     count = Counter(w for words, train in split if train for w in words)
     n_texts = sum(train for _, train in split)
     n, v = sum(count.values()) + n_texts, len(count) + 1
-    results = [lm_score.score(docs, "doc_id <> 4", hot=hot).collect() for hot in (1 << 19, 2)]
+    results = [lm_score.score(docs, "doc_id <> 4", hot=hot, adapt=adapt).collect() for hot in (1 << 19, 2)]
     for got in results:
         assert len(got) == len(rows)
         left = sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got)
@@ -191,25 +212,45 @@ def test_lm_scores(spark, vocabulary):
     a, b = ({(str(r["id"]), r["n_tokens"]): r["score"] for r in got} for got in results)
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
     # the model's score by brute force: expected piece uses over training words, then all segmentations
-    index = {p: i for i, p in enumerate(vocabulary.pieces) if not p.startswith("<")}
-    uses = np.zeros(len(vocabulary.scores))
-    plain = {w for w in count if w.isascii()}
-    assert plain == set(count)
-    for w, c in count.items():
-        found = enumerate_segmentations("▁" + w.decode(), vocabulary.scores, vocabulary, index)
-        total = np.logaddexp.reduce([x for _, x in found])
-        for s, x in found:
-            for p in s:
-                uses[index[p]] += c * math.exp(x - total)
+    index = usable_pieces(vocabulary)
+    marked = lambda w: "▁" + w.replace("▁", "\ud800")
+
+    def segmentations(w, scores):
+        found = enumerate_segmentations(marked(w).replace("\ud800", "\u2581") if w == "▁" else marked(w), scores, vocabulary, index)
+        return found if w != "▁" else [(s, x) for s, x in enumerate_literal(scores)]
+
+    def enumerate_literal(scores):
+        own = [index["▁"], *(vocabulary.byte_ids[b] for b in "▁".encode())]
+        return [(tuple(own), scores[own].sum())]
+
     prior = np.exp(vocabulary.scores)
-    weight = uses.sum() + n_texts + len(prior) * prior.sum() + 1
-    scores = np.log((uses + len(prior) * prior) / weight)
-    words = [np.logaddexp.reduce([x for _, x in enumerate_segmentations("▁" + w, scores, vocabulary, index)]) for w in ("the", "cat", "sat")]
-    assert math.isclose(a["0", 4], (sum(words) + math.log((n_texts + 1) / weight)) / math.log(10), rel_tol=1e-9)
+    if adapt:
+        uses = np.zeros(vocabulary.n)
+        for w, c in count.items():
+            found = segmentations(w, vocabulary.scores)
+            total = np.logaddexp.reduce([x for _, x in found])
+            for s, x in found:
+                np.add.at(uses, list(s), c * math.exp(x - total))
+        weight = uses + vocabulary.n * prior
+    else:
+        weight = prior * (sum(count.values()) + vocabulary.n)
+    total = weight.sum() + n_texts + 1
+    with np.errstate(divide="ignore"):
+        scores = np.log(weight / total)
+    assert math.isclose(np.exp(scores).sum() + (n_texts + 1) / total, 1, rel_tol=1e-9)
+    for key, words in ((("0", 4), ("the", "cat", "sat")), (("8", 5), ("ꙮ", "x\u2c00y", "▁", "über")), (("4", 6), ("unseen", "words", "here", "▁", "日本"))):
+        want = sum(np.logaddexp.reduce([x for _, x in segmentations(w, scores)]) for w in words)
+        assert math.isclose(a[key], (want + math.log((n_texts + 1) / total)) / math.log(10), rel_tol=1e-9)
     assert lm_score.score(docs.limit(0), "true").count() == 0
     assert lm_score.score(docs, "false").where("n_known > 0").count() == 0
 
 
+def test_texts_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(unhex('61ff62') AS string) AS text UNION ALL SELECT 2L, 'ab'")
+    assert lm_score.score(docs, "true").count() == 2
+    assert [r["lossless"] for r in pieces.encode(docs).collect()] == [True, True]
+
+
 def test_fold_is_crc32(spark, sf):
     rows = QUERIES["op5_toxicity"](spark, sf).select("doc_id", "held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
