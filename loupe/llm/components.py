@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, join_facts, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _least(edges: DataFrame, to: str) -> DataFrame:
+    """The smallest neighbour of each node a, as ``to``, and its number of edges: combined before the shuffle."""
+    return stored(edges.groupBy("a").agg(F.min("b").alias(to), F.count("*").alias("n")), "least")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+def _star_step(edges: DataFrame) -> DataFrame:
+    """A large-star step, then a small-star step.  A hub's least neighbour is broadcast to its edges."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = _least(both, "m")
+    larger = join_facts(both.where("b > a"), least, ["a"], "n")
+    star = stored(larger.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "edges")
+    lowest = _least(star, "m")
+    moved = join_facts(star, lowest, ["a"], "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = stored(moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    discard(least, star, lowest)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     now, before = stored(oriented, "edges"), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
-        before = state
-        now = stored(_small_star(_large_star(now)).distinct(), "edges")
+        before, old = state, now
+        now = _star_step(old)
+        discard(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

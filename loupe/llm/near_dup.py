@@ -13,7 +13,8 @@ a tree with a chance of 0.51 at the last level (simulated), in none of 14 trees
 4e-5; the signatures' cut takes it with one of 2e-8 (exact binomial), in all trees at once.
 
 Those links only gather candidates: their connected components bring the texts
-together, each once.  There, full sets decide: groups of bounded size are linked
+together, each once.  There, full sets decide, and every pair of a group is compared that
+shares one of its rarest shingles, as any linked pair must: groups of bounded size are linked
 exactly in one task; a larger group is dealt into blocks that share a hub, and whatever
 isn't linked to the hub's component is compared with all blocks, so no link is lost to
 a block's bound.  Components of confirmed links are the result.
@@ -22,7 +23,10 @@ Null and empty texts and texts without words have an empty set and are linked wi
 nothing, not even each other.  Texts with fewer words than the width have one shingle,
 the whole sequence.  Rows with a null id aren't linked, have a null component and are
 kept.  Rows that share an id are one vertex: their links count together.  Equal texts
-go to the smallest id.
+go to the smallest id.  A very long text is scanned whole, alone in its chunk.  Other columns
+are ignored by ``near_duplicates`` and carried by ``keep_one_of_each``, whatever their names;
+an empty table gives an empty one.  Facts of hot classes and hubs are broadcast, so copies of
+one text don't meet in one task.
 """
 
 from __future__ import annotations
@@ -36,12 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import join_facts, stored
 from .textscan import NONSPACE, Scan, keyed, mix, scans, windows
 
-SIGNATURE = 128
-
-
 def shingle_sets(scan: Scan, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles (hashes) of each text, in the texts' order, and their texts."""
     low = scan.lowered()
@@ -63,7 +64,7 @@ def shingle_sets(scan: Scan, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], texts[keep]
 
 
-def signatures(grams: np.ndarray, starts: np.ndarray, n: int = SIGNATURE) -> np.ndarray:
+def signatures(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """n minwise values (uint32) of each nonempty set; sets begin at ``starts``."""
     x = (grams >> np.uint64(32)).astype(np.uint32)
     seeds = mix(np.arange(n, dtype=np.uint64) + np.uint64(20240601))
@@ -210,55 +211,56 @@ def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS
 
 
 class _Sets:
-    """The shingle sets of a group's texts, sorted, with long signatures."""
-
-    def __init__(self, texts: pa.ChunkedArray, width: int):
-        self.sets: list[np.ndarray] = []
-        self.signature = np.zeros((len(texts), SIGNATURE), np.uint32)
-        for lo, _, scan in scans(texts):
-            grams, owner = shingle_sets(scan, width)
-            cuts = np.searchsorted(owner, np.arange(scan.n + 1))
-            self.sets += [np.sort(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            full, starts = np.unique(owner, return_index=True)
-            if len(full):
-                self.signature[lo + full] = signatures(grams, starts)
-        self.size = np.array([len(s) for s in self.sets])
-
-    def linked(self, i: int, j: int, percent: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        place = np.searchsorted(b, a)
-        common = int((b[np.minimum(place, len(b) - 1)] == a).sum()) if len(b) else 0
-        return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
-
-    def likely(self, i: int, among: np.ndarray, percent: int) -> np.ndarray:
-        """Those of ``among`` that sizes and signatures don't rule out, the most alike first; a signature errs by 6 deviations with a chance of 3e-8 at 0.8."""
-        size = self.size[among]
-        among = among[100 * np.minimum(size, self.size[i]) >= percent * np.maximum(size, self.size[i])]
-        agree = (self.signature[among] == self.signature[i]).mean(1)
-        least = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / SIGNATURE)
-        order = np.argsort(-agree, kind="stable")
-        return among[order[agree[order] >= least]]
-
-
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def _link_group(rep: np.ndarray, sets: _Sets, percent: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The shingle sets of a group's texts, each with its rarest shingles first.
+
+    A set that shares ``percent`` of its union with another has that much of itself in common with it, so both hold a
+    common shingle among their rarest (size - least + 1), ``least`` being that share of their size: an exact filter.
+    """
+
+    def __init__(self, texts: pa.ChunkedArray, width: int, percent: int):
+        parts = [(grams, lo + owner) for lo, _, scan in scans(texts) for grams, owner in (shingle_sets(scan, width),)]
+        grams, owner = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        _, code, found = np.unique(grams, return_inverse=True, return_counts=True)
+        order = np.lexsort((code, found[code], owner))
+        self.code, owner, self.percent = code[order], owner[order], percent
+        self.size = np.bincount(owner, minlength=len(texts))
+        self.start = np.cumsum(self.size) - self.size
+        self.head = self.size + (-percent * self.size // 100) + 1
+        rare = np.flatnonzero(np.arange(len(owner)) - self.start[owner] < self.head[owner])
+        rare = rare[np.argsort(self.code[rare], kind="stable")]
+        self.holder = owner[rare]
+        self.cuts = np.searchsorted(self.code[rare], np.arange(len(found) + 1))
+        self.mark = np.zeros(len(found), bool)
+
+    def linked(self, i: int, among: np.ndarray) -> Iterator[int]:
+        """The sets of the mask ``among`` that are linked with set i; the mask is read again before each comparison."""
+        codes = self.code[self.start[i] : self.start[i] + self.size[i]]
+        rare = codes[: self.head[i]]
+        near = np.concatenate([self.holder[a:b] for a, b in zip(self.cuts[rare], self.cuts[rare + 1], strict=True)] or [np.zeros(0, int)])
+        near = np.unique(near[among[near]])
+        near = near[100 * np.minimum(self.size[near], self.size[i]) >= self.percent * np.maximum(self.size[near], self.size[i])]
+        self.mark[codes] = True
+        for j in near.tolist():
+            if among[j]:
+                common = int(self.mark[self.code[self.start[j] : self.start[j] + self.size[j]]].sum())
+                if 100 * common >= self.percent * (self.size[i] + self.size[j] - common):
+                    yield j
+        self.mark[codes] = False
+
+
+def _link_group(rep: np.ndarray, sets: _Sets, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The smallest rep of each row's component, under the links between rows ``first`` and ``second``; pairs already connected aren't compared."""
-    parent = np.arange(len(rep))
-    for i in first:
-        root = np.array([_find(parent, int(j)) for j in second])
-        for j in sets.likely(i, second[(root != _find(parent, i)) & (second != i)], percent):
-            a, b = _find(parent, i), _find(parent, int(j))
-            if a != b and sets.linked(i, int(j), percent):
-                if rep[b] < rep[a]:
-                    a, b = b, a
-                parent[b] = a
-    return rep[[_find(parent, i) for i in range(len(rep))]]
+    label = np.arange(len(rep))
+    may = np.zeros(len(rep), bool)
+    may[second] = True
+    for i in first.tolist():
+        among = may & (label != label[i])
+        for j in sets.linked(i, among):
+            label[label == label[j]] = label[i]
+            np.logical_and(among, label != label[i], out=among)
+    least = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, rep)
+    return least[label]
 
 
 def _confirm(width: int, percent: int):
@@ -272,9 +274,9 @@ def _confirm(width: int, percent: int):
             group, block, side, rep, hub = (table.column(k).to_numpy() for k in range(5))
             cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1), len(group)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                sets = _Sets(table.column(5).slice(lo, hi - lo), width)
+                sets = _Sets(table.column(5).slice(lo, hi - lo), width, percent)
                 own, other = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
-                low = _link_group(rep[lo:hi], sets, percent, other if len(other) else own, own)
+                low = _link_group(rep[lo:hi], sets, other if len(other) else own, own)
                 with_hub = np.isin(low, low[rep[lo:hi] == hub[lo]])
                 yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi]), pa.array(low), pa.array(with_hub)], names=["a", "b", "with_hub"])
 
@@ -320,29 +322,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stored(texts.mapInArrow(_sketch(width, trees), "id long, n_shingles long, h1 long, h2 long, sketch binary, tokens binary"), "sketches")
     full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "sketch", "tokens")).alias("least"))
-    classes = stored(classes.select("h1", "h2", "n_shingles", F.col("least.id").alias("rep"), F.col("least.sketch").alias("sketch"), F.col("least.tokens").alias("tokens")), "classes")
+    keys = ["h1", "h2", "n_shingles"]
+    classes = full.groupBy(*keys).agg(F.min(F.struct("id", "sketch", "tokens")).alias("least"), F.count("*").alias("n"))
+    classes = stored(classes.select(*keys, "n", F.col("least.id").alias("rep"), F.col("least.sketch").alias("sketch"), F.col("least.tokens").alias("tokens")), "classes")
     gathered = components(candidate_edges(classes, trees=trees, levels=levels, small=small))
     groups = classes.select("rep", "n_shingles").join(gathered.withColumnRenamed("node", "rep"), "rep")
     labels, edges = confirmed_edges(texts.withColumnRenamed("id", "rep"), groups, width, percent, group_texts, group_shingles)
     shared = full.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")  # ids with several rows tie these rows' classes
-    ties = stored(full.join(shared, "id").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"]).select(F.col("id").alias("a"), F.col("rep").alias("b")), "ties")
+    ties = stored(full.join(shared, "id").join(classes.select(*keys, "rep"), keys).select(F.col("id").alias("a"), F.col("rep").alias("b")), "ties")
     if not ties.isEmpty():
         edges, labels = edges.unionByName(labels).unionByName(ties), labels.limit(0)
     edges = stored(edges, "linked")
     if not edges.isEmpty():
         labels = labels.unionByName(components(edges).select(F.col("node").alias("a"), F.col("component").alias("b")))
-    labels = classes.select("h1", "h2", "n_shingles", "rep").join(labels.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n_shingles", "h1", "h2").join(labels, ["h1", "h2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))).otherwise(F.col("id"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    labels = classes.select(*keys, "n", "rep").join(labels.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left")
+    labels = stored(labels.select(*keys, "n", F.coalesce("component", "rep").alias("component")), "class-labels")
+    linked = join_facts(full.select("id", *keys), labels, keys, "n").select("id", "n_shingles", "component")
+    alone = sketches.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
+    out = linked.unionByName(alone)
+    return out.select("id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that represent their group, all columns; of rows that share a kept id one stays."""
+    """The rows of docs that represent their group, all columns; of rows that share a kept id the one with the smallest hash stays."""
     found = stored(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
     kept = found.where("kept AND id IS NOT NULL")
     rows = docs.join(kept.select(F.col("id").alias("__kept_id")).distinct(), F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi")
     if not kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        rows = rows.dropDuplicates([id_col])
+        rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row")).select("__row.*")
     return rows.unionByName(docs.where(F.col(id_col).isNull()))

@@ -13,10 +13,12 @@ _own = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set and Spark is local."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own = tempfile.mkdtemp(prefix="loupe-")
     return root.rstrip("/")
 
@@ -26,7 +28,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with at least so many rows, and with more than 1/HOT_KEYS of all rows, is hot; so fewer than HOT_KEYS are.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str) -> DataFrame:
+    """rows left-joined to facts, one row a key, without ``n_col``: a key's number of rows.
+
+    Facts of hot keys, fewer than HOT_KEYS, are broadcast, so that no task gets all rows of one key; the others are joined by a shuffle.
+    """
+    total, most = facts.agg(F.sum(n_col), F.max(n_col)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS + 1)
+    if (most or 0) < least:
+        return rows.join(facts.drop(n_col), keys, "left")
+    hot = F.col(n_col) >= least
+    few = facts.where(hot).drop(n_col)
+    is_hot = rows.join(F.broadcast(few.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
+    left = is_hot.where("__hot").drop("__hot").join(F.broadcast(few), keys, "left")
+    right = is_hot.where("__hot IS NULL").drop("__hot").join(facts.where(~hot).drop(n_col), keys, "left")
+    return left.unionByName(right)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

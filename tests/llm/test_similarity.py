@@ -126,6 +126,39 @@ def test_exact_search(spark, monkeypatch):
     assert mtree.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_exact_search_of_large_numbers_and_several_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SLICE", 20)
+    rng = np.random.default_rng(3)
+    for size in (1e7, 1e12, 1e200):
+        rows = [(i, [float(x) for x in rng.normal(size=4) * size]) for i in range(150)] + [(i, [float(x) for x in rng.normal(size=2)]) for i in range(150, 220)]
+        rows += [(300, [size, 0.0, 0.0, 0.0]), (301, [size, 1.0, 0.0, 0.0]), (302, [-size, 1.0, 0.0, 0.0])]
+        vectors = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+        got = sorted(tuple(r) for r in mtree.search(vectors.where("id % 50 = 0"), vectors).select("query_id", "rank", "vec_id", "score").collect())
+        want = []
+        limit = (1 << 63) - 1
+        for dim in (2, 4):
+            ids = [i for i, v in rows if len(v) == dim]
+            whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+            for q in (i for i in ids if i % 50 == 0):
+                score = sorted((-max(-limit, min(limit, sum(a * b for a, b in zip(whole[q], whole[j], strict=True)))), j) for j in ids if j != q)[:5]
+                want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(score)]
+        assert got == sorted(want)
+
+
+def test_search_tree_grows(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SLICE", 8)
+    monkeypatch.setattr(mtree, "NODES", 4)
+    monkeypatch.setattr(mtree, "FAN", 3)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6)) + 4 * rng.normal(size=(30, 6))[rng.integers(0, 30, 900)]
+    sample = np.floor(256 * x)
+    routes = mtree.Routes.choose(sample, 900, mtree.Scale(6, np.abs(sample).max()))
+    assert max(len(routes.path(k)) for k in range(len(routes.parent))) >= 4
+    vectors = mtree.integer_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in mtree.search(vectors.where("id % 50 = 0"), vectors).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_search(list(range(900)), sample, range(0, 900, 50), 5)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
