@@ -11,8 +11,10 @@ Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the text with A-Z lower-cased.  N
 empty texts have no words, no labels and score 0.  Repeated rows give equal rows; votes
 count distinct positions per (id, text), so repeats don't add up, and rows that share
 an id but not a text are told apart by the text's hash.  Rows with a null id are
-scanned like others.  The templates are constants, so the broadcast table is of fixed
-size.
+scanned like others.  A very long text is scanned whole, alone in its chunk.  Other columns
+are ignored; an empty table gives an empty one.  The templates are constants, so the
+broadcast tables are of fixed size.  Only texts that hold some template k-gram are shuffled
+to their spans.
 """
 
 from __future__ import annotations
@@ -142,25 +144,41 @@ def candidate_spans(rows: DataFrame, templates: DataFrame, id_type: str) -> Data
     return spans.where(F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("n_grams") * MIN_VOTES))).drop("island", "n_grams")
 
 
+def _alignments(have: list[str], want: list[str]) -> Iterator[tuple[int, int, int]]:
+    """Places (first word, last word, equal words) in ``have`` where ``want`` stands, aligned by matching blocks.
+
+    A span can hold a template several times, so it is read in windows of three times the template that overlap by two.
+    """
+    n, lo = len(want), 0
+    while True:
+        part = have[lo : lo + 3 * n]
+        blocks = [m for m in difflib.SequenceMatcher(None, part, want, autojunk=False).get_matching_blocks() if m.size]
+        if blocks:
+            yield lo + blocks[0].a, lo + blocks[-1].a + blocks[-1].size - 1, sum(m.size for m in blocks)
+        lo += n
+        if lo + 2 * n >= max(len(have), 2 * n + 1):
+            break
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words_of = [_constant(text)[0] for _, text in TEMPLATES]
     for batch in batches:
         out = []
         for i, row in enumerate(batch.select(["id", "text_hash", "spans"]).to_pylist()):
-            for lo, _, scan in scans(batch.column(1).slice(i, 1), 1):
+            for _, _, scan in scans(batch.column(1).slice(i, 1), 1):
                 low = scan.lowered()
                 s, e, _ = low.spans(ALNUM)
-                found = []
+                found = set()
                 for span in row["spans"]:
                     want = words_of[span["template"]]
-                    a, b = span["start"], min(span["stop"] + 1, span["start"] + 2 * len(want))
+                    a, b = span["start"], span["stop"] + 1
                     have = [low.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(s[a:b], e[a:b], strict=True)]
-                    same = sum(m.size for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks())
-                    if same >= MIN_SIMILARITY * len(want):
-                        found.append((same / len(want), same, a, b - 1, TEMPLATES[span["template"]][0]))
-                kept = []  # of overlapping spans with different labels the more similar, then the longer one stays
+                    for start, stop, same in _alignments(have, want):
+                        if same >= MIN_SIMILARITY * len(want):
+                            found.add((same / len(want), same, a + start, a + stop, TEMPLATES[span["template"]][0]))
+                kept = []  # of overlapping spans the more similar, then the longer one stays, unless equally good ones differ in label
                 for x in sorted(found, reverse=True):
-                    if all(x[4] == y[4] or x[3] < y[2] or y[3] < x[2] or x[:2] == y[:2] for y in kept):
+                    if all(x[3] < y[2] or y[3] < x[2] or (x[:2] == y[:2] and x[4] != y[4]) for y in kept):
                         kept.append(x)
                 out += [(row["id"], row["text_hash"], label, a, b, similarity) for similarity, _, a, b, label in sorted(kept, key=lambda x: (x[2], x[4]))]
         names = ["id", "text_hash", "label", "start", "stop", "similarity"]
@@ -169,6 +187,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _holding(grams: np.ndarray):
+    """Rows (id, text, text_hash) whose text holds one of some hashed k-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for lo, _, scan in scans(batch.column(1)):
+                low = scan.lowered()
+                s, e, owner = low.spans(ALNUM)
+                found, first = windows(low.hashes(s, e), owner, GRAM)
+                hit[lo + owner[first[np.isin(found, grams)]]] = True
+            yield batch.filter(pa.array(hit))
+
+    return run
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
 
@@ -176,10 +210,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_hash, label, first and last word, and similarity of every verified license span."""
     rows, kind = _rows(docs, id_col, text_col), docs.schema[id_col].dataType.simpleString()
-    spans = candidate_spans(rows, template_grams(docs.sparkSession), kind)
+    templates = template_grams(docs.sparkSession)
+    spans = candidate_spans(rows, templates, kind)
     listed = spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("template", "start", "stop")).alias("spans"))
-    same = listed["id"].eqNullSafe(rows["id"]) & (listed["text_hash"] == rows["text_hash"])
-    texts = rows.join(listed, same).select(rows["id"], rows["text"], rows["text_hash"], "spans")
+    grams = np.array([r["gram"] for r in templates.select("gram").collect()], np.int64).view(np.uint64)  # constants
+    near = rows.mapInArrow(_holding(grams), rows.schema)
+    same = listed["id"].eqNullSafe(near["id"]) & (listed["text_hash"] == near["text_hash"])
+    texts = near.join(listed, same).select(near["id"], near["text"], near["text_hash"], "spans")
     return texts.mapInArrow(_verify, f"id {kind}, text_hash long, label string, start long, stop long, similarity double")
 
 
