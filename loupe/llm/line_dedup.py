@@ -12,11 +12,12 @@
    known by then) they are broadcast; else the documents' keys are routed to the
    shards and only the verdicts come back, by document.
 
-Null and empty texts have one empty line.  A document is a row: repeated rows with
-one doc_id count as documents of their own, and all of them keep the line if that id
-is the largest.  Rows with a null id count as documents, hold the smallest place and
-so lose shared lines unless no id holds them.  Other columns are ignored by ``probe``
-and carried by ``drop_lines``.
+Null and empty texts have one empty line.  A document is a doc_id: repeated rows with
+one doc_id count once, and all of them keep the line if that id is the largest.  Rows with a
+null id count as one document together, hold the smallest place and so lose shared lines
+unless no id holds them.  A very long text is scanned whole, alone in its chunk.  Other columns
+are ignored by ``probe`` and carried by ``drop_lines``, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ def _emit_keys(min_chars: int):
 def line_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """h1, h2, n_docs and last_id of the line keys found in at least ``min_docs`` documents."""
     keys = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_emit_keys(min_chars), "h1 long, h2 long, id long")
-    return keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id")).where(F.col("n_docs") >= min_docs)
+    held = keys.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))  # documents, not rows; a line held by many spreads by id
+    return held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("last_id")).where(F.col("n_docs") >= min_docs)
 
 
 # -- the minimal perfect hash of one shard
@@ -113,7 +115,7 @@ def mph_slot(sizes: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarra
     return slots
 
 
-_SHARD = "shard int, n long, sizes binary, bits binary, prints binary, counts binary, ids binary"
+_SHARD = "shard int, n long, sizes binary, bits binary, prints binary, counts binary, ids binary, more binary"
 
 
 def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +124,15 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def finish(shard: int, parts: list[pa.Table]) -> pa.RecordBatch:
         h1, h2, n, ids = (pa.concat_tables(parts).column(c).to_numpy() for c in ("h1", "h2", "n_docs", "last_id"))
         keys = h1.view(np.uint64)
-        keep = np.sort(np.unique(keys, return_index=True)[1])  # two keys with one first half: about 2^-64 a pair
+        keep = np.sort(np.unique(keys, return_index=True)[1])
+        late = np.setdiff1d(np.arange(len(keys)), keep)  # keys that share their first half with another, about 2^-64 a pair: listed beside the arrays
+        more = np.stack([h1[late], h2[late], ids[late]], 1).astype(np.int64)
         keys, h2, n, ids = keys[keep], h2[keep], n[keep], ids[keep]
         sizes, bits = build_mph(keys)
         place = np.argsort(mph_slot(sizes, bits, keys))
-        row = [shard, len(keys), sizes.tobytes(), np.packbits(bits).tobytes(), h2[place].tobytes(), n[place].astype(np.int64).tobytes(), ids[place].tobytes()]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["shard", "n", "sizes", "bits", "prints", "counts", "ids"])
+        row = [shard, len(keys), sizes.tobytes(), np.packbits(bits).tobytes(), h2[place].tobytes(), n[place].astype(np.int64).tobytes(), ids[place].tobytes(), more.tobytes()]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["shard", "n", "sizes", "bits", "prints", "counts", "ids", "more"])
 
     current, parts = None, []
     for batch in batches:
@@ -163,7 +167,7 @@ class Shards:
         for r in rows:
             sizes = np.frombuffer(r["sizes"], np.int64)
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(sizes.sum())).astype(bool)
-            self.of[r["shard"]] = (sizes, bits, *(np.frombuffer(r[c], np.int64) for c in ("prints", "counts", "ids")))
+            self.of[r["shard"]] = (sizes, bits, *(np.frombuffer(r[c], np.int64) for c in ("prints", "counts", "ids")), np.frombuffer(r["more"], np.int64).reshape(-1, 3))
 
     def last_ids(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is in the index, and its largest id."""
@@ -172,13 +176,16 @@ class Shards:
         for s in np.unique(shard):
             if int(s) not in self.of:
                 continue
-            sizes, bits, prints, _, ids = self.of[int(s)]
+            sizes, bits, prints, _, ids, more = self.of[int(s)]
             at = np.flatnonzero(shard == s)
             slot = mph_slot(sizes, bits, h1[at])
             good = slot >= 0
             good[good] = prints[slot[good]] == h2[at[good]].view(np.int64)
             found[at[good]] = True
             last[at[good]] = ids[slot[good]]
+            for x, y, last_id in more:
+                hit = at[(h1[at].view(np.int64) == x) & (h2[at].view(np.int64) == y)]
+                found[hit], last[hit] = True, last_id
         return found, last
 
 
@@ -198,7 +205,7 @@ def _apply(batch: pa.RecordBatch, dropped_of, min_chars: int, digest: bool) -> p
             if i in gone:
                 text = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in gone[i])
             texts.append(hashlib.sha256(text).hexdigest().encode() if digest else text)
-    kept = pa.array(texts, pa.binary()).cast(pa.string())
+    kept = pa.array(texts, pa.binary())  # not every text's bytes are UTF-8
     return pa.RecordBatch.from_arrays([batch.column(2), kept, pa.array(n_lines), pa.array(n_dropped)], names=["row", "kept", "n_lines", "n_dropped"])
 
 
@@ -261,8 +268,7 @@ def _drop_listed(min_chars: int, digest: bool):
     return run
 
 
-def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, route_rows: int = 500_000) -> DataFrame:
-    """row (a struct of docs' columns but the text), kept (the text, or its SHA-256 with ``digest``), n_lines and n_dropped of every row."""
+def _probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, route_rows: int = 500_000) -> DataFrame:
     spark = docs.sparkSession
     counts = stored(line_counts(docs, id_col, text_col, min_chars=min_chars, min_docs=min_docs), "line-counts")
     n_keys = counts.count()
@@ -270,7 +276,7 @@ def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     index = stored(build_index(counts, n_keys, shard_keys), "line-index")
     rest = [c for c in docs.columns if c != text_col]
     ready = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"))
-    out = f"row {ready.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_dropped long"
+    out = f"row {ready.schema['row'].dataType.simpleString()}, kept binary, n_lines long, n_dropped long"
     if n_keys * _BYTES_PER_KEY <= max_broadcast_bytes:
         handle = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
         return ready.mapInArrow(_probe_broadcast(handle, shards, min_chars, digest), out)
@@ -285,6 +291,11 @@ def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     return rows.join(lists, "uid", "left").select("id", "text", "row", "numbers").mapInArrow(_drop_listed(min_chars, digest), out)
 
 
+def probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """row (a struct of docs' columns but the text), kept (the text, or its SHA-256 with ``digest``), n_lines and n_dropped of every row."""
+    return _probe(docs, id_col, text_col, **options).withColumn("kept", F.col("kept").cast("string"))
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, with the shared lines gone from the text; a null text becomes an empty one."""
     rows = probe(docs, id_col, text_col, **options)

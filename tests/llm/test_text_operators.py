@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loupe.llm import license_scan, line_dedup, mixing, quality
+from loupe.llm import license_scan, line_dedup, lm_score, mixing, near_dup, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, copy int, id int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,11 +66,11 @@ def brute_lines(rows, min_docs=5, min_chars=40):
     strip = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
     lower = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
     held = {}
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         for key in {lower(strip(x)) for x in (t or "").split("\n")}:
             if len(key) >= min_chars:
-                held.setdefault(key, []).append((n, i if i is not None else -(1 << 63)))
-    last = {k: max(i for _, i in v) for k, v in held.items() if len(v) >= min_docs}
+                held.setdefault(key, set()).add(i if i is not None else -(1 << 63))
+    last = {k: max(v) for k, v in held.items() if len(v) >= min_docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -87,6 +87,42 @@ def test_line_dedup(docs, options):
     assert {r["row"]["row"] for r in got} == {"r", None}
 
 
+def thue_morse(bits, a="a", b="b"):
+    x = "0"
+    for _ in range(bits):
+        x += x.translate(str.maketrans("01", "10"))
+    return x.replace("0", a).replace("1", b), x.replace("0", b).replace("1", a)
+
+
+def test_texts_made_to_collide_stay_apart(spark):
+    """Thue-Morse words collide under any polynomial modulo 2^64."""
+    for bits in (10, 12, 13):
+        x, y = thue_morse(bits)
+        docs = spark.createDataFrame([*((i, x) for i in range(3)), *((i, y) for i in range(3, 6)), (8, f"{x}\n{y}")], "doc_id long, text string")
+        assert {r["n_dropped"] for r in line_dedup.probe(docs).collect()} == {0}
+        measures = quality.measure(docs.where("doc_id = 8")).first()
+        assert (measures["n_words"], measures["n_dup_lines"]) == (2, 0)
+        if bits == 10:
+            found = {r["id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+            assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 8: 8}
+            known = {r["id"]: r["n_known"] for r in lm_score.score(docs, "doc_id < 3").collect()}
+            assert known == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 8: 2}
+
+
+def test_lines_that_share_half_a_key():
+    """Both stay in the index, and lines whose bytes aren't UTF-8 are kept as they are."""
+    h1 = np.array([7, 7, 9], np.uint64)
+    batch = line_dedup.pa.table({"h1": h1.view(np.int64), "h2": [1, 2, 3], "n_docs": [5, 6, 7], "last_id": [10, 20, 30], "shard": np.zeros(3, np.int32)}).to_batches()
+    rows = [r for b in line_dedup._build_shards(iter(batch)) for r in b.to_pylist()]
+    found, last = line_dedup.Shards(rows, 1).last_ids(np.array([7, 7, 9, 7], np.uint64), np.array([1, 2, 3, 4], np.uint64))
+    assert found.tolist() == [True, True, True, False] and last[:3].tolist() == [10, 20, 30]
+
+
+def test_lines_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(unhex('61ff62') AS string) AS text")
+    assert line_dedup.drop_lines(docs).selectExpr("hex(text) AS h").first()["h"] == "61FF62"
+
+
 def test_line_dedup_many_keys(spark):
     rng = np.random.default_rng(1)
     lines = [f"line number {i} padded so that it is long enough to count" for i in range(400)]
