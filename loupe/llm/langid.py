@@ -12,7 +12,9 @@ Null texts and texts without a letter are ``und`` with score 0 and aren't ambigu
 letters the model has never seen still get the nearest codeword.  Rows with a null
 label train nothing; equal losses go to the first language in sorted order; with no
 training rows every text is ``und``.  Repeated rows give equal rows, other columns are
-ignored.
+ignored.  A very long text is scored whole, in pieces of bounded size.  An empty table gives an
+empty one.  More than MAX_LANGUAGES different labels are an error: the model would have
+a row for each.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import LOWER, Scan, scans
+from .textscan import CHUNK_BYTES, LOWER, Scan, scans
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
@@ -33,6 +35,7 @@ _SMOOTH = 0.5
 _SHARPNESS = 4.0
 AMBIGUOUS_LEAD = 0.2
 UNDETERMINED = "und"
+MAX_LANGUAGES = 1000
 
 _FOLD = LOWER.copy()
 _FOLD[:0x41] = _FOLD[0x5B:0x61] = _FOLD[0x7B:0x80] = 0x20
@@ -86,7 +89,10 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(200):
         code = rng.random((n, max(15, 10 * int(np.ceil(np.log2(n)))))) < 0.5
         code = code[:, code.any(0) & ~code.all(0)]
-        gap = min(int((a != b).sum()) for a, b in itertools.combinations(code, 2))
+        signs = np.where(code, 1.0, -1.0)
+        agree = signs @ signs.T  # bits minus twice the differing ones
+        np.fill_diagonal(agree, -np.inf)
+        gap = int((code.shape[1] - agree.max()) // 2)
         if gap > best_gap:
             best, best_gap = code, gap
     return best
@@ -107,6 +113,8 @@ class Model:
 
     def margins(self, scan: Scan) -> np.ndarray:
         """Each text's mean log-odds of an n-gram for every bit, over all n-grams of the whole text."""
+        if scan.n == 1 and len(scan.data) > CHUNK_BYTES:
+            return self._long_margins(scan)
         total, n = np.zeros((scan.n, self.code.shape[1])), np.zeros(scan.n)
         full = np.flatnonzero(np.diff(scan.bounds) > 0)
         if not len(full):
@@ -118,6 +126,16 @@ class Model:
             n[full] += np.add.reduceat((buckets < BUCKETS).astype(np.int64), starts)
         return total / np.maximum(n, 1)[:, None]
 
+    def _long_margins(self, scan: Scan) -> np.ndarray:
+        """The same for one long text, from its number of n-grams in each bucket."""
+        counts = np.zeros(BUCKETS + 1, np.int64)
+        for order in ORDERS:
+            for lo in range(0, len(scan.data), CHUNK_BYTES):
+                data = scan.data[lo : lo + CHUNK_BYTES + order - 1]  # n-grams that start in the chunk
+                counts += np.bincount(gram_buckets(Scan(data, np.array([0, len(data)])), order)[:CHUNK_BYTES], minlength=BUCKETS + 1)
+        counts = counts[:BUCKETS]
+        return (counts @ self.weights[:BUCKETS].astype(np.float64) / max(1, counts.sum()))[None]
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number, score and lead of each text's nearest codeword."""
         signs = np.where(self.code, 1.0, -1.0)
@@ -135,6 +153,8 @@ class Model:
 def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> Model:
     """Learns from every row with a label and a text."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string"), text_col)
+    if len(names := labelled.select(F.col(label_col)).distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+        raise ValueError(f"{label_col} has more than {MAX_LANGUAGES} values, the first being {sorted(r[0] for r in names)[:5]}")
     rows = labelled.mapInArrow(_count_grams, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["label"].unique())
     counts = np.zeros((len(languages), BUCKETS))

@@ -5,10 +5,11 @@ is repeated Poisson(rate) times, by inverting the distribution at a number in [0
 that hashes the seed and the row's key, so a rerun or a retried task repeats it
 exactly.  A rate above LARGEST_RATE is drawn as a sum of independent draws of at most that
 rate, so a source's table of cumulative probabilities stays short.  Copies are then dealt over all partitions by a hash of (key, copy) and
-sorted by it: a global shuffle.
+sorted by it: a global shuffle.  A row of a source with a rate above MANY is first dealt in
+blocks of that many copies, so that no task makes all copies of one row.
 
 Rows with a null source form a source of their own; null weights count as 0, sources
-without a weight get weight 1.  A null key hashes like the text 'null', so such rows
+without a weight get weight 1.  Very long texts are carried whole.  A null key hashes like the text 'null', so such rows
 share one draw; repeated rows get equal draws.  An empty table gives an empty one.
 Columns named ``copy`` or ``shuffle_key`` are replaced.
 """
@@ -26,6 +27,8 @@ LARGEST_RATE = 64.0
 MAX_BROADCAST_SOURCES = 20_000
 #: Beyond it, each source's row is repeated so often and its documents are dealt over the repeats.
 SALTS = 64
+#: Copies of a row that one task makes at once.
+MANY = 1000
 
 
 def unit(seed: str, *keys: Column) -> Column:
@@ -64,8 +67,9 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
     ``weights`` maps sources to weights; others get the SQL expression ``default`` over ``n_rows``.
     """
     weight = F.expr(default).cast("double")
-    for name, value in (weights or {}).items():
-        weight = F.when(F.col("source_key") == name, F.lit(float(value or 0))).otherwise(weight)
+    if weights:  # one map, however many weights
+        given = F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*(F.lit(float(v or 0)) for v in weights.values())))
+        weight = F.coalesce(F.try_element_at(given, F.col("source_key")), weight)
     counts = docs.groupBy(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("join_key"), F.col(source_col).cast("string").alias("source_key")).agg(F.count("*").alias("n_rows"))
     counts = counts.withColumn("weight", F.coalesce(weight, F.lit(0.0)))
     totals = counts.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
@@ -80,7 +84,7 @@ def poisson_count(u: Column, steps: Column) -> Column:
     return F.size(F.filter(steps, lambda c: c <= u))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, default_weight: str = "1.0", key_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", max_broadcast: int = MAX_BROADCAST_SOURCES, salts: int = SALTS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, default_weight: str = "1.0", key_col: str = "doc_id", source_col: str = "source", seed: str = "mix-1", max_broadcast: int = MAX_BROADCAST_SOURCES, salts: int = SALTS, many: int = MANY) -> DataFrame:
     """All columns of docs for each copy, with ``copy`` (int, from 1) and ``shuffle_key`` (long), in shuffled order."""
     docs = docs.drop("copy", "shuffle_key")
     rates = source_rates(docs, source_col, weights, default_weight).select("join_key", "blocks", "steps")
@@ -95,7 +99,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, def
     whole = F.array(*map(F.lit, _steps_of(LARGEST_RATE)))
     more = F.aggregate(F.sequence(F.lit(1), F.col("blocks")), F.lit(0), lambda n, j: n + poisson_count(unit(seed, F.col("draw_key"), j), whole))
     times = poisson_count(F.col("u"), F.col("steps")) + F.when(F.col("blocks") > 0, more).otherwise(0)
-    copies = joined.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    counted = joined.withColumn("times", times).where("times > 0")
+    if rates.where((F.col("blocks") + 1) * LARGEST_RATE >= many).isEmpty():
+        copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    else:
+        blocks = counted.select("row", "times", F.explode(F.sequence(F.lit(1), F.col("times"), F.lit(many))).alias("at"))
+        dealt = blocks.repartition(F.xxhash64("row", "at"))
+        copies = dealt.select("row", F.explode(F.sequence(F.col("at"), F.least("times", F.col("at") + many - 1))).alias("copy"))
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(f"row.{key_col}").cast("string"), F.lit("null")), F.col("copy"))), 1, 15), 16, 10).cast("long")
     dealt = copies.select("row.*", "copy", place.alias("shuffle_key"))
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -6,8 +6,9 @@ ledger, so a policy change, its rejections and its ablations never touch a text
 again: they are bitwise expressions and one aggregation over the distinct masks.
 
 Null and empty texts have zero words and fail ``few_words``.  Rows are independent:
-repeated rows give equal rows, null ids are kept, columns other than the id and the
-text are ignored.
+repeated rows give equal rows, there are no ties, null ids are kept, columns other than the
+id and the text are ignored.  A very long text is scanned whole, alone in its chunk.  An empty
+table gives an empty one.  An id column named like a measure is an error.
 """
 
 from __future__ import annotations
@@ -87,6 +88,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and MEASURES (long) of every row."""
+    if id_col in (*MEASURES, "failed_rules"):
+        raise ValueError(f"{id_col} is the name of a measure: rename the id column")
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(_measure, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in MEASURES))
 

@@ -48,6 +48,118 @@ def test_codewords_differ():
         assert min(gaps) >= (1 if n == 2 else 2)
 
 
+def brute_language(rows, texts):
+    """Counts, classifiers and decoding again, one n-gram at a time."""
+    fold = lambda t: bytes(c + 32 if 0x41 <= c < 0x5B else 0x20 if c < 0x61 or 0x7B <= c < 0x80 else c for c in t.encode())
+
+    def grams(t):
+        data = fold(t)
+        for order in (1, 2, 3):
+            for i in range(len(data) - order + 1):
+                if any(c != 0x20 for c in data[i : i + order]):
+                    h = 0x811C9DC5 + order
+                    for c in data[i : i + order]:
+                        h = ((h ^ c) * 0x01000193) & 0xFFFFFFFF
+                    yield (h ^ h >> 15) & (langid.BUCKETS - 1)
+
+    counts = {}
+    for t, lang in rows:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    languages = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in languages}
+    code = langid.codewords(len(languages))
+    floor = 0.5 / max(1.0, sum(total.values()) / len(languages))
+    out = []
+    for t in texts:
+        loss = dict.fromkeys(languages, 0.0)
+        seen = list(grams(t))
+        for bit in code.T:
+            odds = []
+            for g in seen:
+                share = [counts[x][g] / total[x] for x in languages]
+                odds.append(math.log((np.mean([s for s, b in zip(share, bit, strict=True) if b]) + floor) / (np.mean([s for s, b in zip(share, bit, strict=True) if not b]) + floor)))
+            margin = float(np.mean(odds))
+            for x, b in zip(languages, bit, strict=True):
+                loss[x] += math.log1p(math.exp(-4.0 * margin * (1 if b else -1)))
+        p = {x: math.exp(min(loss.values()) - loss[x]) for x in languages}
+        best = max(languages, key=lambda x: (p[x], -languages.index(x)))
+        out.append((best, p[best] / sum(p.values())))
+    return out
+
+
+def test_language_id_by_brute_force(spark):
+    rows = [(t, lang) for _, t, lang, _ in language_rows(4, 45)]
+    texts = [t for _, t, _, _ in language_rows(5, 20)] + ["Über-Wald 12 LOREM", "zwei kuka"]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["id"], r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect())
+    for (_, lang, score), (want, p) in zip(got, brute_language(rows, texts), strict=True):
+        assert lang == want and math.isclose(score, p, rel_tol=1e-4)
+
+
+def test_language_of_a_long_text(spark, monkeypatch):
+    """In pieces a long text has the margins that it has whole; too many labels are refused."""
+    model = langid.fit(spark.createDataFrame([(t, lang) for _, t, lang, _ in language_rows(4, 45)], "text string, lang string"))
+    scan = next(scans(pa.array(["kuka talo über " * 400])))[2]
+    whole = model.margins(scan)
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 1000)
+    assert np.allclose(whole, model.margins(scan), rtol=1e-5)
+    many = spark.range(1100).selectExpr("concat('x', id) AS lang", "'some text' AS text")
+    with pytest.raises(ValueError, match="more than 1000"):
+        langid.fit(many)
+
+
+def test_toxicity_gradient(monkeypatch):
+    """One step of training goes down the loss as its numeric gradient says."""
+    monkeypatch.setattr(toxicity, "_HIDDEN", 0.0)
+    monkeypatch.setattr(toxicity, "_STEPS", 1)
+    monkeypatch.setattr(toxicity, "_BATCH", 4)
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 1 << 17, (9, 4)).astype(np.int32) for _ in range(6)]
+    labels = np.array([1, 1, 1, 0, 0, 0])
+    draw = np.random.default_rng(5)
+    pick = np.concatenate([draw.choice(np.arange(3), 2), draw.choice(np.arange(3, 6), 2)])
+    before, after = toxicity.Net.fresh(), toxicity.train(texts, labels)
+
+    def loss(net):
+        logit = np.array([net.logits(texts[i], np.zeros(9, int), 1)[0] for i in pick], float)
+        return np.mean(np.log1p(np.exp(-logit * np.where(labels[pick] == 1, 1, -1))))
+
+    before.embed, before.filters = before.embed.astype(float), [f.astype(float) for f in before.filters]
+    before.bias, before.out = before.bias.astype(float), before.out.astype(float)
+    rate = toxicity._RATE + 0.005
+
+    def step_of(g, decay=0.0):  # the first step of Adagrad
+        g = g + decay
+        return -rate * g / math.sqrt(1e-3 + g * g)
+
+    checked = 0
+    places = [("filters", k, i, j) for k in range(3) for i in (0, 7) for j in (0, 3)] + [("bias", None, 2, None), ("out", None, 5, None), ("embed", None, int(texts[pick[0]][4, 0]), 3)]
+    for name, k, i, j in places:
+        old, new = (getattr(x, name) if k is None else getattr(x, name)[k] for x in (before, after))
+        at = i if j is None else (i, j)
+        eps, start = 3e-3, float(old[at])
+        old[at] = start + eps
+        up = loss(before)
+        old[at] = start - eps
+        down = loss(before)
+        old[at] = start
+        g = (up - down) / (2 * eps)
+        decay = 1e-4 * start if name in ("filters", "out") else 0.0
+        assert math.isclose(float(new[at]) - start, step_of(g, decay), rel_tol=3e-2, abs_tol=5e-5), (name, k, i, j)
+        checked += g != 0
+    assert checked >= 5
+
+
+def test_toxicity_held_out(spark):
+    """At sf0.01: most toxic held-out texts are found, clean ones are left alone."""
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(toxic) == 14 and sum(toxic) >= 8 and len(clean) == 80 and sum(clean) <= 2
+
+
 def test_language_id_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op4_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()

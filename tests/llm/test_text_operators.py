@@ -147,6 +147,10 @@ def test_mixing(spark, docs):
     mixed = mixing.mix_sources(docs, {"s0": 3.0, "s1": 0.0}).drop("shuffle_key").collect()
     salted = mixing.mix_sources(docs, {"s0": 3.0, "s1": 0.0}, max_broadcast=1, salts=3).drop("shuffle_key").collect()
     assert sorted(map(str, mixed)) == sorted(map(str, salted))
+    blocks = mixing.mix_sources(docs, {"s0": 3.0, "s1": 0.0}, many=1).drop("shuffle_key").collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, blocks))
+    many = {f"x{i}": 2.0 for i in range(3000)} | {"s0": 3.0, "s1": None}
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix_sources(docs, many).drop("shuffle_key").collect()))
     assert not any(r["source"] == "s1" for r in mixed)
     assert mixing.mix_sources(empty(spark)).count() == 0
     n = {r["source"]: r for r in mixing.source_rates(docs, "source", {"s0": 3.0}).withColumnRenamed("source_key", "source").collect()}
