@@ -9,7 +9,17 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last
 return the columns of documents.  ``run`` writes each stage's result to the shared
 folder and reads it back, so a lost executor costs one stage's tasks at most.
-Rows with null ids or texts pass: a null text becomes empty in stage 2.
+Near duplicates are taken at five words a shingle and a similarity of 0.8, as everywhere but
+in op2_near_duplicates, whose contract says four words.
+
+Null ids pass every stage; a null text is never rejected as toxic for its lack of words and
+becomes an empty one in stage 2.  Empty texts are linked with nothing and have no ids in the
+end.  Very long texts are read whole by every stage.  Ties: a shared line stays with the
+largest doc_id, a group of near duplicates with the smallest.  Repeated rows of one doc_id
+count as one document in stage 2, and one of them stays in stage 3.  Copies that stage 4
+makes of a document have its doc_id, so stage 5, which seeds by it, gives them the same ids.
+Other columns, whatever their names, are carried by the first four stages, but for
+``copy`` and ``shuffle_key``, which stage 4 drops.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
