@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, join_facts, stored
+from .shared import HOT_ROWS, discard, join_facts, stored
 
 
 def _least(edges: DataFrame, to: str) -> DataFrame:
     """The smallest neighbour of each node a, as ``to``, and its number of edges: combined before the shuffle."""
-    return stored(edges.groupBy("a").agg(F.min("b").alias(to), F.count("*").alias("n")), "least")
+    return edges.groupBy("a").agg(F.min("b").alias(to), F.count("*").alias("n"))
 
 
-def _star_step(edges: DataFrame) -> DataFrame:
-    """A large-star step, then a small-star step.  A hub's least neighbour is broadcast to its edges."""
+def _star_step(edges: DataFrame, n: int) -> DataFrame:
+    """A large-star step, then a small-star step, over n edges.  A hub's least neighbour is broadcast to its edges."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both, "m")
-    larger = join_facts(both.where("b > a"), least, ["a"], "n")
-    star = stored(larger.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "edges")
+    larger = join_facts(both.where("b > a"), _least(both, "m"), ["a"], "n", n)
+    star = larger.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    if n >= HOT_ROWS:
+        star = stored(star, "edges")
     lowest = _least(star, "m")
-    moved = join_facts(star, lowest, ["a"], "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    out = stored(moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
-    discard(least, star, lowest)
-    return out
+    moved = join_facts(star, lowest, ["a"], "n", n).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return stored(moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,6 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before, old = state, now
-        now = _star_step(old)
+        now = _star_step(old, state[0])
         discard(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

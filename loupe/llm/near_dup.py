@@ -169,7 +169,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Tab
 
 
 def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of each small node whose signatures agree enough; row i meets row i + k for every k."""
+    """Compares all pairs of each small node, row i with row i + k for every k; each set is linked to the smallest it is connected with there."""
     for table in _groups(batches):
         node, rep = table.column(0).to_numpy(), table.column(1).to_numpy()
         sketch = _matrix(table.column(2).combine_chunks(), SKETCH)
@@ -179,19 +179,27 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not len(i):
                 break
             i = i[(sketch[i] == sketch[i + k]).mean(1) >= LEAST_AGREEMENT]
-            a.append(rep[i])
-            b.append(rep[i + k])
+            a.append(i)
+            b.append(i + k)
+        least = rep.copy()
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            left, right = np.concatenate(a), np.concatenate(b)
+            while (least[left] != least[right]).any():
+                low = np.minimum(least[left], least[right])
+                np.minimum.at(least, left, low)
+                np.minimum.at(least, right, low)
+        joined = np.flatnonzero(least != rep)
+        yield pa.RecordBatch.from_arrays([pa.array(rep[joined]), pa.array(least[joined])], names=["a", "b"])
 
 
 def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE) -> DataFrame:
     """Candidate links (a, b) between representatives (rep, sketch, tokens)."""
+    n_sets = reps.count()
     rows = reps.select("rep", "tokens").mapInArrow(_plant(trees), "node long, rep long, tree int")
     leaves, dense = [], []
     for level in range(1, levels + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-        members = rows.join(sizes, "node")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
+        members = join_facts(rows, sizes.withColumn("size", F.col("n")), ["node"], "n", n_sets * 2).where("size IS NOT NULL")
         if level == 1:  # most sets have no company from the start; only the others bring their signatures
             members = members.join(reps.select("rep", "sketch", "tokens"), "rep").withColumn("own", F.expr(f"substring(tokens, tree * {2 * TOKENS} + 1, {2 * TOKENS})")).withColumn("parent_size", F.lit(None).cast("long"))
         members = stored(members.select("node", "rep", "size", "sketch", "own", "hub", "parent_size"), "tree-nodes")
@@ -336,8 +344,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not edges.isEmpty():
         labels = labels.unionByName(components(edges).select(F.col("node").alias("a"), F.col("component").alias("b")))
     labels = classes.select(*keys, "n", "rep").join(labels.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left")
-    labels = stored(labels.select(*keys, "n", F.coalesce("component", "rep").alias("component")), "class-labels")
-    linked = join_facts(full.select("id", *keys), labels, keys, "n").select("id", "n_shingles", "component")
+    labels = labels.select(*keys, "n", F.coalesce("component", "rep").alias("component"))
+    linked = join_facts(full.select("id", *keys), labels, keys, "n", full.count()).select("id", "n_shingles", "component")
     alone = sketches.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
     out = linked.unionByName(alone)
     return out.select("id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -44,11 +44,14 @@ def discard(*tables: DataFrame) -> None:
 HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str) -> DataFrame:
-    """rows left-joined to facts, one row a key, without ``n_col``: a key's number of rows.
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, at_most: int) -> DataFrame:
+    """rows left-joined to facts, one row a key, without ``n_col``: a key's number of rows.  ``at_most``: no key has more.
 
     Facts of hot keys, fewer than HOT_KEYS, are broadcast, so that no task gets all rows of one key; the others are joined by a shuffle.
     """
+    if at_most < HOT_ROWS:
+        return rows.join(facts.drop(n_col), keys, "left")
+    facts = stored(facts, "facts")
     total, most = facts.agg(F.sum(n_col), F.max(n_col)).first()
     least = max(HOT_ROWS, (total or 0) // HOT_KEYS + 1)
     if (most or 0) < least:
