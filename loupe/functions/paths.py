@@ -15,6 +15,8 @@ EXCLUDED_DIRS = ("node_modules", "__pycache__", "$Recycle.Bin", "System Volume I
 OPTIONAL_EXCLUDED_DIRS = ("dist", "build", "target", "vendor", "tmp", "temp", "__MACOSX", "coverage")
 # Paths excluded by default.
 EXCLUDED_PATHS = ("C:\\Windows", "C:\\$Recycle.Bin", "C:\\System Volume Information", "C:\\ProgramData", "C:\\Program Files", "C:\\Program Files (x86)", "C:\\Users\\Default")
+#: Excluded by default below a user's own folder.
+_PROFILE_DIR = "AppData"
 # Extensions whose text is extracted.
 TEXT_EXTENSIONS = (
     ".txt", ".md", ".py", ".js", ".ts", ".java", ".c", ".cpp", ".h", ".cs", ".html", ".css", ".xml", ".json", ".yaml", ".yml", ".toml",
@@ -79,15 +81,28 @@ def in_folders(path: Column, folders: Iterable[str], sep: str = "/") -> Column:
     return out
 
 
-def excluded(path: Column, paths: Iterable[str] = (), dirs: Iterable[str] = (), sep: str = "/") -> Column:
-    """The exclusion rule: office lock files, excluded paths and what is below them (any case), and paths with a component that
-    is an excluded name (exact case) or starts with a dot or a dollar sign."""
+def default_excluded_paths(profile: str = "") -> list[str]:
+    """Paths excluded by default, with that below a user's folder (such as ``C:\\Users\\me``)."""
+    return [*EXCLUDED_PATHS, f"{profile}\\{_PROFILE_DIR}".lstrip("\\")]
+
+
+def comparable(path: Column) -> Column:
+    """Lower case with single slashes and without '.' and '..', so that spellings of one path are equal."""
+    plain = F.rtrim(F.translate(F.lower(path), "\\", "/"), F.lit("/"))
+    return F.when(F.rlike(plain, F.lit(r"//|/\.\.?(/|$)")), normalized(plain)).otherwise(plain)
+
+
+def excluded(path: Column, paths: Iterable[str] = (), dirs: Iterable[str] = ()) -> Column:
+    """The exclusion rule: office lock files, excluded paths and what is below them (any case, either slash), and paths with a
+    component that is an excluded name (exact case) or starts with a dot or a dollar sign."""
     parts = F.split(F.translate(path, "\\", "/"), "/")
     named = list(dirs)
     part = lambda p: F.startswith(p, F.lit(".")) | F.startswith(p, F.lit("$")) | (p.isin(*named) if named else F.lit(False))
     out = F.startswith(F.element_at(parts, -1), F.lit("~$")) | F.exists(parts, part)
+    low = comparable(path)
     for top in paths:
-        out = out | under(F.lower(path), top.lower(), sep, or_equal=True)
+        clean = "/".join(x for x in top.lower().replace("\\", "/").split("/") if x not in ("", "."))
+        out = out | (low == clean) | F.startswith(low, F.lit(f"{clean}/"))
     return out
 
 

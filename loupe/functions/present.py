@@ -56,14 +56,24 @@ def find_count(text: Column, term: str) -> Column:
     return F.regexp_count(F.lower(text), F.lit(re.escape(term.lower()))) if term else F.lit(0)
 
 
+_PART = re.compile(r'"(?P<quoted>[^"]*)"|(?i:\bnear)\s*\((?P<near>[^)]*)\)|(?P<word>(?:[^\s"^()]|"(?![^"]*"))+)')
+
+
 def highlight_terms(query: str) -> list[str]:
-    """The words and quoted phrases of a query that a preview marks: phrases first, then words inside NEAR, then the rest."""
-    quoted = [p.strip() for p in re.findall(r'"([^"]+)"', query)]
-    rest = re.sub(r'"[^"]*"', " ", query)
-    near = [w for body in re.findall(r"(?i)NEAR\s*\(([^)]*)\)", rest) for w in re.split(r"[\s,]+", body)]
-    rest = re.sub(r"(?i)NEAR\s*\([^)]*\)|\b(?:AND|OR|NOT)\b|[\^()]", " ", rest)
-    near = [w for w in (w.rstrip("*") for w in near) if not w.isdigit()]
-    return [t for t in (*quoted, *near, *(w.rstrip("*") for w in rest.split())) if t]
+    """The words and quoted phrases of a query that a preview marks: phrases first, then words inside NEAR, then the rest.
+
+    One pass over the query's parts; operators, distances inside NEAR and trailing stars mark nothing.
+    """
+    found: dict[str, list[str]] = {"quoted": [], "near": [], "word": []}
+    for part in _PART.finditer(query):
+        kind, body = part.lastgroup, part[part.lastgroup]
+        if kind == "quoted":
+            found[kind].append(body.strip())
+        elif kind == "near":
+            found[kind] += [w.rstrip("*") for w in body.replace(",", " ").split() if not w.rstrip("*").isdigit()]
+        elif body.upper() not in ("AND", "OR", "NOT"):
+            found[kind].append(body.rstrip("*"))
+    return [t for kind in found.values() for t in kind if t]
 
 
 def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>", limit: int = MAX_HIGHLIGHTS) -> Column:

@@ -1,10 +1,10 @@
 """Full paths of a forest of (node, parent) rows.
 
 Pointer doubling: after step k a node knows its ancestor 2^k links up and the names
-between, so 256 levels take at most nine self-joins on equal keys, whatever the shape
+between, so a chain of n nodes takes log2(n) self-joins on equal keys, whatever the shape
 of the tree; nodes that have reached the root leave the loop, and it ends with the
-deepest.  A missing parent, or a node that is its own parent, is the root.  Nodes on
-a cycle or deeper than the limit never reach a root and are dropped.
+deepest.  A missing parent, or a node that is its own parent, is the root.  A cycle is cut
+at its smallest reference, which becomes a child of the root, so no entry is lost.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-MAX_DEPTH = 256
 _KEY = ["drive", "file_ref"]
+#: Chains longer than this are checked for cycles.
+_USUAL_DEPTH = 256
 
 
-def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exclude: Callable[[Column], Column] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exclude: Callable[[Column], Column] | None = None) -> DataFrame:
     """entries (drive, file_ref, parent_ref, name, ...) with ``path``; roots themselves, and all below an excluded path, are dropped.
 
     ``root`` is a path, or a Column over an entry's own columns (such as its drive).  ``exclude`` maps a full path to a
@@ -29,37 +30,57 @@ def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exc
     """
     root_path = F.lit(root) if isinstance(root, str) else root
     inner = entries.where(F.col("file_ref") != F.col("parent_ref"))
-    # a link: the chain from a node up to ``up`` (null: the root was reached), and its names joined
     known = inner.select(F.col("drive").alias("p_drive"), F.col("file_ref").alias("p_ref"))
-    start = inner.join(known, (F.col("drive") == F.col("p_drive")) & (F.col("parent_ref") == F.col("p_ref")), "left").select(*_KEY, F.col("p_ref").alias("up"), F.col("name").alias("tail"))
-    links = _double(start, max_depth, lambda far, near: F.concat_ws(sep, far, near), "tail")
-    paths = inner.join(links, _KEY).withColumn("path", F.concat_ws(sep, F.rtrim(root_path, F.lit(sep)), "tail")).drop("tail")
+    parents = inner.join(known, (F.col("drive") == F.col("p_drive")) & (F.col("parent_ref") == F.col("p_ref")), "left")
+    # a link: the chain from a node up to ``up`` (null: the root was reached), and its names joined
+    links = staged(parents.select(*_KEY, F.col("p_ref").alias("up"), F.col("name").alias("tail")), "links")
+    names = lambda far, near: F.concat_ws(sep, far, near)
+    ended, deep = _double(links, names, "tail", _USUAL_DEPTH)
+    if deep is not None:  # deeper than usual, or on a cycle
+        links = _without_cycles(links, _cycle_heads(links.join(deep, _KEY, "left_semi")))
+        ended, _ = _double(links, names, "tail")
+    paths = inner.join(ended, _KEY).withColumn("path", F.concat_ws(sep, F.rtrim(root_path, F.lit(sep)), "tail")).drop("tail")
     if exclude is None:
         return paths
-    flags = paths.select(*_KEY, "parent_ref", F.coalesce(exclude(F.col("path")), F.lit(False)).alias("out"))
-    ref = flags.select(F.col("drive").alias("p_drive"), F.col("file_ref").alias("p_ref"))
-    start = flags.join(ref, (F.col("drive") == F.col("p_drive")) & (F.col("parent_ref") == F.col("p_ref")), "left").select(*_KEY, F.col("p_ref").alias("up"), "out")
-    inherited = _double(start, max_depth, lambda far, near: far | near, "out")
+    start = links.select(*_KEY, "up").join(paths.select(*_KEY, F.coalesce(exclude(F.col("path")), F.lit(False)).alias("out")), _KEY)
+    inherited, _ = _double(start, lambda far, near: far | near, "out")
     return paths.join(inherited.where("NOT out").select(*_KEY), _KEY)
 
 
-def _double(links: DataFrame, max_depth: int, combine: Callable[[Column, Column], Column], value: str) -> DataFrame:
-    """Follows ``up`` until it is null, combining ``value`` of the far link with the near one's; what doesn't end is dropped."""
+def _double(links: DataFrame, combine: Callable[[Column, Column], Column], value: str, depth: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Follows ``up`` until it is null, combining ``value`` of the far link with the near one's; with ``depth``, also the keys of longer chains."""
     ended, links, span = [], staged(links, "links"), 1
-    while span <= max_depth:
+    while True:
         ended.append(links.where("up IS NULL"))
         open_ = links.where("up IS NOT NULL")
         if open_.isEmpty():
-            break
-        far = links.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value"))
-        known = reduce(DataFrame.unionByName, ended[:-1]).select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value")) if len(ended) > 1 else None
-        far = far if known is None else far.unionByName(known)
+            return reduce(DataFrame.unionByName, ended).drop("up"), None
+        if depth is not None and span > depth:
+            return reduce(DataFrame.unionByName, ended).drop("up"), open_.select(*_KEY)
+        far = links.unionByName(reduce(DataFrame.unionByName, ended[:-1])) if len(ended) > 1 else links
+        far = far.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value"))
         both = open_.join(far, (F.col("drive") == F.col("f_drive")) & (F.col("up") == F.col("f_ref")))
         links = staged(both.select(*_KEY, F.col("f_up").alias("up"), combine(F.col("f_value"), F.col(value)).alias(value)), "links")
         span *= 2
-    else:
-        ended.append(links.where("up IS NULL"))
-    return reduce(DataFrame.unionByName, ended).drop("up")
+
+
+def _cycle_heads(links: DataFrame) -> DataFrame:
+    """drive and head: the smallest reference of each cycle among ``links`` (drive, file_ref, up); other chains leave the loop."""
+    low = staged(links.select(*_KEY, "up", F.col("file_ref").alias("low")), "cycles")
+    n, span = low.count(), 1
+    while span <= n:  # at the end ``up`` lies on the cycle, and a cycle's node has seen all of it
+        far = low.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col("low").alias("f_low"))
+        both = low.join(far, (F.col("drive") == F.col("f_drive")) & (F.col("up") == F.col("f_ref")))
+        low = staged(both.select(*_KEY, F.col("f_up").alias("up"), F.least("low", "f_low").alias("low")), "cycles")
+        span *= 2
+    on_cycle = low.select("drive", F.col("up").alias("file_ref")).distinct()
+    return staged(low.join(on_cycle, _KEY, "left_semi").select("drive", F.col("low").alias("head")).distinct(), "cycle-heads")
+
+
+def _without_cycles(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """links whose cycles' heads hang from the root."""
+    marked = links.join(heads.select(F.col("drive").alias("h_drive"), "head"), (F.col("drive") == F.col("h_drive")) & (F.col("file_ref") == F.col("head")), "left")
+    return marked.withColumn("up", F.when(F.col("head").isNull(), F.col("up"))).drop("h_drive", "head")
 
 
 def refs_to_paths(refs: DataFrame, catalog: DataFrame) -> DataFrame:

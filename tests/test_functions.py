@@ -46,6 +46,9 @@ def test_excluded(spark):
     given = ["C:/a/~$x.docx", "C:/Windows", "C:/windows/system", "C:/windowsx/a", "C:/a/node_modules/b", "C:/a/Node_Modules/b", "C:/.git/x", "C:/$Recycle.Bin/x", "C:/a/.hidden", "C:/ok/x.txt"]
     out = column(spark, given, lambda p: paths.excluded(p, ["C:/Windows"], ["node_modules"]))
     assert out == [True, True, True, False, True, False, True, True, True, False]
+    given = ["C:/Windows/x.txt", "C:\\Windows\\x.txt", "c:/WINDOWS", "C:\\Program Files (x86)\\a\\b", "C:/x/../Windows/y", "C://Windows//z", "C:\\Users\\me\\AppData\\q", "C:/Windowsx/a", "D:/Windows/a", "C:/x/Windows"]
+    out = column(spark, given, lambda p: paths.excluded(p, paths.default_excluded_paths("C:\\Users\\me")))
+    assert out == [True] * 7 + [False] * 3
 
 
 def test_join_folders(spark):
@@ -87,7 +90,7 @@ def test_time_label_percent(spark):
     assert column(spark, [0, 1, 3], lambda x: present.percent(x, F.lit(3)), "int") == [0, 33, 100]
 
 
-@pytest.mark.parametrize(("query", "terms"), [('"import pandas"', ["import pandas"]), ("NEAR(def return, 10)", ["def", "return"]), ("A AND B", ["A", "B"]), ("^rep* (x)", ["rep", "x"]), ("", [])])
+@pytest.mark.parametrize(("query", "terms"), [('"import pandas"', ["import pandas"]), ("NEAR(def return, 10)", ["def", "return"]), ("A AND B", ["A", "B"]), ("^rep* (x)", ["rep", "x"]), ("", []), ('a* "b  c" near(d* e, 3) or (not "f") g', ["b  c", "f", "d", "e", "a", "g"]), ('x "y', ["x", '"y'])])
 def test_highlight_terms(query, terms):
     assert present.highlight_terms(query) == terms
 

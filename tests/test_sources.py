@@ -1,10 +1,8 @@
 """Text extraction and binary records on bytes built here."""
 
-import gzip
 import io
 import struct
 import zipfile
-import zlib
 
 from loupe.operators import settings
 from loupe.operators.tree import resolve_paths
@@ -19,13 +17,6 @@ def archive(parts):
     return out.getvalue()
 
 
-def paragraph(text, tag=67):
-    data = text if isinstance(text, bytes) else text.encode("utf-16-le")
-    if len(data) >= 0xFFF:
-        return struct.pack("<II", tag | 0xFFF << 20, len(data)) + data
-    return struct.pack("<I", tag | len(data) << 20) + data
-
-
 def test_plain():
     for text, encoding in (("안녕 hello", "utf-8"), ("안녕 hello", "cp949")):
         assert files.decode_plain(text.encode(encoding)) == text
@@ -46,16 +37,9 @@ def test_archives():
     assert files.extract_text(b"not a zip", ".docx") is None and files.extract_text(None, ".txt") is None
 
 
-def test_word_processor_sections():
-    controls = struct.pack("<H", 11) + b"\0" * 12 + "x".encode("utf-16-le") + struct.pack("<HHH", 9, 13, 5) + "y".encode("utf-16-le")
-    assert files.hwp_paragraph(controls) == "x \ny"
-    body = paragraph("first") + paragraph("no", 66) + paragraph("L" * 3000) + paragraph("  ") + paragraph("last")
-    assert files.hwp_section(body) == "first\n" + "L" * 3000 + "\nlast"
-    assert files.hwp_section(body + struct.pack("<I", 67 | 50 << 20) + b"abc") == files.hwp_section(body)
-    raw = zlib.compressobj(wbits=-15)
-    for packed in (raw.compress(body) + raw.flush(), zlib.compress(body), gzip.compress(body)):
-        assert files.inflate(packed) == body
-    assert files.inflate(b"\xff\xff\xff") is None
+def test_formats_without_a_reader():
+    assert files.extract_text(b"%PDF-1.7 bytes", ".PDF") is None and files.extract_text(b"\xd0\xcf\x11\xe0", ".hwp") is None
+    assert files.extract_text(b"plain", ".odd") == "plain"
 
 
 def test_file_scan(spark, tmp_path):
