@@ -7,16 +7,18 @@ path).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import basename, drive, extension, join_folders, under
+from ..functions.paths import basename, drive, extension, extractable, join_folders, normalized, under
 
 SAME_TIME = 0.001
 CATALOG = ["drive", "file_ref", "path", "name", "extension", "size", "modified", "is_dir"]
 
 
-def _latest(rows: DataFrame, keys: list[Column | str], order: str) -> DataFrame:
+def _latest(rows: DataFrame, keys: list[Column | str], order: Column | str) -> DataFrame:
     """One row a key, the last by ``order``: an aggregation that combines before the shuffle."""
     names = rows.columns
     last = rows.groupBy(*[(F.col(k) if isinstance(k, str) else k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*names), order).alias("r"))
@@ -75,9 +77,10 @@ def diff_files(files: DataFrame, incoming: DataFrame) -> DataFrame:
 def upsert_files(files: DataFrame, incoming: DataFrame, sep: str = "/") -> DataFrame:
     """files (id, path, name, extension, size, modified, has_content, file_ref) after the diff; a new file's id hashes its path.
 
-    One outer join on the path; null in an incoming file_ref keeps the old one.
+    One outer join on the path; null in an incoming file_ref keeps the old one.  Of incoming rows with one path the latest
+    counts, then the largest.  Two paths whose 64-bit hashes agree would share an id: about n^2 / 2^65 for n files.
     """
-    new = incoming.dropDuplicates(["path"])
+    new = _latest(incoming, ["path"], F.struct("modified", "size"))
     has_ref = "file_ref" in incoming.columns
     new = new.select(F.col("path").alias("n_path"), F.col("size").alias("n_size"), F.col("modified").alias("n_modified"), (F.col("file_ref") if has_ref else F.lit(None)).cast("long").alias("n_ref"))
     rows = files.join(new, F.col("path") == F.col("n_path"), "full_outer")
@@ -98,7 +101,8 @@ def upsert_contents(files: DataFrame, contents: DataFrame, extracted: DataFrame)
     A null text is a failed extraction: the old text goes and ``has_content`` is cleared, so that the file is tried again.
     """
     clean = F.make_valid_utf8(F.col("content")).alias("content")
-    tried = extracted.select("file_id", clean, F.col("content").isNotNull().alias("__ok")).dropDuplicates(["file_id"])
+    tried = extracted.select("file_id", clean, F.col("content").isNotNull().alias("__ok"))
+    tried = _latest(tried, ["file_id"], F.struct("__ok", F.xxhash64("content")))  # of several texts of a file the same one every time
     kept = contents.join(tried, "file_id", "left_anti").select("file_id", "content")
     out = files.join(tried.select(F.col("file_id").alias("id"), "__ok"), "id", "left").withColumn("has_content", F.coalesce("__ok", "has_content")).drop("__ok")
     return out.select(*files.columns), kept.unionByName(tried.where("__ok").select("file_id", "content"))
@@ -111,6 +115,22 @@ def needs_reindex(files: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(old, "path", "left").where(stale).drop("__old", "__has")
 
 
+def reindex_changed(files: DataFrame, contents: DataFrame, listing: DataFrame, texts_of: Callable[[DataFrame], DataFrame], is_excluded: Callable[[Column], Column] | None = None, sep: str = "/") -> tuple[DataFrame, DataFrame]:
+    """(files, contents) after the listing's files (path, size, modified) that need it were read again.
+
+    One job: files that are excluded, of no text format, empty or too large are left out; those that are new, have no
+    content or another time are passed to ``texts_of``, which adds ``text`` (null: failed); the rest is never opened.
+    """
+    name = basename(F.col("path"), sep)
+    wanted = listing.where(extractable(extension(name), F.col("size")))
+    if is_excluded is not None:
+        wanted = wanted.where(~F.coalesce(is_excluded(F.col("path")), F.lit(False)))
+    stale = needs_reindex(files, wanted)
+    known = upsert_files(files, stale.select(*listing.columns), sep)
+    read = texts_of(stale).select("path", F.col("text").alias("content")).join(known.select("path", F.col("id").alias("file_id")), "path")
+    return upsert_contents(known, contents, read.select("file_id", "content"))
+
+
 def content_by_path(files: DataFrame, contents: DataFrame, path: str) -> DataFrame:
     return files.where(F.col("path") == path).join(contents, F.col("id") == F.col("file_id")).select("content")
 
@@ -123,9 +143,11 @@ def stats(files: DataFrame, contents: DataFrame) -> DataFrame:
 # -- folders
 
 
-def add_folder(folders: DataFrame, path: str) -> DataFrame:
-    row = folders.sparkSession.createDataFrame([(path, None)], "path string, indexed_at double")
-    return folders.select("path", "indexed_at").unionByName(row.join(folders.select("path"), "path", "left_anti"))
+def add_folder(folders: DataFrame, path: str, sep: str = "/") -> DataFrame:
+    """folders with one more, its path normalised, unless it is there in any case."""
+    row = folders.sparkSession.createDataFrame([(path, None)], "path string, indexed_at double").withColumn("path", normalized(F.col("path"), sep))
+    known = folders.select(F.lower(normalized(F.col("path"), sep)).alias("__known"))
+    return folders.select("path", "indexed_at").unionByName(row.join(known, F.lower("path") == F.col("__known"), "left_anti"))
 
 
 def remove_folder(files: DataFrame, contents: DataFrame, folders: DataFrame, path: str, sep: str = "/") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -40,6 +40,14 @@ class Query:
         """The leaves that count for the rank; what is excluded doesn't."""
         return [self]
 
+    def phrases(self) -> list[Phrase]:
+        """The distinct phrases of the condition."""
+        raise NotImplementedError("conditions with NEAR are tested on token strings")
+
+    def counted(self) -> list[tuple[Phrase, Query]]:
+        """The phrases that count for the rank, each with the condition under which it does."""
+        raise NotImplementedError("conditions with NEAR are tested on token strings")
+
     def within(self, *columns: str) -> Query:
         raise NotImplementedError
 
@@ -56,6 +64,12 @@ class Phrase(Query):
     def within(self, *columns: str) -> Phrase:
         return dataclasses.replace(self, columns=columns)
 
+    def phrases(self) -> list[Phrase]:
+        return [self]
+
+    def counted(self) -> list[tuple[Phrase, Query]]:
+        return [(self, self)]
+
     def among(self, tokens: Tokens) -> Tokens:
         return {k: v for k, v in tokens.items() if self.columns is None or k in self.columns}
 
@@ -167,6 +181,12 @@ class _Both(Query):
     def scored(self) -> list[Query]:
         return [_If(leaf, self) for leaf in self.a.scored() + self.b.scored()]
 
+    def phrases(self) -> list[Phrase]:
+        return list(dict.fromkeys(self.a.phrases() + self.b.phrases()))
+
+    def counted(self) -> list[tuple[Phrase, Query]]:
+        return [(leaf, self) for leaf, _ in self.a.counted() + self.b.counted()]
+
     def within(self, *columns: str) -> Query:
         return dataclasses.replace(self, a=self.a.within(*columns), b=self.b.within(*columns))
 
@@ -179,6 +199,9 @@ class _Either(_Both):
     def scored(self) -> list[Query]:
         return self.a.scored() + self.b.scored()
 
+    def counted(self) -> list[tuple[Phrase, Query]]:
+        return self.a.counted() + self.b.counted()
+
 
 @dataclasses.dataclass(frozen=True)
 class _Without(_Both):
@@ -188,6 +211,32 @@ class _Without(_Both):
     def scored(self) -> list[Query]:
         return [_If(leaf, self) for leaf in self.a.scored()]
 
+    def counted(self) -> list[tuple[Phrase, Query]]:
+        return [(leaf, self) for leaf, _ in self.a.counted()]
+
+
+def holds(query: Query, hits: dict[Phrase, Column]) -> Column:
+    """The condition over its phrases' numbers of hits."""
+    if isinstance(query, Phrase):
+        return hits[query] > 0
+    a, b = holds(query.a, hits), holds(query.b, hits)
+    return a & ~b if isinstance(query, _Without) else a | b if isinstance(query, _Either) else a & b
+
+
+K1, B = 1.2, 0.75
+_LEAST_IDF = 1e-6
+
+
+def idf_of(documents: Column, n: Column) -> Column:
+    """The weight of a term that n of the documents hold; a term in most of them weighs next to nothing."""
+    idf = F.ln((documents - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, F.lit(_LEAST_IDF)).otherwise(idf)
+
+
+def term_rank(idf: Column, hits: Column, length: Column, average: Column) -> Column:
+    """BM25 of one term in one document."""
+    return idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * length / average))
+
 
 def _phrase(text: str, **options) -> Phrase:
     terms = tuple(fold_constant(text))

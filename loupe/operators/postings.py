@@ -6,10 +6,13 @@ groups; a search by postings touches the query's tokens instead of every documen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .match import Phrase, Query, holds, idf_of, term_rank
 
 
 def build(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -61,3 +64,43 @@ def phrase_documents(postings: DataFrame, terms: list[str], *, prefix: bool = Fa
 def token_stats(postings: DataFrame) -> DataFrame:
     """token, documents and occurrences."""
     return postings.groupBy("token").agg(F.count_distinct("doc_id").alias("n_docs"), F.sum(F.size("positions")).alias("n_hits"))
+
+
+def lengths(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """doc_id and n_tokens: the narrow table that ranks need beside the postings."""
+    return docs.select(F.col(id_col).alias("doc_id"), reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in columns]).alias("n_tokens"))
+
+
+def _leaf_hits(postings: DataFrame, leaf: Phrase) -> DataFrame:
+    """doc_id and hits of a phrase, from its terms' rows only."""
+    rows = postings if leaf.columns is None else postings.where(F.col("column").isin(*leaf.columns))
+    last = len(leaf.terms) - 1
+    tests = [F.startswith("token", F.lit(t)) if leaf.prefix and k == last else F.col("token") == t for k, t in enumerate(leaf.terms)]
+    if last == 0 and not leaf.initial:
+        return rows.where(tests[0]).groupBy("doc_id").agg(F.sum(F.size("positions")).alias("hits"))
+    parts = [rows.where(t).select("doc_id", "column", F.explode("positions").alias("p"), F.lit(k).alias("k")) for k, t in enumerate(tests)]
+    starts = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "column", (F.col("p") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("n"))
+    found = starts.where(F.col("n") == len(leaf.terms))
+    return (found.where("start = 0") if leaf.initial else found).groupBy("doc_id").agg(F.count("*").alias("hits"))
+
+
+def score(postings: DataFrame, doc_lengths: DataFrame, query: Query) -> DataFrame:
+    """doc_id and rank (negative BM25) of the matching documents: reads the query's tokens and the lengths, no text.
+
+    The same numbers as ``search.score`` over token strings; conditions with NEAR need that one.
+    """
+    leaves = query.phrases()
+    parts = [_leaf_hits(postings, leaf).select("doc_id", F.lit(k).alias("k"), "hits") for k, leaf in enumerate(leaves)]
+    hits = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("hits"))), F.lit(0)).alias(f"h{k}") for k in range(len(leaves))]
+    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(*hits)
+    of = {leaf: F.col(f"h{k}") for k, leaf in enumerate(leaves)}
+    counts = found.agg(*(F.count_if(F.col(f"h{k}") > 0).alias(f"n{k}") for k in range(len(leaves))))
+    totals = doc_lengths.agg(F.count("*").alias("all_docs"), F.avg("n_tokens").alias("average"))
+    rows = found.where(holds(query, of)).join(doc_lengths, "doc_id").crossJoin(F.broadcast(counts.crossJoin(totals)))  # one row
+
+    def part(leaf: Phrase, condition: Column) -> Column:
+        k = leaves.index(leaf)
+        return F.when(condition, term_rank(idf_of(F.col("all_docs"), F.col(f"n{k}")), F.col(f"h{k}").cast("double"), F.col("n_tokens"), F.col("average"))).otherwise(0.0)
+
+    rank = reduce(lambda a, b: a - b, [part(leaf, holds(node, of)) for leaf, node in query.counted()], F.lit(0.0))
+    return rows.select("doc_id", rank.alias("rank"))

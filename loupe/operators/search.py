@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import in_folders
 from ..functions.text import n_tokens, token_text
-from .match import Query, plain
+from . import postings as books
+from .match import Query, idf_of, plain, term_rank
 
-K1, B = 1.2, 0.75
-_LEAST_IDF = 1e-6
 UNLIMITED = 10_000_000
 
 
@@ -51,10 +50,8 @@ def score(indexed: DataFrame, columns: list[str], query: Query) -> DataFrame:
     average = F.col("__tokens") / F.col("__all")
     rank = F.lit(0.0)
     for k in range(len(leaves)):
-        n, hits = F.coalesce(F.col(f"__n{k}"), F.lit(0)), F.col(f"__hits{k}").cast("double")
-        idf = F.ln((F.col("__all") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, F.lit(_LEAST_IDF)).otherwise(idf)
-        rank = rank - idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * F.col("n_tokens") / average))
+        idf = idf_of(F.col("__all"), F.coalesce(F.col(f"__n{k}"), F.lit(0)))
+        rank = rank - term_rank(idf, F.col(f"__hits{k}").cast("double"), F.col("n_tokens"), average)
     return rows.withColumn("rank", rank).drop("__match", "__all", "__tokens", *(f"__{x}{k}" for k in range(len(leaves)) for x in ("hits", "n")))
 
 
@@ -92,6 +89,17 @@ def search_contents(indexed_contents: DataFrame, files: DataFrame, query: str |
     return found.orderBy("rank", "id").limit(limit) if limit < UNLIMITED else found
 
 
+def search_postings(book: DataFrame, doc_lengths: DataFrame, files: DataFrame, query: str | Query, folders: list[str] | None = None, limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
+    """``search_contents`` from stored postings: reads the rows of the query's tokens instead of every document."""
+    asked = _as_query(query)
+    if asked is None:
+        return files.limit(0).withColumn("rank", F.lit(0.0))
+    columns = [f"files.{c}" for c in files.columns]
+    hits = books.score(book, doc_lengths, asked)
+    found = hits.join(files.alias("files"), F.col("doc_id") == F.col("files.id")).select(*columns, "rank").where(in_folders(F.col("path"), folders or [], sep))
+    return found.orderBy("rank", "id").limit(limit) if limit < UNLIMITED else found
+
+
 _RESULT = ["file_id", "path", "name", "extension", "size", "modified", "is_dir"]
 
 

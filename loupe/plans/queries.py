@@ -205,6 +205,16 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(spark, sf).orderBy("rank", "file_id").limit(20).withColumn("rank", F.round("rank", 6))
 
 
+@query(_BM25 + " SELECT file_id, round(rank, 6) AS rank FROM r")
+def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranks from stored postings and lengths."""
+    docs, root = views.contents(spark, sf), f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    postings.write(postings.build(docs, "file_id", ["content"]), f"{root}/book")
+    postings.lengths(docs, "file_id", ["content"]).write.parquet(f"{root}/lengths")
+    book, lengths = spark.read.parquet(f"{root}/book"), spark.read.parquet(f"{root}/lengths")
+    return postings.score(book, lengths, match.word("the") & match.prefix("est")).select(F.col("doc_id").alias("file_id"), F.round("rank", 6).alias("rank"))
+
+
 @query(f"WITH {T_} SELECT doc_id, count(*)::BIGINT AS hits FROM (SELECT doc_id, unnest(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS i FROM toks) GROUP BY doc_id")
 def postings_phrase(spark: SparkSession, sf: str) -> DataFrame:
     book = postings.build(views.contents(spark, sf), "file_id", ["content"])
@@ -309,6 +319,25 @@ def needs_reindex(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.needs_reindex(views.files(spark, sf), views.incoming(spark, sf)).select("path")
 
 
+@query(f"""WITH {F_}, {views.INCOMING_SQL}, stale AS (
+  SELECT i.path, i.modified, d.text FROM incoming i JOIN files o ON i.path IN (o.path, o.path || '.new') JOIN documents d ON d.doc_id = o.id LEFT JOIN files f ON i.path = f.path
+  WHERE i.size > 0 AND regexp_matches(i.path, '\\.(txt|md|py|pdf)$') AND NOT {views.EXCLUDED_SQL.format('i.path')} AND (f.path IS NULL OR NOT f.has_content OR abs(i.modified - f.modified) >= 0.001))
+SELECT coalesce(f.path, s.path) AS path, CASE WHEN s.path IS NULL THEN f.has_content ELSE NOT ends_with(s.path, '.pdf') END AS has_content,
+  CASE WHEN s.path IS NULL THEN length(d.text) WHEN NOT ends_with(s.path, '.pdf') THEN length(s.text) END::BIGINT AS n_chars
+FROM files f FULL JOIN stale s ON f.path = s.path LEFT JOIN documents d ON d.doc_id = f.id""")
+def reindex_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """The reindex job over a later listing: only stale files are opened, and a file without a reader loses its content."""
+    f, c = views.files(spark, sf), views.contents(spark, sf)
+    of = f.join(c, F.col("id") == F.col("file_id")).select(F.col("path").alias("old"), F.encode("content", "UTF-8").alias("bytes"))
+
+    def texts_of(stale: DataFrame) -> DataFrame:
+        found = stale.join(of, F.regexp_replace("path", r"\.new$", "") == F.col("old"))
+        return sources.extract(found.withColumn("ext", paths.extension(F.col("path"))), "bytes", "ext")
+
+    f, c = catalog.reindex_changed(f, c, views.incoming(spark, sf), texts_of, _excluded)
+    return f.join(c, f["id"] == c["file_id"], "left").select("path", "has_content", F.length("content").cast("long").alias("n_chars"))
+
+
 @query(f"WITH {F_} SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents JOIN files ON id = doc_id WHERE name = 'doc_12.txt'")
 def content_by_path(spark: SparkSession, sf: str) -> DataFrame:
     f = views.files(spark, sf)
@@ -328,11 +357,12 @@ def folder_containment(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.nested_folders(views.folders(spark))
 
 
-_ROUTED = f"WITH {F_}, {views.FOLDERS_SQL}, routed AS (SELECT f.path AS folder, d.path FROM files d JOIN folders f ON starts_with(lower(d.path), lower(f.path) || '/') WHERE d.id % 4 = 0)"
+_ROUTED = f"WITH {F_}, {views.FOLDERS_SQL}, routed AS (SELECT f.path AS folder, d.path FROM files d JOIN folders f ON starts_with(lower(d.path), lower(f.path) || '/'))"
 
 
 def _changed(spark: SparkSession, sf: str) -> DataFrame:
-    return views.files(spark, sf).where("id % 4 = 0").select("path")
+    """Every file counts as changed."""
+    return views.files(spark, sf).select("path")
 
 
 @query(f"""{_ROUTED}, p AS (SELECT folder, count(DISTINCT path) AS n FROM routed GROUP BY folder)
@@ -359,6 +389,22 @@ def resolve_paths_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return tree.resolve_paths(views.entries(spark, sf), F.concat("drive", F.lit(":/")), exclude=lambda p: F.endswith(p, F.lit("3"))).select("file_ref", "path")
 
 
+_CHAINS = """entries AS (
+  SELECT doc_id + 1 AS file_ref, CASE WHEN doc_id = 0 THEN 7 WHEN doc_id = 7 OR doc_id % 400 = 20 THEN -1 ELSE doc_id END AS parent_ref, 'n' || (doc_id + 1) AS name FROM documents)"""
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, r AS (
+  SELECT file_ref, 'C:/' || name AS path FROM entries WHERE parent_ref = -1 OR file_ref = 1
+  UNION ALL SELECT e.file_ref, r.path || '/' || e.name FROM entries e JOIN r ON e.parent_ref = r.file_ref WHERE e.file_ref <> 1)
+SELECT file_ref, path FROM r""")
+def resolve_paths_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of up to 400 entries, and a cycle of seven that is cut at its smallest reference."""
+    doc = F.col("doc_id")
+    parent = F.when(doc == 0, 7).when((doc == 7) | (doc % 400 == 20), -1).otherwise(doc)
+    entries = views.table(spark, sf, "documents").select(F.lit("C").alias("drive"), (doc + 1).alias("file_ref"), parent.alias("parent_ref"), F.concat(F.lit("n"), doc + 1).alias("name"))
+    return tree.resolve_paths(entries, "C:/").select("file_ref", "path")
+
+
 @query(f"{_TREE.format('', '')} WHERE path NOT LIKE '%/n1%'")
 def populate_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Entries listed twice, the first time with another name: the later row wins; excluded paths leave."""
@@ -473,6 +519,28 @@ def extract_plain(spark: SparkSession, sf: str) -> DataFrame:
     return sources.extract(f).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+_FORMAT = "CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.pdf' WHEN 2 THEN '.hwp' ELSE '.odd' END"
+
+
+@query(f"SELECT doc_id, ext, CASE WHEN doc_id % 4 IN (0, 3) THEN md5(text) END AS text_md5 FROM (SELECT *, {_FORMAT} AS ext FROM documents)")
+def extract_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Formats without a reader give no text; unknown ones are decoded as plain text."""
+    f = views.table(spark, sf, "documents").select("doc_id", F.expr(_FORMAT).alias("ext"), F.encode("text", "UTF-8").alias("content"))
+    return sources.extract(f, extension_col="ext").select("doc_id", "ext", F.md5("text").alias("text_md5"))
+
+
+_SPELLED = r"""CASE event_id % 10 WHEN 0 THEN 'C:\Windows\u' WHEN 1 THEN 'c:/WINDOWS/u' WHEN 2 THEN 'C:/Program Files (x86)/u' WHEN 3 THEN 'C:/Users/Default//u' WHEN 4 THEN 'C:\Users\me\AppData\u'
+  WHEN 5 THEN 'D:/Windows/u' WHEN 6 THEN 'C:/Windowsx/u' WHEN 7 THEN 'C:/x/../Windows/u' WHEN 8 THEN 'C:/docs/~$u' ELSE 'C:/docs/u' END"""
+
+
+@query("SELECT event_id, event_id % 10 IN (5, 6, 9) AS kept FROM events")
+def default_exclusions(spark: SparkSession, sf: str) -> DataFrame:
+    """The default exclusions, whatever a path's slashes, case and dots."""
+    spelled = F.concat(F.expr(_SPELLED.replace("\\", "\\\\")), F.col("user_id"))
+    gone = paths.excluded(spelled, paths.default_excluded_paths("C:\\Users\\me"), paths.EXCLUDED_DIRS)
+    return views.table(spark, sf, "events").select("event_id", (~gone).alias("kept"))
+
+
 # -- presentation
 
 
@@ -489,33 +557,37 @@ def result_display(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("id", "name", paths.dirname(F.col("path")).alias("folder"), present.format_size(F.col("size")).alias("size_shown"), present.format_time(F.col("modified")).alias("modified_shown"), "extension", present.match_label(F.lit("filename")).alias("label"))
 
 
-@query(r"""SELECT page_id, replace(regexp_replace(replace(replace(replace(replace(replace(substr(html, 1, 2000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
-  '(the|div)', '<b>\1</b>', 'gi'), chr(10), '<br>') AS html FROM pages""")
-def highlight_snippet(spark: SparkSession, sf: str) -> DataFrame:
-    cut, _ = present.preview(F.col("html"), 2000)
-    return views.table(spark, sf, "pages").select("page_id", present.highlight(cut, present.highlight_terms("the OR div*")).alias("html"))
+_MARKED = rf"""WITH cut AS (
+  SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, {present.PREVIEW_CHARS}), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM pages),
+parts AS (SELECT page_id, regexp_split_to_array(t, '(?i)the|div') AS between, regexp_extract_all(t, '(?i)the|div') AS hits FROM cut)
+SELECT page_id, replace(array_to_string(list_transform(range(1, len(between) + 1), lambda i: between[i] || CASE WHEN i > len(hits) THEN '' WHEN i <= {present.MAX_HIGHLIGHTS} THEN '<b>' || hits[i] || '</b>' ELSE hits[i] END), ''), chr(10), '<br>') AS html FROM parts"""
+_PREVIEWED = f"SELECT doc_id, md5(substr(text, 1, {present.PREVIEW_CHARS})) AS shown, length(text) > {present.PREVIEW_CHARS} AS was_cut FROM documents"
 
 
-@query("SELECT doc_id, md5(substr(text, 1, 1000)) AS shown, length(text) > 1000 AS was_cut FROM documents")
-def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    shown, cut = present.preview(F.col("text"), 1000)
-    return views.table(spark, sf, "documents").select("doc_id", F.md5(shown).alias("shown"), cut.alias("was_cut"))
+@query(_MARKED)
+def highlight_snippet(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as the preview shows them, at the operator's own limits."""
+    cut, _ = present.preview(F.col("html"))
+    return views.table(spark, sf, "pages").select("page_id", present.highlight(cut, present.highlight_terms("the OR div*")).alias("html"))
 
 
-@query()
+@query(_MARKED)
 def highlight_page(spark: SparkSession, sf: str) -> DataFrame:
-    """highlight_snippet at the operator's own limits; SQL can't stop at the 500th match, so a test compares it by brute force."""
-    cut, _ = present.preview(F.col("html"))
-    return views.table(spark, sf, "pages").select("page_id", present.highlight(cut, present.highlight_terms("the OR div*")).alias("html"))
+    return highlight_snippet(spark, sf)
 
 
-@query(f"SELECT doc_id, md5(substr(text, 1, {present.PREVIEW_CHARS})) AS shown, length(text) > {present.PREVIEW_CHARS} AS was_cut FROM documents")
-def preview_document(spark: SparkSession, sf: str) -> DataFrame:
-    """preview_truncate at the operator's own limit."""
+@query(_PREVIEWED)
+def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as the preview shows them, at the operator's own limit."""
     shown, cut = present.preview(F.col("text"))
     return views.table(spark, sf, "documents").select("doc_id", F.md5(shown).alias("shown"), cut.alias("was_cut"))
 
 
+@query(_PREVIEWED)
+def preview_document(spark: SparkSession, sf: str) -> DataFrame:
+    return preview_truncate(spark, sf)
+
+
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::INTEGER AS n FROM documents")
 def find_count(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "documents").select("doc_id", present.find_count(F.col("text"), "The").alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import join_folders
 from ..operators import catalog as cat
+from ..operators.staging import remove_folder
 
 # Reason bits of the journal.
 DATA_OVERWRITE, DATA_EXTEND, DATA_TRUNCATION = 0x1, 0x2, 0x4
@@ -85,7 +86,10 @@ def pending_by_folder(paths: DataFrame, folders: DataFrame, sep: str = "/") -> D
 
 
 class CatalogStore:
-    """Catalog versions in a folder: each batch writes the next one, named by its number, so replaying a batch rewrites the same version."""
+    """Catalog versions in a folder: each batch writes the next one, named by its number, so replaying a batch rewrites the same version.
+
+    Two versions are kept: the latest, and the one that its batch, should it be replayed, starts from.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -101,6 +105,7 @@ class CatalogStore:
 
     def write(self, version: int, catalog: DataFrame) -> None:
         catalog.select(*cat.CATALOG).write.mode("overwrite").parquet(self._at(version))
+        remove_folder(self.spark, self._at(version - 2))
 
 
 def follow(records: DataFrame, store: CatalogStore, present: Callable[[], DataFrame], checkpoint: str, is_excluded: Callable[[Column], Column] | None = None, *, available_now: bool = False, every: str = "5 seconds") -> StreamingQuery:
