@@ -2,15 +2,15 @@
 
 Texts are sets of word shingles.  Equal sets collapse into one class, whose smallest
 id represents it.  Every representative then starts at the root of several
-trees, each with minwise values of its own.  A node picks one or (with chance 1/4) two of its tree's values by
-its own hash, and each set goes to the child named by its value of that token, so the
+trees, each with minwise values of its own.  A node picks one or (with chance 1/4) both of its level's
+two values by its own hash, and each set goes to the child named by its value of that token, so the
 expected number of children of a pair at the threshold 0.8 that stay together is one.
 Nodes of up to SMALL_NODE sets are compared exhaustively by signature; larger ones
 branch again.  A large node that kept most of its parent's sets is dense (its sets agree
 on tokens picked at random), and so is what is still large at the last level: its sets
 are linked to its smallest member and branch no more.  A pair at the threshold meets in
-a tree with a chance of 0.51 at the last level (simulated), in none of 14 trees with one of
-4e-5; the signatures' cut takes it with one of 2e-8 (exact binomial), in all trees at once.
+a tree with a chance of 0.48 at the last level (the branching process's exact value), in none of
+16 trees with one of 3e-5; the signatures' cut takes it with one of 2e-8 (exact binomial), in all trees at once.
 
 Those links only gather candidates: their connected components bring the texts
 together, each once.  There, full sets decide, and every pair of a group is compared that
@@ -78,7 +78,7 @@ def signatures(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 SKETCH = 64
 #: Every tree has so many minwise values of its own.
 TOKENS = 12
-TREES, LEVELS, SMALL_NODE = 14, 6, 32
+TREES, LEVELS, SMALL_NODE = 16, 6, 32
 #: A large node with more than this share of its parent's sets is dense.
 DENSE = 0.6
 #: Signatures that agree less aren't candidates: six deviations under 0.8.
@@ -114,13 +114,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
 
 
-def _children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The children of (node, set) rows and the rows they come from: the node's hash picks one token, and with chance 1/4 a second."""
+def _children(node: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The children of (node, set) rows and the rows they come from.
+
+    Each level has two tokens of its own, as a token picked twice on a way would keep all sets together: the node's hash
+    picks one, and with chance 1/4 both.
+    """
     rows = np.arange(len(node))
     pick = mix(node ^ np.uint64(0xA5A5A5A5))
     children, sources = [], []
     for k, chosen in enumerate((rows, rows[(pick >> np.uint64(32)) % np.uint64(4) == 0])):
-        token = ((pick[chosen] + np.uint64(k * 37)) % np.uint64(TOKENS)).astype(np.int64)
+        token = (2 * (level - 1) + ((pick[chosen] + np.uint64(k)) & np.uint64(1)).astype(np.int64)) % TOKENS
         value = tokens[chosen, token].astype(np.uint64)
         children.append(mix(mix(node[chosen] + np.uint64(k + 1)) ^ (value + (token.astype(np.uint64) << np.uint64(32)))))
         sources.append(chosen)
@@ -134,18 +138,23 @@ def _plant(trees: int):
                 continue
             tokens = _matrix(batch.column(1), trees * TOKENS)
             for tree in range(trees):
-                node, row = _children(np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0]), tokens[:, tree * TOKENS : (tree + 1) * TOKENS])
+                node, row = _children(np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0]), tokens[:, tree * TOKENS : (tree + 1) * TOKENS], 1)
                 yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), tree, np.int32))], names=["node", "rep", "tree"])
 
     return run
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4), TOKENS))
-            rep, size, sketch, own = (batch.column(k).take(pa.array(row)) for k in (1, 2, 3, 4))
-            yield pa.RecordBatch.from_arrays([pa.array(node), rep, size, sketch, own], names=["node", "rep", "parent_size", "sketch", "own"])
+def _branch(level: int):
+    """Rows (node, rep, size, sketch, own) one level down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4), TOKENS), level)
+                rep, size, sketch, own = (batch.column(k).take(pa.array(row)) for k in (1, 2, 3, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(node), rep, size, sketch, own], names=["node", "rep", "parent_size", "sketch", "own"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -210,7 +219,7 @@ def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS
         open_ = large.where(~ended).select("node", "rep", "size", "sketch", "own")
         if level == levels or open_.isEmpty():
             break
-        rows = open_.mapInArrow(_branch, "node long, rep long, parent_size long, sketch binary, own binary")
+        rows = open_.mapInArrow(_branch(level + 1), "node long, rep long, parent_size long, sketch binary, own binary")
     edges = functools.reduce(DataFrame.unionByName, leaves).repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small, "a long, b long")
     return functools.reduce(DataFrame.unionByName, dense, edges)
 
