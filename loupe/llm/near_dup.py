@@ -75,6 +75,7 @@ def signatures(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Minwise values of a sketch, a byte each: sets with nothing in common agree on 1/256 of them.
 SKETCH = 64
 #: Every tree has so many minwise values of its own.
 TOKENS = 12
@@ -102,16 +103,17 @@ def _sketch(width: int, trees: int):
                 size[at] = np.diff(np.append(starts, len(grams)))
                 h1[at] = np.add.reduceat(mix(grams), starts).view(np.int64)
                 h2[at] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
-                values = (signatures(grams, starts, SKETCH + trees * TOKENS) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
-                for i, row in zip(at, values, strict=True):
-                    sketch[i], tokens[i] = row[:SKETCH].tobytes(), row[SKETCH:].tobytes()
+                values = signatures(grams, starts, SKETCH + trees * TOKENS) * np.uint32(0x9E3779B1)
+                short, long = (values[:, :SKETCH] >> np.uint32(24)).astype(np.uint8), (values[:, SKETCH:] >> np.uint32(16)).astype(np.uint16)
+                for i, x, y in zip(at, short, long, strict=True):
+                    sketch[i], tokens[i] = x.tobytes(), y.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(h1), pa.array(h2), pa.array(sketch, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "n_shingles", "h1", "h2", "sketch", "tokens"])
 
     return run
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
+def _matrix(column: pa.Array, width: int, kind: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
 def _children(node: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +183,7 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Compares all pairs of each small node, row i with row i + k for every k; each set is linked to the smallest it is connected with there."""
     for table in _groups(batches):
         node, rep = table.column(0).to_numpy(), table.column(1).to_numpy()
-        sketch = _matrix(table.column(2).combine_chunks(), SKETCH)
+        sketch = _matrix(table.column(2).combine_chunks(), SKETCH, np.uint8)
         a, b = [], []
         for k in range(1, len(node)):
             i = np.flatnonzero(node[:-k] == node[k:])
