@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import join_facts, stored
+from .shared import flag_ids, join_facts, stored
 from .textscan import NONSPACE, Scan, keyed, mix, scans, windows
 
 def shingle_sets(scan: Scan, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -316,8 +316,8 @@ def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: in
     parts = F.greatest(F.ceil(F.col("n") / group_texts), F.ceil(F.col("total") / group_shingles)).cast("int")
     dealt = groups.join(sizes.select("component", parts.alias("parts"), "hub"), "component")
     block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))).otherwise(0).cast("int")
-    dealt = dealt.select(F.col("component").alias("group"), "rep", "parts", "hub", block.alias("block"))
-    rows = stored(texts.join(dealt, "rep"), "group-texts")
+    dealt = stored(dealt.select(F.col("component").alias("group"), "rep", "parts", "hub", block.alias("block")), "dealt")
+    rows = stored(flag_ids(texts, "rep", dealt.select("rep")).where("__may").drop("__may").join(dealt, "rep"), "group-texts")
     whole, large = rows.where("parts = 1"), rows.where("parts > 1")
     one_task = _blocks(whole.withColumn("side", F.lit(0)), width, percent).select("a", "b")
     if large.isEmpty():
@@ -364,9 +364,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that represent their group, all columns; of rows that share a kept id the one with the smallest hash stays."""
-    found = stored(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
-    kept = found.where("kept AND id IS NOT NULL")
-    rows = docs.join(kept.select(F.col("id").alias("__kept_id")).distinct(), F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi")
-    if not kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row")).select("__row.*")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    found = stored(near_duplicates(docs, id_col, text_col, **options), "near-duplicates").where("id IS NOT NULL")
+    ids = found.groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    ids = stored(ids.where("NOT kept OR n > 1"), "near-duplicate-ids")
+    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
+    gone = ids.where("NOT kept").select(F.col("id").alias("__id"))
+    flagged = flag_ids(rows, "__id", gone)
+    rows = flagged.where("NOT __may").unionByName(flagged.where("__may").join(gone, "__id", "left_anti")).drop("__may")
+    several = ids.where("kept").select(F.col("id").alias("__id"))
+    if not several.isEmpty():
+        flagged = flag_ids(rows, "__id", several)
+        least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row")
+        one = flagged.where("__may").join(several, "__id", "left_semi").groupBy("__id").agg(least).select("__row.*")
+        rows = flagged.where("NOT __may").unionByName(flagged.where("__may").join(several, "__id", "left_anti")).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

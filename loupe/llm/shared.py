@@ -64,6 +64,30 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, a
     return left.unionByName(right)
 
 
+#: A filter has 16 bits an id, in bitmaps of 32,768 bits (4 KB), and 32 MB at most.
+BITMAP_BITS, MOST_BITMAPS = 32_768, 8192
+
+
+def flag_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with ``__may``, false only where the column ``key`` (long) is null or not among ``ids`` (one column of longs).
+
+    A bitmap of the ids' hashes is broadcast, so rows with large columns that few ids concern needn't be shuffled: an exact join
+    follows for those flagged.  Beyond 2^28 ids or so the bitmap fills and flags more, at worst all rows.
+    """
+    bits = min(ids.count() * 16 // BITMAP_BITS + 1, MOST_BITMAPS) * BITMAP_BITS
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column), F.lit(17)), F.lit(bits))
+
+    spots = ids.select(place(ids.columns[0]).alias("__spot"))
+    maps = spots.groupBy(F.floor(F.col("__spot") / BITMAP_BITS).alias("__map")).agg(F.bitmap_construct_agg(F.col("__spot") % BITMAP_BITS).alias("__bits"))
+    spot = F.col("__spot") % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.col(key).isNotNull() & F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), spot % 8).cast("int")) != 0, F.lit(False))
+    placed = rows.withColumn("__spot", place(key)).withColumn("__map", F.floor(F.col("__spot") / BITMAP_BITS))
+    return placed.join(F.broadcast(maps), "__map", "left").select(*(F.col(f"`{c}`") for c in rows.columns), may.alias("__may"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loupe.llm import components, mtree, near_dup
+from loupe.llm import components, mtree, near_dup, shared
 from test_text_operators import brute_lines
 
 
@@ -86,6 +86,32 @@ def test_near_duplicates_odd_ids(spark):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_flagged_ids_hold_all_sought(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id - 10000 AS k", "id AS id", "'x' AS bits").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, -1L AS id, 'y' AS bits"))
+    ids = spark.range(0, 3000).selectExpr("id * 3 - 5000 AS k")
+    sought = {r["k"] for r in ids.collect()}
+    for most in (8192, 1):  # a filter of the usual size, and one that overflows
+        monkeypatch.setattr(shared, "MOST_BITMAPS", most)
+        got = shared.flag_ids(rows, "k", ids).collect()
+        assert len(got) == 20_001 and got[0].asDict().keys() == {"k", "id", "bits", "__may"}
+        flagged = {r["k"] for r in got if r["__may"]}
+        assert sought <= flagged and None not in flagged
+        if most > 1:
+            assert len(flagged - sought) < 0.1 * 17_000
+    assert not any(r["__may"] for r in shared.flag_ids(rows, "k", ids.limit(0)).collect())
+
+
+def test_one_of_each_keeps_columns_and_one_row_an_id(spark):
+    long = "a b c d e f g h i j k l m n o p"
+    rows = [(4, "", "m"), (5, long, "n"), (6, long, "o"), (6, "", "p"), (5, long, "q"), (4, None, "r"), (None, long, "s"), (None, long, "s")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n string")
+    kept = near_dup.keep_one_of_each(docs)
+    assert kept.dtypes == docs.dtypes
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    assert [r[0] for r in got] == [4, 5, 6, None, None] and set(got) <= set(rows)
+    assert sorted(tuple(r) for r in near_dup.keep_one_of_each(docs.repartition(3)).where("doc_id IS NOT NULL").collect()) == got[:3]
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3)]
