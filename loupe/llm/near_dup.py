@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -116,23 +116,46 @@ def _matrix(column: pa.Array, width: int, kind: type = np.uint16) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _children(node: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The children of (node, set) rows and the rows they come from.
+def _children(node: np.ndarray, tokens: np.ndarray, level: int, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of (node, set) rows and the rows they come from; bit k of ``follow``: by the level's token k.
 
-    Each level has two tokens of its own, as a token picked twice on a way would keep all sets together: the node's hash
-    picks one, and with chance 1/4 both.
+    Each level has two tokens of its own, as a token picked twice on a way would keep all sets together.
     """
-    rows = np.arange(len(node))
-    pick = mix(node ^ np.uint64(0xA5A5A5A5))
     children, sources = [], []
-    for k, chosen in enumerate((rows, rows[(pick >> np.uint64(32)) % np.uint64(4) == 0])):
-        token = (2 * (level - 1) + ((pick[chosen] + np.uint64(k)) & np.uint64(1)).astype(np.int64)) % TOKENS
+    for k in range(2):
+        chosen = np.flatnonzero(follow >> k & 1)
+        token = (2 * (level - 1) + k) % TOKENS
         value = tokens[chosen, token].astype(np.uint64)
-        children.append(mix(mix(node[chosen] + np.uint64(k + 1)) ^ (value + (token.astype(np.uint64) << np.uint64(32)))))
+        children.append(mix(mix(node[chosen] + np.uint64(k + 1)) ^ (value + np.uint64(token << 32))))
         sources.append(chosen)
     return np.concatenate(children).view(np.int64), np.concatenate(sources)
 
 
+def _picks(column: str) -> Column:
+    """The tokens that a node picks by its hash, as bits: one, and with chance 1/4 both."""
+    pick = F.xxhash64(F.col(column), F.lit(23))
+    return F.when(F.shiftright(pick, 32).bitwiseAND(3) == 0, 3).otherwise(pick.bitwiseAND(1) + 1).cast("int")
+
+
+def _past_dense(open_: DataFrame, level: int, small: int, n_sets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that branch from ``level``, with the tokens they ``follow``, and links (a, b) of those that needn't.
+
+    The child that holds a node's smallest set is known by that set's token. Where it would be large and dense, its sets are linked
+    to that set at once, as one level down they would be, and only the node's other sets go down by that token.
+    """
+    first = [2 * ((2 * level + k) % TOKENS) + 1 for k in range(2)]
+    rows = open_.withColumn("pair", F.concat(*(F.substring("own", at, 2) for at in first)))
+    hubs = rows.where("rep = hub").select("node", F.col("size").alias("n"), F.col("pair").alias("hub_pair"))
+    agree = [F.substring("pair", at, 2) == F.substring("hub_pair", at, 2) for at in (1, 3)]
+    counts = join_facts(rows.select("node", "pair"), hubs, ["node"], "n", n_sets).groupBy("node", "hub_pair").agg(F.count("*").alias("n"), *(F.count_if(x).alias(f"n{k}") for k, x in enumerate(agree)))
+    dense = [((F.col(f"n{k}") > small) & (F.col(f"n{k}") > DENSE * F.col("n"))).alias(f"dense{k}") for k in range(2)]
+    rows = join_facts(rows, counts.select("node", "hub_pair", "n", *dense), ["node"], "n", n_sets)
+    at_hub = sum((F.when(x & F.col(f"dense{k}"), 1 << k).otherwise(0) for k, x in enumerate(agree)), F.lit(0))
+    rows = rows.withColumn("at_hub", at_hub.bitwiseAND(_picks("node"))).withColumn("follow", _picks("node") - F.col("at_hub"))
+    links = rows.where("at_hub != 0 AND rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    return rows.where("follow != 0").select("node", "rep", "size", "sketch", "own", "follow"), links
+
+
 def _plant(trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,19 +163,21 @@ def _plant(trees: int):
                 continue
             tokens = _matrix(batch.column(1), trees * TOKENS)
             for tree in range(trees):
-                node, row = _children(np.full(len(tokens), mix(np.array([tree + 1], np.uint64))[0]), tokens[:, tree * TOKENS : (tree + 1) * TOKENS], 1)
+                root = mix(np.array([tree + 1], np.uint64))[0]
+                follow = 3 if (int(root) >> 32) % 4 == 0 else (int(root) & 1) + 1
+                node, row = _children(np.full(len(tokens), root), tokens[:, tree * TOKENS : (tree + 1) * TOKENS], 1, np.full(len(tokens), follow))
                 yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), tree, np.int32))], names=["node", "rep", "tree"])
 
     return run
 
 
 def _branch(level: int):
-    """Rows (node, rep, size, sketch, own) one level down."""
+    """Rows (node, rep, size, sketch, own, follow) one level down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4), TOKENS), level)
+                node, row = _children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(4), TOKENS), level, batch.column(5).to_numpy())
                 rep, size, sketch, own = (batch.column(k).take(pa.array(row)) for k in (1, 2, 3, 4))
                 yield pa.RecordBatch.from_arrays([pa.array(node), rep, size, sketch, own], names=["node", "rep", "parent_size", "sketch", "own"])
 
@@ -218,9 +243,11 @@ def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS
         large = members.where(F.col("size") > small)
         ended = F.coalesce(F.col("size") > DENSE * F.col("parent_size"), F.lit(False)) if level < levels else F.lit(True)
         dense.append(large.where(ended).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-        open_ = large.where(~ended).select("node", "rep", "size", "sketch", "own")
+        open_ = large.where(~ended).select("node", "rep", "size", "sketch", "own", "hub")
         if level == levels or open_.isEmpty():
             break
+        open_, links = _past_dense(open_, level, small, n_sets * 2)
+        dense.append(links)
         rows = open_.mapInArrow(_branch(level + 1), "node long, rep long, parent_size long, sketch binary, own binary")
     edges = functools.reduce(DataFrame.unionByName, leaves).repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small, "a long, b long")
     return functools.reduce(DataFrame.unionByName, dense, edges)
