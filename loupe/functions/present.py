@@ -76,8 +76,12 @@ def highlight_terms(query: str) -> list[str]:
     return [t for kind in found.values() for t in kind if t]
 
 
-def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>", limit: int = MAX_HIGHLIGHTS) -> Column:
-    """Escaped text with the first ``limit`` matches of any term marked, and line ends as <br>.
+#: Where a preview scrolls to.
+FIRST_MATCH = '<a name="first_match"></a>'
+
+
+def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>", limit: int = MAX_HIGHLIGHTS, anchor: str = "") -> Column:
+    """Escaped text with the first ``limit`` matches of any term marked, and line ends as <br>; ``anchor`` goes before the first mark.
 
     One alternation over all terms, so no term matches inside another's markup.
     """
@@ -90,4 +94,7 @@ def highlight(text: Column, terms: list[str], before: str = "<b>", after: str =
         marked = lambda x: F.regexp_replace(x, pattern, f"{before}$1{after}")
         over = F.regexp_count(escaped, F.lit(pattern)) > limit
         escaped = F.when(over, F.concat(marked(head), F.substring(escaped, F.length(head) + 1, F.length(escaped)))).otherwise(marked(escaped))
+        if anchor:
+            at = F.locate(before, escaped)  # markup is the only "<" of an escaped text
+            escaped = F.when(at > 0, F.concat(F.substring(escaped, F.lit(1), at - 1), F.lit(anchor), F.substring(escaped, at, F.length(escaped)))).otherwise(escaped)
     return F.replace(escaped, F.lit("\n"), F.lit("<br>"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename, drive, extension, extractable, join_folders, normalized, under
+from .progress import Progress
+from .staging import staged
 
 SAME_TIME = 0.001
 CATALOG = ["drive", "file_ref", "path", "name", "extension", "size", "modified", "is_dir"]
@@ -115,20 +117,23 @@ def needs_reindex(files: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(old, "path", "left").where(stale).drop("__old", "__has")
 
 
-def reindex_changed(files: DataFrame, contents: DataFrame, listing: DataFrame, texts_of: Callable[[DataFrame], DataFrame], is_excluded: Callable[[Column], Column] | None = None, sep: str = "/") -> tuple[DataFrame, DataFrame]:
+def reindex_changed(files: DataFrame, contents: DataFrame, listing: DataFrame, texts_of: Callable[[DataFrame], DataFrame], is_excluded: Callable[[Column], Column] | None = None, sep: str = "/", progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, contents) after the listing's files (path, size, modified) that need it were read again.
 
     One job: files that are excluded, of no text format, empty or too large are left out; those that are new, have no
-    content or another time are passed to ``texts_of``, which adds ``text`` (null: failed); the rest is never opened.
+    content or another time are passed to ``texts_of``, which adds ``text`` (null: failed); the rest is never opened.  The texts
+    are written once, and both tables are made of them; ``progress`` counts what that job sees.
     """
     name = basename(F.col("path"), sep)
-    wanted = listing.where(extractable(extension(name), F.col("size")))
+    seen = listing if progress is None else progress.listed(listing)
+    wanted = seen.where(extractable(extension(name), F.col("size")))
     if is_excluded is not None:
         wanted = wanted.where(~F.coalesce(is_excluded(F.col("path")), F.lit(False)))
-    stale = needs_reindex(files, wanted)
-    known = upsert_files(files, stale.select(*listing.columns), sep)
-    read = texts_of(stale).select("path", F.col("text").alias("content")).join(known.select("path", F.col("id").alias("file_id")), "path")
-    return upsert_contents(known, contents, read.select("file_id", "content"))
+    texts = texts_of(needs_reindex(files, wanted)).select(*listing.columns, "text")
+    read = staged(texts if progress is None else progress.read(texts), "texts")
+    known = upsert_files(files, read.select(*listing.columns), sep)
+    ids = known.select("path", F.col("id").alias("file_id"))
+    return upsert_contents(known, contents, read.select("path", F.col("text").alias("content")).join(ids, "path").select("file_id", "content"))
 
 
 def content_by_path(files: DataFrame, contents: DataFrame, path: str) -> DataFrame:

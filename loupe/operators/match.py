@@ -40,13 +40,13 @@ class Query:
         """The leaves that count for the rank; what is excluded doesn't."""
         return [self]
 
-    def phrases(self) -> list[Phrase]:
-        """The distinct phrases of the condition."""
-        raise NotImplementedError("conditions with NEAR are tested on token strings")
+    def leaves(self) -> list[Phrase | Near]:
+        """The distinct phrases and NEARs of the condition."""
+        return [self]
 
-    def counted(self) -> list[tuple[Phrase, Query]]:
-        """The phrases that count for the rank, each with the condition under which it does."""
-        raise NotImplementedError("conditions with NEAR are tested on token strings")
+    def counted(self) -> list[tuple[Phrase | NearHit, Query]]:
+        """What counts for the rank, each with the condition under which it does."""
+        return [(leaf, self) for leaf in self.scored()]
 
     def within(self, *columns: str) -> Query:
         raise NotImplementedError
@@ -64,12 +64,6 @@ class Phrase(Query):
     def within(self, *columns: str) -> Phrase:
         return dataclasses.replace(self, columns=columns)
 
-    def phrases(self) -> list[Phrase]:
-        return [self]
-
-    def counted(self) -> list[tuple[Phrase, Query]]:
-        return [(self, self)]
-
     def among(self, tokens: Tokens) -> Tokens:
         return {k: v for k, v in tokens.items() if self.columns is None or k in self.columns}
 
@@ -108,42 +102,40 @@ class Near(Query):
         return dataclasses.replace(self, phrases=tuple(p.within(*columns) for p in self.phrases))
 
     def scored(self) -> list[Query]:
-        return [_NearHit(self, k) for k in range(len(self.phrases))]
+        return [NearHit(self, k) for k in range(len(self.phrases))]
 
-    def _clump(self, places: Column, k: int, at: Column) -> Column:
-        """Whether a clump begins with phrase k at ``at``: every other phrase starts there or later, within the gap."""
-        last = at + len(self.phrases[k].terms) + self.gap
-        others = [F.exists(places[j], lambda q: (q >= at) & (q <= last)) for j in range(len(self.phrases)) if j != k]
-        return reduce(lambda a, b: a & b, others, F.lit(True))
+    def _clump(self, places: Column, last: Column) -> Column:
+        """Whether a clump's last phrase starts at ``last``: each phrase starts there or before, at most its own length and the gap earlier."""
+        held = lambda p, k: F.exists(places[k], lambda q: (q <= last) & (q >= last - len(p.terms) - self.gap))
+        return reduce(lambda a, b: a & b, [held(p, k) for k, p in enumerate(self.phrases)])
 
     def _places(self, toks: Column, f: Callable[[Column], Column]) -> Column:
         """f of the array of the phrases' start positions, split and searched once."""
         return let(F.split(F.trim(toks), " "), lambda array: let(F.array(*(p.starts(array) for p in self.phrases)), f))
 
+    def begins(self, places: Column) -> Column:
+        """Whether there is any clump; places: an array of each phrase's start positions."""
+        of = lambda k: F.exists(places[k], lambda last: self._clump(places, last))
+        return reduce(lambda a, b: a | b, map(of, range(len(self.phrases))))
+
     def matches(self, tokens: Tokens) -> Column:
-        begins = lambda places, k: F.exists(places[k], lambda at: self._clump(places, k, at))
-        any_begins = lambda places: reduce(lambda a, b: a | b, [begins(places, k) for k in range(len(self.phrases))])
         held = [p.matches(tokens) for p in self.phrases]  # cheap, so most rows are never split
-        tests = [self._places(t, any_begins) for t in self.phrases[0].among(tokens).values()]
+        tests = [self._places(t, self.begins) for t in self.phrases[0].among(tokens).values()]
         return reduce(lambda a, b: a & b, held) & reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    def hits_of(self, k: int, tokens: Tokens) -> Column:
-        """Hits of phrase k that belong to a clump: one that begins with it, or with another phrase whose clump reaches it."""
+    def inside(self, places: Column, k: int) -> Column:
+        """Hits of phrase k that belong to a clump."""
+        reach = len(self.phrases[k].terms) + self.gap
+        ends = lambda q, j: F.exists(places[j], lambda last: (last >= q) & (last <= q + reach) & self._clump(places, last))
+        return F.size(F.filter(places[k], lambda q: reduce(lambda a, b: a | b, [ends(q, j) for j in range(len(self.phrases))])))
 
-        def reached(places: Column, j: int, q: Column) -> Column:
-            reach = len(self.phrases[j].terms) + self.gap
-            return F.exists(places[j], lambda at: (q >= at) & (q <= at + reach) & self._clump(places, j, at))
-
-        def inside(places: Column) -> Column:
-            others = [j for j in range(len(self.phrases)) if j != k]
-            return F.size(F.filter(places[k], lambda q: reduce(lambda a, b: a | b, [self._clump(places, k, q), *(reached(places, j, q) for j in others)])))
-
-        counts = [self._places(t, inside) for t in self.phrases[0].among(tokens).values()]
+    def hits_of(self, k: int, tokens: Tokens) -> Column:
+        counts = [self._places(t, lambda places: self.inside(places, k)) for t in self.phrases[0].among(tokens).values()]
         return F.when(reduce(lambda a, b: a & b, [p.matches(tokens) for p in self.phrases]), reduce(lambda a, b: a + b, counts, F.lit(0))).otherwise(0)
 
 
 @dataclasses.dataclass(frozen=True)
-class _NearHit(Query):
+class NearHit(Query):
     """One phrase of a Near, for the rank: its document count is the plain phrase's, its hits are those in clumps."""
 
     near: Near
@@ -174,6 +166,7 @@ class _If(Query):
 class _Both(Query):
     a: Query
     b: Query
+    is_either = is_without = False
 
     def matches(self, tokens: Tokens) -> Column:
         return self.a.matches(tokens) & self.b.matches(tokens)
@@ -181,10 +174,10 @@ class _Both(Query):
     def scored(self) -> list[Query]:
         return [_If(leaf, self) for leaf in self.a.scored() + self.b.scored()]
 
-    def phrases(self) -> list[Phrase]:
-        return list(dict.fromkeys(self.a.phrases() + self.b.phrases()))
+    def leaves(self) -> list[Phrase | Near]:
+        return list(dict.fromkeys(self.a.leaves() + self.b.leaves()))
 
-    def counted(self) -> list[tuple[Phrase, Query]]:
+    def counted(self) -> list[tuple[Phrase | NearHit, Query]]:
         return [(leaf, self) for leaf, _ in self.a.counted() + self.b.counted()]
 
     def within(self, *columns: str) -> Query:
@@ -193,33 +186,37 @@ class _Both(Query):
 
 @dataclasses.dataclass(frozen=True)
 class _Either(_Both):
+    is_either = True
+
     def matches(self, tokens: Tokens) -> Column:
         return self.a.matches(tokens) | self.b.matches(tokens)
 
     def scored(self) -> list[Query]:
         return self.a.scored() + self.b.scored()
 
-    def counted(self) -> list[tuple[Phrase, Query]]:
+    def counted(self) -> list[tuple[Phrase | NearHit, Query]]:
         return self.a.counted() + self.b.counted()
 
 
 @dataclasses.dataclass(frozen=True)
 class _Without(_Both):
+    is_without = True
+
     def matches(self, tokens: Tokens) -> Column:
         return self.a.matches(tokens) & ~self.b.matches(tokens)
 
     def scored(self) -> list[Query]:
         return [_If(leaf, self) for leaf in self.a.scored()]
 
-    def counted(self) -> list[tuple[Phrase, Query]]:
+    def counted(self) -> list[tuple[Phrase | NearHit, Query]]:
         return [(leaf, self) for leaf, _ in self.a.counted()]
 
 
-def holds(query: Query, hits: dict[Phrase, Column]) -> Column:
-    """The condition over its phrases' numbers of hits."""
-    if isinstance(query, Phrase):
-        return hits[query] > 0
-    a, b = holds(query.a, hits), holds(query.b, hits)
+def holds(query: Query, matched: dict[Query, Column]) -> Column:
+    """The condition over its leaves' conditions."""
+    if not isinstance(query, _Both):
+        return matched[query]
+    a, b = holds(query.a, matched), holds(query.b, matched)
     return a & ~b if isinstance(query, _Without) else a | b if isinstance(query, _Either) else a & b
 
 

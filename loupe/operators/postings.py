@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from .match import Phrase, Query, holds, idf_of, term_rank
+from ..functions.text import let, tokens
+from .match import Near, NearHit, Phrase, Query, holds, idf_of, term_rank
 
 
 def build(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -71,36 +71,76 @@ def lengths(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in columns]).alias("n_tokens"))
 
 
-def _leaf_hits(postings: DataFrame, leaf: Phrase) -> DataFrame:
-    """doc_id and hits of a phrase, from its terms' rows only."""
-    rows = postings if leaf.columns is None else postings.where(F.col("column").isin(*leaf.columns))
+def _tests(leaf: Phrase) -> list[Column]:
     last = len(leaf.terms) - 1
-    tests = [F.startswith("token", F.lit(t)) if leaf.prefix and k == last else F.col("token") == t for k, t in enumerate(leaf.terms)]
-    if last == 0 and not leaf.initial:
-        return rows.where(tests[0]).groupBy("doc_id").agg(F.sum(F.size("positions")).alias("hits"))
-    parts = [rows.where(t).select("doc_id", "column", F.explode("positions").alias("p"), F.lit(k).alias("k")) for k, t in enumerate(tests)]
-    starts = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "column", (F.col("p") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("n"))
-    found = starts.where(F.col("n") == len(leaf.terms))
-    return (found.where("start = 0") if leaf.initial else found).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return [F.startswith("token", F.lit(t)) if leaf.prefix and k == last else F.col("token") == t for k, t in enumerate(leaf.terms)]
 
 
-def score(postings: DataFrame, doc_lengths: DataFrame, query: Query) -> DataFrame:
+def hits(rows: DataFrame, query: Query, columns: list[str]) -> tuple[DataFrame, dict[Query, Column], dict[Query, Column]]:
+    """One row a document that holds any of the query's tokens, with ``doc_id`` and ``n_tokens``; each leaf's condition; each counted leaf's hits.
+
+    rows: postings with ``n_tokens``.  One scan of the query's tokens and one shuffle by document, which sums hits, or
+    gathers the positions of phrases and NEARs, whose terms then meet in their document's row.
+    """
+    leaves = query.leaves()
+    phrases = list(dict.fromkeys(p for leaf in leaves for p in (leaf.phrases if isinstance(leaf, Near) else (leaf,))))
+    placed = {p for leaf in leaves if isinstance(leaf, Near) for p in leaf.phrases} | {p for p in phrases if len(p.terms) > 1 or p.initial}
+    sums, starts = [], {}
+    for i, p in enumerate(phrases):
+        among = [c for c in columns if p.columns is None or c in p.columns]
+        tests = _tests(p)
+        if p not in placed:
+            test = tests[0] if p.columns is None else tests[0] & F.col("column").isin(among)
+            sums.append(F.sum(F.when(test, F.size("positions")).otherwise(0)).alias(f"h{i}"))
+            continue
+        for c in among:
+            sums += [F.array_sort(F.flatten(F.collect_list(F.when(t & (F.col("column") == c), F.col("positions"))))).alias(f"p{i}_{c}_{j}") for j, t in enumerate(tests)]
+        starts[p] = {c: f"s{i}_{c}" for c in among}
+    wanted = reduce(lambda a, b: a | b, [t for p in phrases for t in _tests(p)])
+    found = rows.where(wanted).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), *sums)
+
+    def meet(i: int, p: Phrase, c: str) -> Column:
+        """Positions at which all terms stand, each moved back by its place: sets that are intersected."""
+        moved = lambda j: F.transform(f"p{i}_{c}_{j}", lambda at: at - j)
+        both = F.array_sort(reduce(F.array_intersect, map(moved, range(len(p.terms)))))
+        return F.filter(both, lambda at: at == 0) if p.initial else both
+
+    found = found.select("doc_id", "n_tokens", *(f"h{i}" for i, p in enumerate(phrases) if p not in placed), *(meet(phrases.index(p), p, c).alias(name) for p, of in starts.items() for c, name in of.items()))
+    total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
+    inside = lambda leaf, k: lambda places: leaf.inside(places, k)
+    n = {p: total([F.size(s) for s in starts[p].values()]) if p in placed else F.col(f"h{i}") for i, p in enumerate(phrases)}
+    matched: dict[Query, Column] = {p: n[p] > 0 for p in phrases}
+    for leaf in leaves:
+        if isinstance(leaf, Near):
+            places = [F.array(*(F.col(starts[p][c]) for p in leaf.phrases)) for c in starts[leaf.phrases[0]]]
+            matched[leaf] = reduce(lambda a, b: a | b, [let(x, leaf.begins) for x in places], F.lit(False))
+            for k in range(len(leaf.phrases)):
+                n[NearHit(leaf, k)] = total([let(x, inside(leaf, k)) for x in places])
+                matched[NearHit(leaf, k)] = matched[leaf.phrases[k]]
+    return found, matched, n
+
+
+def ranked(found: DataFrame, matched: dict[Query, Column], n: dict[Query, Column], query: Query, all_docs: Column, average: Column) -> DataFrame:
+    """doc_id and rank (negative BM25) of the matching rows of ``hits``."""
+    counted = query.counted()
+    leaves = list(dict.fromkeys(leaf for leaf, _ in counted))
+    rows = found.select("doc_id", "n_tokens", holds(query, matched).alias("match"), *(n[leaf].alias(f"n{k}") for k, leaf in enumerate(leaves)), *(matched[leaf].alias(f"m{k}") for k, leaf in enumerate(leaves)), *(holds(node, matched).alias(f"c{k}") for k, (_, node) in enumerate(counted)))
+    # both sides read the same exchange: the counts ask for all of its columns
+    counts = rows.agg(*(F.count_if(f"m{k}").alias(f"d{k}") for k in range(len(leaves))), F.max("n_tokens").alias("longest"), *(F.max(f"n{k}").alias(f"most{k}") for k in range(len(leaves))))
+    both = rows.where("match").crossJoin(F.broadcast(counts))  # one row
+    parts = []
+    for k, (leaf, _) in enumerate(counted):
+        i = leaves.index(leaf)
+        parts.append(F.when(F.col(f"c{k}") & (F.col(f"most{i}") > 0), term_rank(idf_of(all_docs, F.col(f"d{i}")), F.col(f"n{i}").cast("double"), F.col("n_tokens"), average)).otherwise(0.0))
+    return both.where("n_tokens <= longest").select("doc_id", reduce(lambda a, b: a - b, parts, F.lit(0.0)).alias("rank"))
+
+
+def score(postings: DataFrame, doc_lengths: DataFrame, query: Query, columns: list[str] | None = None) -> DataFrame:
     """doc_id and rank (negative BM25) of the matching documents: reads the query's tokens and the lengths, no text.
 
-    The same numbers as ``search.score`` over token strings; conditions with NEAR need that one.
+    The same numbers as ``search.score`` over token strings.  ``index.Index`` keeps lengths beside the postings and needs no join with them.
     """
-    leaves = query.phrases()
-    parts = [_leaf_hits(postings, leaf).select("doc_id", F.lit(k).alias("k"), "hits") for k, leaf in enumerate(leaves)]
-    hits = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("hits"))), F.lit(0)).alias(f"h{k}") for k in range(len(leaves))]
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(*hits)
-    of = {leaf: F.col(f"h{k}") for k, leaf in enumerate(leaves)}
-    counts = found.agg(*(F.count_if(F.col(f"h{k}") > 0).alias(f"n{k}") for k in range(len(leaves))))
-    totals = doc_lengths.agg(F.count("*").alias("all_docs"), F.avg("n_tokens").alias("average"))
-    rows = found.where(holds(query, of)).join(doc_lengths, "doc_id").crossJoin(F.broadcast(counts.crossJoin(totals)))  # one row
-
-    def part(leaf: Phrase, condition: Column) -> Column:
-        k = leaves.index(leaf)
-        return F.when(condition, term_rank(idf_of(F.col("all_docs"), F.col(f"n{k}")), F.col(f"h{k}").cast("double"), F.col("n_tokens"), F.col("average"))).otherwise(0.0)
-
-    rank = reduce(lambda a, b: a - b, [part(leaf, holds(node, of)) for leaf, node in query.counted()], F.lit(0.0))
-    return rows.select("doc_id", rank.alias("rank"))
+    rows = postings.join(doc_lengths, "doc_id") if "n_tokens" not in postings.columns else postings
+    totals = doc_lengths.agg(F.count("*"), F.avg("n_tokens")).first()
+    found, matched, n = hits(rows, query, columns or ["content"])
+    return ranked(found, matched, n, query, F.lit(totals[0]), F.lit(totals[1] or 0.0))

@@ -7,6 +7,7 @@ Predicates are Columns, so scans read only the columns a query needs.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import in_folders
 from ..functions.text import n_tokens, token_text
 from . import postings as books
+from .index import Index
 from .match import Query, idf_of, plain, term_rank
 
 UNLIMITED = 10_000_000
@@ -69,22 +71,38 @@ def index_contents(contents: DataFrame) -> DataFrame:
     return with_tokens(contents, ["content"])
 
 
-def search_names(indexed_files: DataFrame, query: str | Query, folders: list[str] | None = None, limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
+@dataclasses.dataclass
+class StoredFiles:
+    """Files with a stored index of their names and paths; it takes the place of ``index_files``' table in a search."""
+
+    files: DataFrame
+    index: Index
+
+    def score(self, query: Query) -> DataFrame:
+        return self.index.search(query).join(self.files, F.col("doc_id") == F.col("id")).select(*self.files.columns, "rank")
+
+
+def search_names(indexed_files: DataFrame | StoredFiles, query: str | Query, folders: list[str] | None = None, limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
     """Files whose name or path matches, best rank first."""
     asked = _as_query(query)
+    stored = isinstance(indexed_files, StoredFiles)
     if asked is None:
-        return indexed_files.limit(0).withColumn("rank", F.lit(0.0))
-    found = score(indexed_files, ["name", "path"], asked).where(in_folders(F.col("path"), folders or [], sep))
+        return (indexed_files.files if stored else indexed_files).limit(0).withColumn("rank", F.lit(0.0))
+    scored = indexed_files.score(asked) if stored else score(indexed_files, ["name", "path"], asked)
+    found = scored.where(in_folders(F.col("path"), folders or [], sep))
     return found.orderBy("rank", "id").limit(limit) if limit < UNLIMITED else found
 
 
-def search_contents(indexed_contents: DataFrame, files: DataFrame, query: str | Query, folders: list[str] | None = None, limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
+def search_contents(indexed_contents: DataFrame | Index, files: DataFrame, query: str | Query, folders: list[str] | None = None, limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
     """Files whose content matches, best rank first."""
     asked = _as_query(query)
     columns = [f"files.{c}" for c in files.columns]
     if asked is None:
         return files.limit(0).withColumn("rank", F.lit(0.0))
-    hits = score(indexed_contents, ["content"], asked).select("file_id", "rank")
+    if isinstance(indexed_contents, Index):
+        hits = indexed_contents.search(asked).select(F.col("doc_id").alias("file_id"), "rank")
+    else:
+        hits = score(indexed_contents, ["content"], asked).select("file_id", "rank")
     found = hits.join(files.alias("files"), F.col("file_id") == F.col("files.id")).select(*columns, "rank").where(in_folders(F.col("path"), folders or [], sep))
     return found.orderBy("rank", "id").limit(limit) if limit < UNLIMITED else found
 
@@ -132,12 +150,12 @@ def search_catalog(catalog: DataFrame, query: str, limit: int = 0) -> DataFrame:
     return found.limit(limit) if limit else found
 
 
-def search(indexed_files: DataFrame, indexed_contents: DataFrame, *, names: str | Query = "", contents: str | Query = "", folders: list[str] | None = None, limit: int = 0, branch_limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
-    """Index search.  With both queries only files that match both remain.
+def search(indexed_files: DataFrame | StoredFiles, indexed_contents: DataFrame | Index, *, names: str | Query = "", contents: str | Query = "", folders: list[str] | None = None, limit: int = 0, branch_limit: int = UNLIMITED, sep: str = "/") -> DataFrame:
+    """Index search, over token strings or stored postings.  With both queries only files that match both remain.
 
     ``limit`` is applied to the merged result; ``branch_limit`` cuts each side by rank before the merge.
     """
-    plain_files = indexed_files.select("id", "path", "name", "extension", "size", "modified")
+    plain_files = (indexed_files.files if isinstance(indexed_files, StoredFiles) else indexed_files).select("id", "path", "name", "extension", "size", "modified")
     name_hits = _result(search_names(indexed_files, names, folders, branch_limit, sep) if names else plain_files.limit(0).withColumn("rank", F.lit(0.0)), "id", F.lit(False))
     content_hits = _result(search_contents(indexed_contents, plain_files, contents, folders, branch_limit, sep) if contents else plain_files.limit(0).withColumn("rank", F.lit(0.0)), "id", F.lit(False))
     found = merge(name_hits, content_hits)

@@ -25,7 +25,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so a loop's plan doesn't grow and lost executors cost one step."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``staged`` wrote and nothing will read again."""
+    for df in tables:
+        remove_folder(df.sparkSession, df.staged_at)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

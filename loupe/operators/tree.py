@@ -3,7 +3,7 @@
 Pointer doubling: after step k a node knows its ancestor 2^k links up and the names
 between, so a chain of n nodes takes log2(n) self-joins on equal keys, whatever the shape
 of the tree; nodes that have reached the root leave the loop, and it ends with the
-deepest.  A missing parent, or a node that is its own parent, is the root.  A cycle is cut
+deepest.  Entries of folders that hold a large part of all are joined by broadcast of these few folders' facts.  A missing parent, or a node that is its own parent, is the root.  A cycle is cut
 at its smallest reference, which becomes a child of the root, so no entry is lost.
 """
 
@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_facts
 from .staging import staged
 
 _KEY = ["drive", "file_ref"]
@@ -31,7 +32,7 @@ def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exc
     root_path = F.lit(root) if isinstance(root, str) else root
     inner = entries.where(F.col("file_ref") != F.col("parent_ref"))
     known = inner.select(F.col("drive").alias("p_drive"), F.col("file_ref").alias("p_ref"))
-    parents = inner.join(known, (F.col("drive") == F.col("p_drive")) & (F.col("parent_ref") == F.col("p_ref")), "left")
+    parents = join_facts(inner.select(*_KEY, "parent_ref", "name"), ["drive", "parent_ref"], known, ["p_drive", "p_ref"])
     # a link: the chain from a node up to ``up`` (null: the root was reached), and its names joined
     links = staged(parents.select(*_KEY, F.col("p_ref").alias("up"), F.col("name").alias("tail")), "links")
     names = lambda far, near: F.concat_ws(sep, far, near)
@@ -59,7 +60,7 @@ def _double(links: DataFrame, combine: Callable[[Column, Column], Column], value
             return reduce(DataFrame.unionByName, ended).drop("up"), open_.select(*_KEY)
         far = links.unionByName(reduce(DataFrame.unionByName, ended[:-1])) if len(ended) > 1 else links
         far = far.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value"))
-        both = open_.join(far, (F.col("drive") == F.col("f_drive")) & (F.col("up") == F.col("f_ref")))
+        both = join_facts(open_, ["drive", "up"], far, ["f_drive", "f_ref"], "inner")
         links = staged(both.select(*_KEY, F.col("f_up").alias("up"), combine(F.col("f_value"), F.col(value)).alias(value)), "links")
         span *= 2
 
@@ -70,7 +71,7 @@ def _cycle_heads(links: DataFrame) -> DataFrame:
     n, span = low.count(), 1
     while span <= n:  # at the end ``up`` lies on the cycle, and a cycle's node has seen all of it
         far = low.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col("low").alias("f_low"))
-        both = low.join(far, (F.col("drive") == F.col("f_drive")) & (F.col("up") == F.col("f_ref")))
+        both = join_facts(low, ["drive", "up"], far, ["f_drive", "f_ref"], "inner")
         low = staged(both.select(*_KEY, F.col("f_up").alias("up"), F.least("low", "f_low").alias("low")), "cycles")
         span *= 2
     on_cycle = low.select("drive", F.col("up").alias("file_ref")).distinct()

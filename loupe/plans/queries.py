@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, present, text
-from ..operators import catalog, match, postings, search, settings, tree
-from ..operators.staging import shared_folder
+from ..operators import catalog, index, match, names, postings, search, settings, tree
+from ..operators.staging import shared_folder, staged
 from ..sources import files as sources
-from ..sources import records
+from ..sources import folders, records
 from ..streaming import changes
-from . import views
+from . import samples, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,15 +36,33 @@ F_, T_, C_ = views.FILES_SQL, views.CONTENT_SQL, views.CHANGES_SQL
 
 # -- names and paths
 
+_NAMES: dict[tuple[str, str], names.NameIndex] = {}
+
+
+def _names(spark: SparkSession, sf: str) -> names.NameIndex:
+    """The stored names of ``files``, built once a Spark application and folder of tables."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _NAMES:
+        _NAMES[key] = names.NameIndex(spark, f"{shared_folder(spark)}/names-{uuid.uuid4().hex}")
+        _NAMES[key].build(views.files(spark, sf))
+    return _NAMES[key]
+
 
 @query(f"WITH {F_} SELECT id, name FROM files WHERE contains(lower(name), '_1')")
 def name_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return views.files(spark, sf).where(search.name_matches("_1", F.lower("name"))).select("id", "name")
+    """Two letters only: all names are scanned."""
+    return _names(spark, sf).search("_1")
 
 
 @query(f"WITH {F_} SELECT id, name FROM files WHERE regexp_full_match(lower(name), 'doc_.5.*\\.py')")
 def name_glob(spark: SparkSession, sf: str) -> DataFrame:
-    return views.files(spark, sf).where(search.name_matches("DOC_?5*.py", F.lower("name"))).select("id", "name")
+    """By the pieces doc, oc_ and .py of the stored names."""
+    return _names(spark, sf).search("DOC_?5*.py")
+
+
+@query(f"WITH {F_} SELECT id, name FROM files WHERE contains(lower(name), 'c_17')")
+def name_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _names(spark, sf).search("C_17")
 
 
 @query(f"WITH {F_} SELECT id, name FROM files WHERE regexp_full_match(lower(name), '.*\\.md') AND contains(lower(name), '7')")
@@ -200,19 +218,49 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(spark, sf).withColumn("rank", F.round("rank", 6))
 
 
+_INDEXES: dict[tuple[str, str, str], index.Index] = {}
+
+
+def _stored(spark: SparkSession, sf: str, what: str) -> index.Index:
+    """The stored index of ``contents`` or of ``files``, built once a Spark application and folder of tables."""
+    key = spark.sparkContext.applicationId, sf, what
+    if key not in _INDEXES:
+        docs, id_col, columns = (views.contents(spark, sf), "file_id", ["content"]) if what == "contents" else (views.files(spark, sf), "id", ["name", "path"])
+        _INDEXES[key] = index.Index(spark, f"{shared_folder(spark)}/index-{what}-{uuid.uuid4().hex}", columns)
+        _INDEXES[key].replace(docs.select(id_col, *columns), id_col)
+    return _INDEXES[key]
+
+
 @query(_BM25 + " SELECT file_id, round(rank, 6) AS rank FROM r ORDER BY r.rank, file_id LIMIT 20")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf).orderBy("rank", "file_id").limit(20).withColumn("rank", F.round("rank", 6))
+    best, _ = _stored(spark, sf, "contents").top(match.word("the") & match.prefix("est"), 20)
+    return best.select(F.col("doc_id").alias("file_id"), F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH {T_}, n AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_n FROM toks),
+h AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'the')) AS f1, len(list_filter(t, lambda x: x = 'of')) AS f2 FROM toks),
+i AS (SELECT CASE WHEN a <= 0 THEN 1e-6 ELSE a END AS i1, CASE WHEN b <= 0 THEN 1e-6 ELSE b END AS i2 FROM (
+  SELECT ln((any_value(n_docs) - count(*) FILTER (f1 > 0) + 0.5) / (count(*) FILTER (f1 > 0) + 0.5)) AS a, ln((any_value(n_docs) - count(*) FILTER (f2 > 0) + 0.5) / (count(*) FILTER (f2 > 0) + 0.5)) AS b FROM h, n))
+SELECT doc_id AS file_id, round(-(i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / avg_n)) + i2 * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * n / avg_n))), 6) AS rank
+FROM h, i, n WHERE f1 > 0 OR f2 > 0 ORDER BY -(i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / avg_n)) + i2 * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * n / avg_n))), doc_id LIMIT 10""")
+def bm25_block_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole words: blocks that can't reach the tenth best rank are skipped."""
+    best, _ = _stored(spark, sf, "contents").top(match.word("the") | match.word("of"), 10)
+    return best.select(F.col("doc_id").alias("file_id"), F.round("rank", 6).alias("rank"))
 
 
 @query(_BM25 + " SELECT file_id, round(rank, 6) AS rank FROM r")
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
-    """The same ranks from stored postings and lengths."""
-    docs, root = views.contents(spark, sf), f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
-    postings.write(postings.build(docs, "file_id", ["content"]), f"{root}/book")
-    postings.lengths(docs, "file_id", ["content"]).write.parquet(f"{root}/lengths")
-    book, lengths = spark.read.parquet(f"{root}/book"), spark.read.parquet(f"{root}/lengths")
-    return postings.score(book, lengths, match.word("the") & match.prefix("est")).select(F.col("doc_id").alias("file_id"), F.round("rank", 6).alias("rank"))
+    """The same ranks from stored postings, without reading a text."""
+    found = _stored(spark, sf, "contents").search(match.word("the") & match.prefix("est"))
+    return found.select(F.col("doc_id").alias("file_id"), F.round("rank", 6).alias("rank"))
+
+
+@query(f"""WITH {T_}, p AS (SELECT doc_id, list_filter(range(len(t)), lambda i: t[i + 1] = 'the') AS a, list_filter(range(len(t)), lambda i: t[i + 1] = 'of') AS b FROM toks)
+SELECT doc_id FROM p WHERE len(list_filter(a, lambda x: len(list_filter(b, lambda y: abs(x - y) <= 3)) > 0)) > 0""")
+def near_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """NEAR from stored positions: at most two tokens between."""
+    return _stored(spark, sf, "contents").search(match.near("the", "of", gap=2)).select("doc_id")
 
 
 @query(f"WITH {T_} SELECT doc_id, count(*)::BIGINT AS hits FROM (SELECT doc_id, unnest(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS i FROM toks) GROUP BY doc_id")
@@ -223,12 +271,14 @@ def postings_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {T_} SELECT doc_id FROM toks WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'ing'))) > 0 AND doc_id % 10 <> 1")
 def postings_maintain(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents removed from the index, others replaced by their present text."""
+    """An index whose documents are removed or get their present text in segments of their own, which are then merged."""
     docs = views.contents(spark, sf)
-    book = postings.build(docs.withColumn("content", F.when(F.col("file_id") % 10 == 2, "the ing old").otherwise(F.col("content"))), "file_id", ["content"])
-    book = postings.remove_documents(book, docs.where(F.col("file_id") % 10 == 1).select("file_id"), "file_id")
-    book = postings.replace_documents(book, docs.where(F.col("file_id") % 10 == 2), "file_id", ["content"])
-    return postings.documents_with(book, ["the", "ing"], prefix=True)
+    kept = index.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", ["content"])
+    kept.replace(docs.withColumn("content", F.when(F.col("file_id") % 10 == 2, "the ing old").otherwise(F.col("content"))), "file_id")
+    kept.remove(docs.where(F.col("file_id") % 10 == 1), "file_id")
+    kept.replace(docs.where(F.col("file_id") % 10 == 2), "file_id")
+    kept.compact(2)
+    return postings.documents_with(kept.postings(), ["the", "ing"], prefix=True)
 
 
 # -- search
@@ -236,7 +286,7 @@ def postings_maintain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {F_}, {T_} SELECT id, path FROM files JOIN toks ON doc_id = id WHERE list_contains(t, 'estion') AND starts_with(lower(path), 'c:/en/')")
 def content_search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_contents(_indexed(spark, sf), views.files(spark, sf), match.word("estion"), ["C:/en"]).select("id", "path")
+    return search.search_contents(_stored(spark, sf, "contents"), views.files(spark, sf), match.word("estion"), ["C:/en"]).select("id", "path")
 
 
 _SIDES = f"""WITH {F_}, {T_}, sides AS (
@@ -259,8 +309,8 @@ def match_type_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_SIDES} SELECT id AS file_id, path, 'both' AS match_type FROM sides WHERE n AND c")
 def name_and_content(spark: SparkSession, sf: str) -> DataFrame:
-    f = search.index_files(views.files(spark, sf))
-    return search.search(f, _indexed(spark, sf), names="src1", contents="esti").select("file_id", "path", "match_type")
+    f = search.StoredFiles(views.files(spark, sf), _stored(spark, sf, "files"))
+    return search.search(f, _stored(spark, sf, "contents"), names="src1", contents="esti").select("file_id", "path", "match_type")
 
 
 @query(f"""{_SIDES} SELECT place::INTEGER AS place, file_id, match_type FROM (
@@ -338,6 +388,23 @@ def reindex_changed(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(c, f["id"] == c["file_id"], "left").select("path", "has_content", F.length("content").cast("long").alias("n_chars"))
 
 
+@query(f"""WITH {F_}, r AS (SELECT id, path, extension, has_content, coalesce(text, '') AS text FROM files JOIN documents ON doc_id = id)
+SELECT substr(path, 3) AS path, has_content OR extension <> '.pdf' AS has_content, CASE WHEN has_content OR extension <> '.pdf' THEN md5(text) END AS text_md5 FROM r
+WHERE has_content OR (extension IN ('.txt', '.md', '.py', '.pdf') AND text <> '' AND NOT regexp_matches(path, '/src[37]/'))""")
+def index_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of real files, of which the index knows some: it is walked without its excluded subtrees, and only what the index lacks is opened."""
+    root = f"{shared_folder(spark).removeprefix('file:').rstrip('/')}/folder-{uuid.uuid4().hex}"
+    samples.write_folder(spark, sf, root)
+    known = views.files(spark, sf).where("has_content").withColumn("path", samples.in_folder(root, F.col("path")))
+    f, c = catalog.reindex_changed(known, views.contents(spark, sf).join(known.select(F.col("id").alias("file_id")), "file_id"), folders.walk(spark, root, _hidden), folders.read_texts, _hidden)
+    found = f.join(c, f["id"] == c["file_id"], "left")
+    return found.select(F.substring("path", len(root) + 1, 1 << 20).alias("path"), "has_content", F.md5("content").alias("text_md5"))
+
+
+def _hidden(p: Column) -> Column:
+    return paths.excluded(p, (), views.EXCLUDED_DIRS)
+
+
 @query(f"WITH {F_} SELECT doc_id, length(text)::BIGINT AS n_chars FROM documents JOIN files ON id = doc_id WHERE name = 'doc_12.txt'")
 def content_by_path(spark: SparkSession, sf: str) -> DataFrame:
     f = views.files(spark, sf)
@@ -352,9 +419,13 @@ def remove_folder(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("id").alias("n_files"), F.count("file_id").alias("n_contents"))
 
 
-@query(f"WITH {views.FOLDERS_SQL} SELECT a.path AS outer, b.path AS inner FROM folders a JOIN folders b ON starts_with(lower(b.path), lower(a.path) || '/')")
+@query("""WITH folders AS (SELECT DISTINCT unnest(['C:/' || lang, 'C:/' || lang || '/' || source, 'C:/' || lang || '/' || source || '/d' || doc_id % 10]) AS path FROM documents)
+SELECT a.path AS outer, b.path AS inner FROM folders a JOIN folders b ON starts_with(lower(b.path), lower(a.path) || '/')""")
 def folder_containment(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.nested_folders(views.folders(spark))
+    """Folders of three levels, all of which are registered."""
+    top = F.concat_ws("/", F.lit("C:"), "lang")
+    parts = [top, F.concat_ws("/", top, "source"), F.concat_ws("/", top, "source", F.concat(F.lit("d"), F.col("doc_id") % 10))]
+    return catalog.nested_folders(views.table(spark, sf, "documents").select(F.explode(F.array(*parts)).alias("path")).distinct())
 
 
 _ROUTED = f"WITH {F_}, {views.FOLDERS_SQL}, routed AS (SELECT f.path AS folder, d.path FROM files d JOIN folders f ON starts_with(lower(d.path), lower(f.path) || '/'))"
@@ -454,9 +525,57 @@ def pending_by_folder(spark: SparkSession, sf: str) -> DataFrame:
     return changes.pending_by_folder(_changed(spark, sf), views.folders(spark))
 
 
-@query("SELECT 'C' AS drive, 100::BIGINT AS first_usn, 5000::BIGINT AS next_usn")
+# every user's events are a journal of a drive of its own; a snapshot of each was taken at a third of them, or at its end
+_JOURNALS = """j AS (SELECT 'u' || user_id AS drive, 1 + (user_id % 5 = 0)::INT AS journal_id, max(event_id) + 1 AS next_usn, min(event_id) AS lowest_usn FROM events GROUP BY user_id),
+s AS (SELECT 'u' || user_id AS drive, 1 AS journal_id, CASE WHEN user_id % 3 = 0 THEN max(event_id) + 1 ELSE (min(event_id) * 2 + max(event_id)) // 3 END AS next_usn FROM events GROUP BY user_id)"""
+
+
+def _journals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    user = F.col("user_id")
+    ends = views.table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    drive = F.concat(F.lit("u"), user).alias("drive")
+    now = ends.select(drive, F.when(user % 5 == 0, 2).otherwise(1).cast("long").alias("journal_id"), (F.col("b") + 1).alias("next_usn"), F.col("a").alias("lowest_usn"))
+    then = ends.select(drive, F.lit(1).cast("long").alias("journal_id"), F.when(user % 3 == 0, F.col("b") + 1).otherwise(F.floor((F.col("a") * 2 + F.col("b")) / 3)).cast("long").alias("next_usn"))
+    return now, then
+
+
+@query(f"WITH {_JOURNALS} SELECT drive, s.next_usn AS first_usn, j.next_usn FROM s JOIN j USING (drive) WHERE s.journal_id = j.journal_id AND s.next_usn < j.next_usn")
 def catchup_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.catchup_ranges(views.offsets(spark, views.SNAPSHOT_OFFSETS), views.offsets(spark, views.CURRENT_OFFSETS))
+    now, then = _journals(spark, sf)
+    return changes.catchup_ranges(then, now)
+
+
+@query(f"""WITH {_JOURNALS} SELECT upper(drive) AS drive, CASE WHEN j.drive IS NULL THEN s.journal_id ELSE j.journal_id END::BIGINT AS journal_id, coalesce(j.next_usn, s.next_usn) AS next_usn
+FROM s LEFT JOIN (SELECT * FROM j WHERE next_usn % 2 = 0) j USING (drive)""")
+def upsert_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the drives have a later offset, under the drive's name in capitals."""
+    now, then = _journals(spark, sf)
+    return settings.upsert_offsets(then, now.where("next_usn % 2 = 0").withColumn("drive", F.upper("drive")))
+
+
+_CAUGHT_UP = f"""WITH {C_.partition(", last AS")[0].partition("," + chr(10) + "last AS")[0]},
+moved AS (SELECT drive, file_ref, usn, reason FROM changes),
+mid AS (SELECT (SELECT max(event_id) FROM events) // 2 AS usn),
+a AS (SELECT drive, file_ref, arg_max(reason, usn) AS reason FROM moved WHERE reason & 13063 <> 0 AND usn >= (SELECT usn FROM mid) GROUP BY drive, file_ref),
+refs AS (SELECT DISTINCT drive, file_ref FROM changes),
+base AS (SELECT drive, file_ref, drive || ':/' || CASE WHEN drive = 'D' THEN 'listed' ELSE 'old' END || '/' || file_ref AS path FROM refs WHERE drive = 'C' OR file_ref % 3 <> 0)
+SELECT drive, file_ref, CASE WHEN a.reason IS NULL THEN base.path ELSE drive || ':/new/' || file_ref END AS path
+FROM base FULL JOIN a USING (drive, file_ref) WHERE a.reason IS NULL OR a.reason & 512 = 0"""
+
+
+@query(_CAUGHT_UP)
+def rescan_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """C's journal still holds its offset and is caught up; D's doesn't, so it is listed anew and the changes made meanwhile are merged in."""
+    log = staged(views.change_log(spark, sf), "log")
+    refs = log.select("drive", "file_ref").distinct()
+    end, mid = log.agg(F.max("usn") + 1, F.floor(F.max("usn") / 2)).first()
+    row = lambda folder: F.concat_ws("/", F.concat("drive", F.lit(":")), F.lit(folder), F.col("file_ref"))
+    facts = lambda df, folder: df.select("drive", "file_ref", row(folder).alias("path"), F.col("file_ref").cast("string").alias("name"), F.lit("").alias("extension"), F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("modified"), F.lit(False).alias("is_dir"))
+    listing = facts(refs.where("drive = 'D' AND file_ref % 3 <> 0"), "listed").withColumn("since_usn", F.lit(mid))
+    journals = spark.createDataFrame([("C", 1, mid, end), ("D", 1, mid, end)], "drive string, journal_id long, lowest_usn long, next_usn long")
+    offsets = spark.createDataFrame([("C", 1, mid), ("D", 1, mid - 1)], "drive string, journal_id long, next_usn long")
+    found, _ = changes.catch_up(facts(refs, "old"), offsets, journals, log, listing, facts(refs, "new"))
+    return found.select("drive", "file_ref", "path")
 
 
 @query(f"WITH {C_} SELECT usn, reason & 256 <> 0 AS file_create, reason & 512 <> 0 AS file_delete, reason & 8192 <> 0 AS rename_new FROM changes WHERE reason & 13063 <> 0")
@@ -529,6 +648,37 @@ def extract_formats(spark: SparkSession, sf: str) -> DataFrame:
     return sources.extract(f, extension_col="ext").select("doc_id", "ext", F.md5("text").alias("text_md5"))
 
 
+_OFFICE = r"""WITH lines AS (
+  SELECT doc_id, line, i, CASE WHEN doc_id % 8 IN (2, 3, 7) THEN regexp_replace(line, '^\s+|\s+$', '', 'g') ELSE line END AS kept
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+found AS (
+  SELECT doc_id, string_agg(CASE WHEN doc_id % 8 = 7 THEN replace(replace(replace(kept, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') ELSE kept END, chr(10)
+    ORDER BY CASE WHEN doc_id % 8 = 7 AND i <= n // 2 THEN i + n ELSE i END) AS text
+  FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS n FROM lines) WHERE regexp_matches(line, '\S') AND doc_id % 8 NOT IN (4, 5, 6) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 4) THEN '.docx' WHEN doc_id % 8 IN (1, 5) THEN '.xlsx' WHEN doc_id % 8 = 3 THEN '.hwpx' ELSE '.pptx' END AS ext, md5(found.text) AS text_md5
+FROM documents LEFT JOIN found USING (doc_id)"""
+
+
+@query(_OFFICE)
+def extract_office(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as office files; broken, encrypted and empty ones give null."""
+    return sources.extract(samples.office_files(spark, sf), extension_col="ext").select("doc_id", "ext", F.md5("text").alias("text_md5"))
+
+
+# Fixed values of the test: letters, and accented ones that the index stores as them; the last two have two marks and stay.
+_PLAIN_LETTERS, _ACCENTED_LETTERS = "aeinostuyAEIOlr", "ạẽỉṅọṣṭųỹẢẺỊȌǟǖ"
+_TOKENIZED = r"""WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(strip_accents(lower(translate(text, 'lr', chr(57344) || chr(57345)))), chr(57344) || chr(57345), 'ǟǖ'), '[\p{L}\p{N}]+') AS toks FROM documents)
+SELECT doc_id, len(toks)::BIGINT AS n, md5(array_to_string(toks, ' ')) AS toks_md5 FROM t"""
+
+
+@query(_TOKENIZED)
+def tokenize_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written with accented letters have the tokens of the plain ones."""
+    found = text.tokens(F.translate("text", _PLAIN_LETTERS, _ACCENTED_LETTERS))
+    return views.table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ")).alias("toks_md5"))
+
+
 _SPELLED = r"""CASE event_id % 10 WHEN 0 THEN 'C:\Windows\u' WHEN 1 THEN 'c:/WINDOWS/u' WHEN 2 THEN 'C:/Program Files (x86)/u' WHEN 3 THEN 'C:/Users/Default//u' WHEN 4 THEN 'C:\Users\me\AppData\u'
   WHEN 5 THEN 'D:/Windows/u' WHEN 6 THEN 'C:/Windowsx/u' WHEN 7 THEN 'C:/x/../Windows/u' WHEN 8 THEN 'C:/docs/~$u' ELSE 'C:/docs/u' END"""
 
@@ -576,6 +726,13 @@ def highlight_page(spark: SparkSession, sf: str) -> DataFrame:
     return highlight_snippet(spark, sf)
 
 
+@query(f"SELECT page_id, regexp_replace(html, '<b>', '{present.FIRST_MATCH}<b>') AS html FROM ({_MARKED})")
+def highlight_anchor(spark: SparkSession, sf: str) -> DataFrame:
+    """Marked pages with an anchor at the first mark, to which a preview scrolls."""
+    cut, _ = present.preview(F.col("html"))
+    return views.table(spark, sf, "pages").select("page_id", present.highlight(cut, present.highlight_terms("the OR div*"), anchor=present.FIRST_MATCH).alias("html"))
+
+
 @query(_PREVIEWED)
 def preview_truncate(spark: SparkSession, sf: str) -> DataFrame:
     """Texts as the preview shows them, at the operator's own limit."""

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions.paths import join_folders
 from ..operators import catalog as cat
-from ..operators.staging import remove_folder
+from ..operators.staging import discard, staged
+from .store import CatalogStore, next_offsets
 
 # Reason bits of the journal.
 DATA_OVERWRITE, DATA_EXTEND, DATA_TRUNCATION = 0x1, 0x2, 0x4
@@ -50,6 +51,12 @@ def apply_changes(catalog: DataFrame, records: DataFrame, present: DataFrame, is
     present: drive, file_ref, path, name, size, modified and is_dir of files as they are now; what it doesn't hold can't be
     resolved and keeps its row.  Files now at an excluded path leave the catalog.
     """
+    gone, updates = batch_changes(records, present, is_excluded)
+    return cat.upsert(cat.remove_refs(catalog, gone), updates)
+
+
+def batch_changes(records: DataFrame, present: DataFrame, is_excluded: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(drive, file_ref of rows that leave the catalog, catalog rows with ``seq`` that replace those of their refs)."""
     events = last_events(relevant(records))
     deleted = events.where(F.col("decision") == "delete")
     facts = present.select("drive", "file_ref", "path", "name", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("modified", F.lit(0.0)).alias("modified"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
@@ -59,7 +66,7 @@ def apply_changes(catalog: DataFrame, records: DataFrame, present: DataFrame, is
         out = F.coalesce(is_excluded(F.col("path")), F.lit(False))
         gone = gone.unionByName(updates.where(out).select("drive", "file_ref"))
         updates = updates.where(~out)
-    return cat.upsert(cat.remove_refs(catalog, gone), updates)
+    return gone, updates
 
 
 def catchup_ranges(snapshot: DataFrame, current: DataFrame) -> DataFrame:
@@ -75,6 +82,28 @@ def expired(offsets: DataFrame, journals: DataFrame) -> DataFrame:
     return offsets.join(j, "drive").where((F.col("journal_id") != F.col("j_id")) | (F.col("next_usn") < F.col("lowest_usn"))).select("drive")
 
 
+def catch_up(catalog: DataFrame, offsets: DataFrame, journals: DataFrame, records: DataFrame, listing: DataFrame, present: DataFrame, is_excluded: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(catalog, one row a drive with ``action`` and ``first_usn``) after a time without following the journals.
+
+    journals: drive, journal_id, lowest_usn and next_usn as they are now.  listing: full listings (catalog columns) of drives, each
+    with ``since_usn``, the journal's end when it began.  A drive whose offset is still in its journal is ``caught up``: its records since the
+    offset are applied.  One whose journal is another, or no longer holds its offset, is ``rescanned``: its rows are those of the listing,
+    to which the records of the meantime, since the listing began, are applied.  Drives with nothing new are ``current``; those
+    without a journal, or without the listing they need, are ``left`` as they are.
+    """
+    j = journals.select("drive", F.col("journal_id").alias("j_id"), "lowest_usn", F.col("next_usn").alias("j_next"))
+    since = listing.groupBy("drive").agg(F.min("since_usn").alias("since_usn"))
+    known = catalog.select("drive").unionByName(listing.select("drive")).distinct().join(offsets.select("drive", "journal_id", "next_usn"), "drive", "left").join(j, "drive", "left").join(since, "drive", "left")
+    held = (F.col("journal_id") == F.col("j_id")) & (F.col("next_usn") >= F.col("lowest_usn"))
+    action = F.when(F.col("j_id").isNull(), "left").when(held & (F.col("next_usn") >= F.col("j_next")), "current").when(held, "caught up").when(F.col("since_usn").isNull(), "left").otherwise("rescanned")
+    first = F.when(F.col("action") == "caught up", F.col("next_usn")).when(F.col("action") == "rescanned", F.col("since_usn"))
+    plan = staged(known.withColumn("action", action).select("drive", "action", "j_id", first.alias("first_usn")), "catch-up")  # a row a drive
+    rescanned = plan.where("action = 'rescanned'").select("drive")
+    base = catalog.select(*cat.CATALOG).join(rescanned, "drive", "left_anti").unionByName(listing.select(*cat.CATALOG).join(rescanned, "drive", "left_semi"))
+    new = records.join(plan.where("first_usn IS NOT NULL"), "drive").where((F.col("usn") >= F.col("first_usn")) & (F.col("journal_id") == F.col("j_id")))
+    return apply_changes(base, new.select(*records.columns), present, is_excluded), plan.select("drive", "action", "first_usn")
+
+
 def route_changes(paths: DataFrame, folders: DataFrame, sep: str = "/") -> DataFrame:
     """path and folder for every registered folder that a changed path is or lies below."""
     return join_folders(paths.select("path"), "path", folders.select(F.col("path").alias("folder")), "folder", sep)
@@ -85,34 +114,15 @@ def pending_by_folder(paths: DataFrame, folders: DataFrame, sep: str = "/") -> D
     return route_changes(paths, folders, sep).groupBy("folder").agg(F.count_distinct("path").alias("n_pending"))
 
 
-class CatalogStore:
-    """Catalog versions in a folder: each batch writes the next one, named by its number, so replaying a batch rewrites the same version.
-
-    Two versions are kept: the latest, and the one that its batch, should it be replayed, starts from.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _at(self, version: int) -> str:
-        return f"{self.path}/version={version}"
-
-    def start(self, catalog: DataFrame) -> None:
-        catalog.select(*cat.CATALOG).write.mode("overwrite").parquet(self._at(-1))
-
-    def read(self, version: int) -> DataFrame:
-        return cat.with_lower_name(self.spark.read.parquet(self._at(version)))
-
-    def write(self, version: int, catalog: DataFrame) -> None:
-        catalog.select(*cat.CATALOG).write.mode("overwrite").parquet(self._at(version))
-        remove_folder(self.spark, self._at(version - 2))
-
-
 def follow(records: DataFrame, store: CatalogStore, present: Callable[[], DataFrame], checkpoint: str, is_excluded: Callable[[Column], Column] | None = None, *, available_now: bool = False, every: str = "5 seconds") -> StreamingQuery:
-    """Keeps the store's catalog current from a stream of records; batch n makes version n of version n - 1."""
+    """Keeps the store's catalog current from a stream of records; batch n makes version n of version n - 1, its journal offsets included."""
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        store.write(number, apply_changes(store.read(number - 1), batch, present(), is_excluded))
+        seen = staged(batch, "batch")  # the source is read once
+        gone, updates = batch_changes(seen, present(), is_excluded)
+        updates = staged(updates, "updates")
+        store.apply(number, gone, updates, next_offsets(seen))
+        discard(seen, updates)
 
     writer = records.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
@@ -122,3 +132,39 @@ def follow(records: DataFrame, store: CatalogStore, present: Callable[[], DataFr
 def running_pending(paths: DataFrame, folders: DataFrame, sep: str = "/") -> DataFrame:
     """Each folder's number of distinct changed paths over a stream of paths; the state holds a (folder, path) once."""
     return route_changes(paths, folders, sep).dropDuplicates(["folder", "path"]).groupBy("folder").agg(F.count("*").alias("n_pending"))
+
+
+class _Pending(StatefulProcessor):
+    """The changed paths of one (folder, part) since its last drain, as the entries of a map."""
+
+    def init(self, handle) -> None:
+        self.paths = handle.getMapState("paths", "path string", "usn long")
+        self.size = handle.getValueState("size", "n long")
+
+    def handleInputRows(self, key, rows, timer_values):
+        n = self.size.get()[0] if self.size.exists() else 0
+        for row in sorted(rows, key=lambda r: r["usn"]):
+            if row["path"] is None:
+                self.paths.clear()
+                n = 0
+            elif not self.paths.containsKey((row["path"],)):
+                self.paths.updateValue((row["path"],), (row["usn"],))
+                n += 1
+        if n:
+            self.size.update((n,))
+        else:
+            self.size.clear()
+        yield Row(folder=key[0], part=key[1], n_pending=n)
+
+
+def drained_pending(events: DataFrame, folders: DataFrame, sep: str = "/", parts: int = 16) -> DataFrame:
+    """folder, part and n_pending whenever they change, over a stream of events (usn, path, drained).
+
+    A row with ``drained`` (a folder) empties that folder's pending set; all others add ``path`` to the folders it is or lies in.
+    Within a batch events go by usn; batches come in order.  A folder's paths are dealt by hash over ``parts`` states, each of
+    which the drain reaches, so that one busy folder isn't one key; what isn't pending takes no state.  Sum n_pending over parts.
+    """
+    routed = join_folders(events.where("drained IS NULL").select("usn", "path"), "path", folders.select(F.col("path").alias("folder")), "folder", sep)
+    adds = routed.select("usn", "folder", "path", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part"))
+    drains = events.where("drained IS NOT NULL").select("usn", F.col("drained").alias("folder"), F.lit(None).cast("string").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return adds.unionByName(drains).groupBy("folder", "part").transformWithState(_Pending(), "folder string, part int, n_pending long", "Update", "None")

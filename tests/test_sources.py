@@ -1,12 +1,18 @@
 """Text extraction and binary records on bytes built here."""
 
 import io
+import os
 import struct
 import zipfile
 
-from loupe.operators import settings
+import pytest
+
+from loupe.functions import paths
+from loupe.operators import catalog, settings
+from loupe.operators.progress import Progress
 from loupe.operators.tree import resolve_paths
-from loupe.sources import files, records, volume
+from loupe.plans import samples
+from loupe.sources import files, folders, records, volume
 
 
 def archive(parts):
@@ -163,3 +169,65 @@ def test_settings(spark, tmp_path):
     assert one.count() == 2
     offsets = spark.createDataFrame([("C", 1, 5)], "drive string, journal_id long, next_usn long")
     assert settings.offset_of(offsets, "c") == (1, 5) and settings.offset_of(offsets, "d") is None
+
+
+def test_any_failure_or_no_text_is_null(spark):
+    good = samples.office_bytes(0, "one\n two")
+    assert files.extract_text(good, ".docx") == "one\n two"
+    assert files.extract_text(samples.office_bytes(1, "a\nb\nc"), ".xlsx") == "a\nb\nc" and files.extract_text(samples.office_bytes(2, " a\nb & c"), ".pptx") == "a\nb & c"
+    odd = bytearray(good)
+    for mark, offset in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)):
+        at = odd.find(mark)
+        odd[at + offset : at + offset + 2] = b"\x63\x00"  # a compression that no reader knows
+    cases = [(bytes(odd), ".docx"), (samples.office_bytes(5, "x\ny"), ".xlsx"), (samples.office_bytes(4, "x"), ".docx")]
+    cases += [(archive({"word/document.xml": "<d><body><p/></body></d>"}), ".docx"), (archive({"xl/worksheets/sheet1.xml": "<w/>"}), ".xlsx"), (archive({"a": ""}), ".pptx"), (archive({"Contents/a.xml": "<x><t> </t></x>"}), ".hwpx"), (b"", ".docx")]
+    rows = spark.createDataFrame([(i, bytearray(d), e) for i, (d, e) in enumerate(cases)], "i int, content binary, extension string")
+    assert [r["text"] for r in files.extract(rows).orderBy("i").collect()] == [None] * len(cases)
+    assert files.extract_text(b"", ".txt") == ""
+
+
+def test_unpacking_is_bounded(monkeypatch):
+    monkeypatch.setattr(files, "MAX_CONTENT_BYTES", 20_000)
+    assert files.extract_text(samples.office_bytes(0, "x" * 10_000), ".docx").startswith("xxx")
+    packed = samples.office_bytes(0, "x" * 100_000)
+    assert len(packed) < 2000 and files.extract_text(packed, ".docx") is None
+
+
+def test_cells_lines_and_a_bad_slide():
+    sheet = '<w><row><c t="b"><v>1</v></c><c><v>3</v></c><c><v>1E2</v></c><c t="str"><v> s</v></c><c t="e"><v>#N/A</v></c><f/></row></w>'
+    assert files.extract_text(archive({"xl/worksheets/sheet1.xml": sheet}), ".xlsx") == "True 3 100.0  s #N/A"
+    doc = '<w:d xmlns:w="u"><w:body><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/></w:r><w:hyperlink><w:r><w:t>c</w:t></w:r></w:hyperlink><w:del><w:r><w:t>no</w:t></w:r></w:del></w:p></w:body></w:d>'
+    assert files.extract_text(archive({"word/document.xml": doc}), ".docx") == "a\tb\nc"
+    slides = archive({"ppt/slides/slide1.xml": "<a:t>one</a:t>", "ppt/slides/slide2.xml": b"\xff<a:t x='1'>two &#65;&lt;</a:t><a:t/>", "ppt/slides/slide3.xml": "<a:t>three</a:t>"})
+    at = slides.find(b"three")
+    slides = slides[:at] + b"THREE" + slides[at + 5 :]  # its checksum is wrong now
+    assert files.extract_text(slides, ".pptx") == "one\n�two &#65;&lt;".replace("�", "")
+
+
+def test_walk_prunes_and_reads_only_what_is_asked_for(spark, tmp_path):
+    top = tmp_path / "top"
+    for path, data in {"a.txt": "one", "d/b.md": "two", "d/node_modules/deep/er/c.txt": "no", "d/e/f/g.docx": "broken", "h/.git/x.txt": "no", "h/i.exe": "bytes", "h/j.txt": ""}.items():
+        (top / path).parent.mkdir(parents=True, exist_ok=True)
+        (top / path).write_text(data)
+    os.symlink(top, top / "h" / "loop")
+    os.symlink(top / "a.txt", top / "h" / "link.txt")
+    os.mkfifo(top / "d" / "node_modules" / "pipe.txt")  # opening it would wait for ever
+    gone = lambda p: paths.excluded(p, (), ["node_modules"])
+    listed = folders.walk(spark, f"file://{top}", gone)
+    at = {r["path"].removeprefix(f"{top}/"): r for r in listed.collect()}
+    assert sorted(at) == ["a.txt", "d/b.md", "d/e/f/g.docx", "h/i.exe", "h/j.txt", "h/link.txt"]
+    assert (at["d/b.md"]["name"], at["d/b.md"]["extension"], at["d/b.md"]["size"]) == ("b.md", ".md", 3) and at["a.txt"]["modified"] == pytest.approx(os.stat(top / "a.txt").st_mtime, abs=1e-5)
+    progress = Progress()
+    files_ = spark.createDataFrame([(1, f"{top}/a.txt", "a.txt", ".txt", 3, at["a.txt"]["modified"], True, None)], "id long, path string, name string, extension string, size long, modified double, has_content boolean, file_ref long")
+    opened = []
+
+    def texts_of(stale):
+        opened.extend(r["path"].removeprefix(f"{top}/") for r in stale.collect())
+        return folders.read_texts(stale)
+
+    f, c = catalog.reindex_changed(files_, spark.createDataFrame([(1, "one")], "file_id long, content string"), listed, texts_of, gone, progress=progress)
+    found = {r["path"].removeprefix(f"{top}/"): (r["has_content"], r["content"]) for r in f.join(c, f["id"] == c["file_id"], "left").collect()}
+    assert found == {"a.txt": (True, "one"), "d/b.md": (True, "two"), "d/e/f/g.docx": (False, None), "h/link.txt": (True, "one")}
+    assert sorted(opened) == ["d/b.md", "d/e/f/g.docx", "h/link.txt"]  # known, excluded, unreadable and empty files stay closed
+    assert progress.counts() == {"listed": 6, "read": 3, "failed": 1, "skipped": 3}
+    assert folders.walk(spark, str(tmp_path / "none")).count() == 0 and folders.walk(spark, str(top / "d" / "node_modules"), gone).count() == 0
