@@ -1,6 +1,5 @@
 """Chat formatting against a plain reader, conversation repair against whole label strings."""
 
-import functools
 import hashlib
 import random
 import re
@@ -96,30 +95,38 @@ def test_chat_format_stays_native_and_takes_an_empty_table(spark, sf):
 GRAMMAR = re.compile(r"(s?(ua)+)?")
 
 
+AFTER = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+
+
 def best_edits(classes):
     """The least (cost, labels) over whole label strings, and what the edits do, by the grammar's states alone."""
-    after = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
-
-    @functools.cache
-    def best(i, state, inserted):
-        found = [(0, "", ())] if i == len(classes) and state in (0, 3) else []
-        if inserted < 4:
-            for c, role in (("u", "user"), ("a", "assistant")):
-                if (state, c) in after:
-                    cost, labels, out = best(i, after[state, c], inserted + 1)
-                    found.append((cost + 3, "I" + labels, ((role, ""), *out)))
-        if i < len(classes):
-            initial, must_go, cut = classes[i]
-            cost, labels, out = best(i + 1, state, 0)
-            found.append((cost + 4, "D" + labels, out))
-            if not must_go:
-                for label, c, price in [("K", initial, 0), ("R", "u", 3), ("R", "a", 3)]:
-                    if (state, c) in after:
-                        cost, labels, out = best(i + 1, after[state, c], 0)
-                        found.append((cost + price + 3 * cut, label + labels, ((i, {"u": "user", "a": "assistant"}[c] if label == "R" else None), *out)))
-        return min(found, key=lambda f: f[:2], default=(10**9, "", ()))
-
-    return best(0, 0, 0)
+    behind = [None] * 4
+    for i in range(len(classes), -1, -1):
+        now = {}
+        for inserted in range(4, -1, -1):
+            for state in range(4):
+                found = [(0, "", ())] if i == len(classes) and state in (0, 3) else []
+                for c, role in (("u", "user"), ("a", "assistant")):
+                    if (state, c) in AFTER and (inserted + 1, AFTER[state, c]) in now:
+                        cost, labels, out = now[inserted + 1, AFTER[state, c]]
+                        found.append((cost + 3, "I" + labels, ((role, ""), out)))
+                if i < len(classes):
+                    initial, must_go, cut = classes[i]
+                    if behind[state]:
+                        found.append((behind[state][0] + 4, "D" + behind[state][1], behind[state][2]))
+                    for label, c, price in [] if must_go else [("K", initial, 0), ("R", "u", 3), ("R", "a", 3)]:
+                        if (state, c) in AFTER and behind[AFTER[state, c]]:
+                            cost, labels, out = behind[AFTER[state, c]]
+                            found.append((cost + price + 3 * cut, label + labels, ((i, {"u": "user", "a": "assistant"}[c] if label == "R" else None), out)))
+                if found:
+                    now[inserted, state] = min(found, key=lambda f: f[:2])
+        behind = [now.get((0, state)) for state in range(4)]
+    cost, labels, linked = behind[0]
+    out = []
+    while linked:
+        first, linked = linked
+        out.append(first)
+    return cost, labels, out
 
 
 def test_cheapest_edits_are_the_least_over_whole_label_strings():

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loupe.llm import components, mtree, near_dup, shared
+from loupe.llm import components, mixing, mtree, near_dup, shared
 from test_text_operators import brute_lines
 
 
@@ -202,6 +202,11 @@ def test_pipeline(spark, sf):
     assert sorted(i for i, _ in unique) == [i for i, _, _, kept in groups if kept]
     assert set(mixed) <= set(unique) and sorted(i for i, _ in mixed) == sorted(i for (i,) in ids)
     assert seen[-1].where("NOT lossless").count() == 0
+    drawn = {}
+    for i, x in seen[-1].select("doc_id", "ids").collect():
+        drawn.setdefault(i, []).append(tuple(x))
+    several = [x for x in drawn.values() if len(x) > 1 and len(x[0]) > 20]
+    assert several and all(len(set(x)) == len(x) for x in several)  # copies are segmented by draws of their own
     again = corpus_pipeline.run(spark, sf).select("doc_id", "ids").collect()
     assert sorted(map(str, again)) == sorted(map(str, seen[-1].select("doc_id", "ids").collect()))
 
@@ -217,3 +222,16 @@ def test_stages_take_odd_rows(spark, sf, name):
         table = documents.select(*table.columns).unionByName(table)
     assert stage(spark, table, sf).count() > 0
     assert stage(spark, table.limit(0), sf).count() == 0
+
+
+def test_numbered_copies(spark):
+    schema = "doc_id long, text string, copy string"
+    rows = [(1, "a", "x")] * 2500 + [(2, None, "y")] * 3 + [(None, "b", None), (3, "a", "x"), (3, "b", "x")]
+    table = spark.createDataFrame(rows, schema)
+    got = sorted((tuple(r) for r in mixing.numbered_copies(table, many=1000).select("doc_id", "text", "copy").collect()), key=str)
+    want = [(1, "a", k + 1) for k in range(2500)] + [(2, None, k + 1) for k in range(3)] + [(None, "b", 1), (3, "a", 1), (3, "b", 1)]
+    assert got == sorted(want, key=str) and mixing.numbered_copies(table.limit(0)).count() == 0
+    docs = spark.range(500).selectExpr("id AS doc_id", "id % 3 AS source", "concat('t', id) AS text")
+    mixed = mixing.mix_sources(docs, default_weight="sqrt(n_rows) * (1 + n_rows % 2)", key_col="doc_id")
+    again = mixing.numbered_copies(mixed.drop("copy", "shuffle_key"))
+    assert sorted(map(tuple, again.select("doc_id", "copy").collect())) == sorted(map(tuple, mixed.select("doc_id", "copy").collect()))

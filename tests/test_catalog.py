@@ -1,11 +1,14 @@
 """Catalog changes, path resolution, and the change stream."""
 
 import itertools
+import os
+import shutil
 
 from pyspark.sql import functions as F
 
-from loupe.operators import catalog, tree
+from loupe.operators import catalog, skew, tree
 from loupe.streaming import changes
+from loupe.streaming.store import next_offsets
 
 ENTRY = "drive string, file_ref long, path string, name string, size long, modified double, is_dir boolean, seq long"
 
@@ -126,3 +129,117 @@ def test_pending(spark, tmp_path):
     query = changes.running_pending(stream, folders).writeStream.outputMode("complete").format("memory").queryName("pending_now").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r["folder"]: r["n_pending"] for r in spark.table("pending_now").collect()} == {"C:/a": 2, "C:/a/b": 1}
+
+
+def buckets_of(store, table, version):
+    root = f"{store.path}/{table}/version={version}"
+    return {int(d.split("=")[1]) for d in os.listdir(root) if d.startswith("bucket=")} if os.path.isdir(root) else set()
+
+
+def small_store(spark, root, n=400, buckets=64):
+    store = changes.CatalogStore(spark, str(root), buckets)
+    base = catalog.populate(spark.createDataFrame([entry(r, f"C:/f{r}", r) for r in range(n)], ENTRY))
+    store.start(base, spark.createDataFrame([("C", 1, 0)], "drive string, journal_id long, next_usn long"))
+    return store, base
+
+
+def batch_of(spark, rows):
+    """(ref, usn, reason, path or None) -> records and what their files are now."""
+    records = spark.createDataFrame([("C", 1, u, r, w) for r, u, w, _ in rows], changes.RECORD)
+    present = spark.createDataFrame([("C", r, p, p.rsplit("/", 1)[-1], 7, 2.0, False) for r, _, _, p in rows if p], PRESENT)
+    return records, present
+
+
+def put(store, version, records, present):
+    gone, updates = changes.batch_changes(records, present)
+    return store.apply(version, gone, updates, next_offsets(records))
+
+
+def test_a_batch_rewrites_its_buckets_only_with_the_offsets(spark, tmp_path):
+    store, base = small_store(spark, tmp_path / "s")
+    rows = [(1, 10, 0x200, None), (2, 11, 0x2000, "C:/moved"), (3, 12, 0x2000, "C:/F4"), (500, 13, 0x100, "C:/new"), (6, 14, 0x1, "C:/f6"), (7, 15, 0x200, None), (8, 16, 0x2000, "C:/moved"), (9, 17, 0x100, "C:/$x"), (10, 18, 0x2000, "C:/f11"), (11, 19, 0x2000, "C:/f10")]
+    records, present = batch_of(spark, rows)
+    now = put(store, 0, records, present)
+    want = changes.apply_changes(base, records, present)
+    assert paths_of(store.read()) == paths_of(want) and paths_of(store.read(-1)) == paths_of(base)
+    assert 0 < len(buckets_of(store, "rows", 0)) <= 10 and len(buckets_of(store, "owners", 0)) <= 10 and len(buckets_of(store, "rows", -1)) > 50
+    assert now.offsets == [("C", 1, 20)] and [tuple(r) for r in store.offsets().collect()] == [("C", 1, 20)]
+    put(store, 0, records, present)  # replayed
+    assert paths_of(store.read()) == paths_of(want) and store.offsets().count() == 1
+    # later batches: the one that was evicted comes back elsewhere, the evictor leaves
+    more, present = batch_of(spark, [(4, 30, 0x2000, "C:/four"), (3, 31, 0x200, None), (12, 32, 0x2000, "C:/F4")])
+    put(store, 1, more, present)
+    put(store, 2, *batch_of(spark, [(12, 40, 0x2000, "C:/else")]))
+    want = changes.apply_changes(changes.apply_changes(want, more, present), *batch_of(spark, [(12, 40, 0x2000, "C:/else")]))
+    assert paths_of(store.read()) == paths_of(want)
+    assert len(store.manifest().rows) == 64 or set(store.manifest().rows) <= set(range(64))
+
+
+def test_a_crash_before_the_manifest_leaves_catalog_and_offsets(spark, tmp_path):
+    store, base = small_store(spark, tmp_path / "s", 60, 8)
+    put(store, 0, *batch_of(spark, [(1, 10, 0x2000, "C:/a")]))
+    before, offsets = paths_of(store.read()), store.manifest().offsets
+    put(store, 1, *batch_of(spark, [(1, 20, 0x200, None), (2, 21, 0x2000, "C:/b")]))
+    shutil.rmtree(tmp_path / "s" / "manifest" / "at=1")
+    assert paths_of(store.read()) == before and store.manifest().offsets == offsets == [("C", 1, 11)]
+    put(store, 1, *batch_of(spark, [(1, 20, 0x200, None), (2, 21, 0x2000, "C:/b")]))
+    assert ("C", 2, "C:/b") in paths_of(store.read()) and store.manifest().offsets == [("C", 1, 22)]
+
+
+def test_buckets_without_rows(spark, tmp_path):
+    store, _ = small_store(spark, tmp_path / "s", 3, 4)
+    put(store, 0, *batch_of(spark, [(r, 10 + r, 0x200, None) for r in range(3)]))
+    assert store.read().count() == 0 and store.manifest().rows == {}
+    put(store, 1, *batch_of(spark, [(1, 20, 0x100, "C:/again")]))
+    assert paths_of(store.read()) == [("C", 1, "C:/again")]
+
+
+def test_catch_up_merges_a_listing_with_the_changes_since(spark):
+    rows = [entry(r, f"{d}:/old{r}", 1, d) for d in "CDEF" for r in (1, 2, 3)]
+    base = catalog.populate(spark.createDataFrame(rows, ENTRY))
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    offsets = table([("C", 1, 100), ("D", 1, 100), ("E", 1, 900), ("F", 1, 5)], "drive string, journal_id long, next_usn long")
+    journals = table([("C", 1, 50, 900), ("D", 2, 0, 900), ("E", 1, 50, 900), ("F", 1, 50, 900)], "drive string, journal_id long, lowest_usn long, next_usn long")
+    listing = table([("D", 1, "D:/l1", "l1", "", 1, 1.0, False, 500), ("D", 5, "D:/l5", "l5", "", 1, 1.0, False, 500)], "drive string, file_ref long, path string, name string, extension string, size long, modified double, is_dir boolean, since_usn long")
+    log = [("C", 1, 99, 1, 0x200), ("C", 1, 150, 2, 0x200), ("C", 9, 160, 3, 0x200), ("D", 2, 400, 1, 0x200), ("D", 2, 500, 5, 0x200), ("D", 2, 600, 6, 0x100), ("E", 1, 950, 1, 0x200), ("F", 1, 60, 1, 0x200)]
+    present = table([("D", 6, "D:/n6", "n6", 1, 1.0, False)], PRESENT)
+    found, plan = changes.catch_up(base, offsets, journals, table(log, changes.RECORD), listing, present)
+    assert {r["drive"]: (r["action"], r["first_usn"]) for r in plan.collect()} == {"C": ("caught up", 100), "D": ("rescanned", 500), "E": ("current", None), "F": ("left", None)}
+    assert paths_of(found) == [("C", 1, "C:/old1"), ("C", 3, "C:/old3"), ("D", 1, "D:/l1"), ("D", 6, "D:/n6"), *[(d, r, f"{d}:/old{r}") for d in "EF" for r in (1, 2, 3)]]
+
+
+def test_a_drained_folder_has_nothing_pending(spark, tmp_path):
+    folders = spark.createDataFrame([("C:/a",), ("C:/a/b",), ("C:/z",)], "path string")
+    schema = "usn long, path string, drained string"
+    batches = [[(1, "C:/a/b/x", None), (2, "C:/a/y", None), (3, "C:/a/y", None), (4, "D:/q", None)], [(5, None, "C:/a"), (6, "C:/a/k", None), (7, "C:/a/y", None)], [(8, None, "C:/a/b"), (9, None, "C:/a")]]
+    last, sizes = {}, []
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+
+            def take(batch, _):
+                last.update({(r["folder"], r["part"]): r["n_pending"] for r in batch.collect()})
+
+            query = changes.drained_pending(stream, folders, parts=3).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            sizes.append({f: sum(n for (g, _), n in last.items() if g == f) for f in ("C:/a", "C:/a/b")})
+            held = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "paths").load().count()
+            assert held == sum(sizes[-1].values())  # the state holds what is pending and nothing else
+    finally:
+        spark.conf.unset(conf)
+    assert sizes == [{"C:/a": 2, "C:/a/b": 1}, {"C:/a": 2, "C:/a/b": 1}, {"C:/a": 0, "C:/a/b": 0}]
+
+
+def test_paths_below_one_huge_folder(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    rows = [(1, 0, "root"), (2, 1, "big")] + [(10 + k, 2, f"f{k}") for k in range(1500)] + [(5000 + k, 10 + k % 40, f"g{k}") for k in range(120)] + [(9000, 9001, "x"), (9001, 9000, "y")]
+    entries = spark.createDataFrame([("C", *r) for r in rows], "drive string, file_ref long, parent_ref long, name string")
+    found = tree.resolve_paths(entries, "C:/")
+    got = {r["file_ref"]: r["path"] for r in found.collect()}
+    assert len(got) == len(rows) and got[10] == "C:/root/big/f0" and got[1509] == "C:/root/big/f1499" and got[5041] == "C:/root/big/f1/g41" and got[9001] == "C:/x/y"
+    joined = skew.join_facts(entries.where("file_ref < 5000"), ["parent_ref"], entries.select(F.col("file_ref").alias("p")), ["p"])
+    joined.collect()
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1502
