@@ -166,10 +166,21 @@ def stamp_folder(folders: DataFrame, path: str, at: float) -> DataFrame:
     return folders.withColumn("indexed_at", F.when(F.col("path") == path, F.lit(at)).otherwise(F.col("indexed_at")))
 
 
-def folder_status(folders: DataFrame, pending: DataFrame) -> DataFrame:
-    """folders with ``status``: pending, changed (with n_pending) or done.  pending: path, n_pending."""
+def folder_status(folders: DataFrame, pending: DataFrame, indexing: list[str] = ()) -> DataFrame:
+    """folders with ``status``: indexing (a job runs over it now), pending, changed (with n_pending) or done.  pending: path, n_pending."""
     rows = folders.join(pending, "path", "left").withColumn("n_pending", F.coalesce("n_pending", F.lit(0)).cast("long"))
-    return rows.withColumn("status", F.when(F.col("indexed_at").isNull(), "pending").when(F.col("n_pending") > 0, "changed").otherwise("done"))
+    status = F.when(F.col("indexed_at").isNull(), "pending").when(F.col("n_pending") > 0, "changed").otherwise("done")
+    return rows.withColumn("status", F.when(F.col("path").isin(*indexing), "indexing").otherwise(status) if indexing else status)
+
+
+def folder_list(folders: DataFrame) -> DataFrame:
+    """The registered folders in the order in which they are listed: by path, capitals first."""
+    return folders.orderBy("path")
+
+
+def needs_scan(catalog: DataFrame, least: int = 1000) -> bool:
+    """Whether a start must list all files first, as the stored catalog holds next to nothing; no more rows than needed are counted."""
+    return len(catalog.select("path").take(least)) < least
 
 
 def nested_folders(folders: DataFrame, sep: str = "/") -> DataFrame:

@@ -17,14 +17,13 @@ from __future__ import annotations
 import dataclasses
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from . import postings as books
 from .match import Near, Phrase, Query, holds, idf_of, term_rank
-from .staging import remove_folder, staged
+from .staging import remove_folder, staged, written_folders
 
 #: Documents of a block, about.
 BLOCK_DOCS = 256
@@ -49,13 +48,18 @@ class Manifest:
 class Index:
     def __init__(self, spark: SparkSession, path: str, columns: list[str]):
         self.spark, self.path, self.columns = spark, path.rstrip("/"), list(columns)
+        self._read: tuple[str, Manifest] | None = None
 
     def manifest(self) -> Manifest:
-        try:
-            last = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.desc("segment")).select(*(f.name for f in dataclasses.fields(Manifest))).first()
-        except AnalysisException:
-            last = None
-        return Manifest(**last.asDict()) if last else Manifest(-1, [], [], 0, 0, False)
+        """The last manifest row; it is read again only when there is a newer one."""
+        written = written_folders(self.spark, f"{self.path}/manifest")
+        if not written:
+            return Manifest(-1, [], [], 0, 0, False)
+        last = max(written, key=lambda name: int(name.partition("=")[2]))
+        if self._read is None or self._read[0] != last:
+            row = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/{last}").first()
+            self._read = last, Manifest(**row.asDict())
+        return self._read[1]
 
     def _table(self, name: str, segments: list[int], schema: str) -> DataFrame:
         """A table's live segments, with the column ``segment``."""
@@ -110,6 +114,7 @@ class Index:
         totals = Manifest(number, segments, sizes, 0, 0, has_dead)
         live = self.rows(totals).where("token = ''").agg(F.count("*"), F.sum("n_tokens")).first()  # the narrow rows of documents only
         totals = dataclasses.replace(totals, n_docs=live[0], n_tokens=live[1] or 0)
+        self._read = None  # a crash may have left a row of this number
         self.spark.createDataFrame([dataclasses.astuple(totals)], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/at={number}")
         return totals
 

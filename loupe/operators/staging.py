@@ -40,3 +40,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared storage, wherever that is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in path whose writing has ended; no job runs for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(where) if s.isDirectory()]
+    return [n for n in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]

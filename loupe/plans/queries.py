@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, present, text
-from ..operators import catalog, index, match, names, postings, search, settings, tree
+from ..operators import catalog, index, match, names, postings, progress, search, settings, tree
 from ..operators.staging import shared_folder, staged
 from ..sources import files as sources
 from ..sources import folders, records
@@ -443,6 +443,16 @@ def folder_status(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.folder_status(views.folders(spark), pending).select("path", "n_pending", "status")
 
 
+@query(f"""{_ROUTED}, p AS (SELECT folder, count(DISTINCT path) AS n FROM routed GROUP BY folder)
+SELECT row_number() OVER (ORDER BY f.path)::INTEGER AS place, f.path, CASE WHEN f.path = 'C:/en' THEN 'indexing' WHEN indexed_at IS NULL THEN 'pending' WHEN coalesce(n, 0) > 0 THEN 'changed' ELSE 'done' END AS status
+FROM folders f LEFT JOIN p ON p.folder = f.path""")
+def folder_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered folders as they are listed, one of them being indexed just now; a list of registered folders fits one task."""
+    pending = changes.pending_by_folder(_changed(spark, sf), views.folders(spark)).withColumnRenamed("folder", "path")
+    status = catalog.folder_status(views.folders(spark), pending, indexing=["C:/en"])
+    return _numbered(catalog.folder_list(status).select("path", "status")).select("place", "path", "status")
+
+
 _TREE = f"""WITH RECURSIVE {views.ENTRIES_SQL}, inner_ AS (SELECT * FROM entries WHERE file_ref <> parent_ref),
 r AS (
   SELECT file_ref, 'C:/' || name AS path, 1 AS depth FROM inner_ WHERE parent_ref NOT IN (SELECT file_ref FROM inner_) {{0}}
@@ -539,6 +549,11 @@ def _journals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return now, then
 
 
+@query(f"WITH {C_} SELECT drive, 1::BIGINT AS journal_id, min(usn) AS lowest_usn, max(usn) + 1 AS next_usn FROM changes GROUP BY drive")
+def journal_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return changes.journal_metadata(views.change_log(spark, sf))
+
+
 @query(f"WITH {_JOURNALS} SELECT drive, s.next_usn AS first_usn, j.next_usn FROM s JOIN j USING (drive) WHERE s.journal_id = j.journal_id AND s.next_usn < j.next_usn")
 def catchup_ranges(spark: SparkSession, sf: str) -> DataFrame:
     now, then = _journals(spark, sf)
@@ -584,6 +599,51 @@ def reason_flags(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("usn", "f.file_create", "f.file_delete", "f.rename_new")
 
 
+@query("""WITH d AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT 'C:/u' || e.user_id AS folder, count(DISTINCT e.event_id % 50) FILTER (event_type <> 'purchase' AND e.event_id > coalesce(d.last, -1))::BIGINT AS n_pending
+FROM events e LEFT JOIN d USING (user_id) GROUP BY e.user_id""")
+def pending_drained(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of changed paths, in two files; a purchase drains its user's folder."""
+    root = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    e = views.table(spark, sf, "events")
+    top = F.concat(F.lit("C:/u"), "user_id")
+    drains = F.col("event_type") == "purchase"
+    rows = e.select(F.col("event_id").alias("usn"), F.when(~drains, F.concat(top, F.lit("/f"), F.col("event_id") % 50)).alias("path"), F.when(drains, top).alias("drained"))
+    middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    for part in (F.col("usn") <= middle, F.col("usn") > middle):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = changes.drained_pending(stream, e.select(top.alias("path")).distinct(), parts=2)
+        keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/at={number}")
+        found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    last = spark.read.schema("folder string, part int, n_pending long, batch int").parquet(f"{root}/out").groupBy("folder", "part").agg(F.max_by("n_pending", "batch").alias("n"))
+    return last.groupBy("folder").agg(F.sum("n").alias("n_pending"))
+
+
+@query(f"""WITH {F_}, r AS (SELECT * FROM files JOIN documents ON doc_id = id), w AS (SELECT *, extension IN ('.txt', '.md', '.py', '.pdf') AND coalesce(text, '') <> '' AND NOT has_content AS stale FROM r)
+SELECT count(*)::BIGINT AS listed, count(*) FILTER (stale)::BIGINT AS read, count(*) FILTER (stale AND extension = '.pdf')::BIGINT AS failed, count(*) FILTER (NOT stale)::BIGINT AS skipped FROM w""")
+def reindex_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """What a reindex job saw, counted while it ran; its texts come from ``documents``."""
+    f, c, seen = views.files(spark, sf), views.contents(spark, sf), progress.Progress()
+    of = f.join(c, F.col("id") == F.col("file_id")).select(F.col("path").alias("of_path"), F.encode("content", "UTF-8").alias("bytes"))
+
+    def texts_of(stale: DataFrame) -> DataFrame:
+        found = stale.join(of, F.col("path") == F.col("of_path")).drop("of_path")
+        return sources.extract(found.withColumn("ext", paths.extension(F.col("path"))), "bytes", "ext")
+
+    sized = c.select("file_id", F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("bytes_now"))
+    listing = f.join(sized, F.col("id") == F.col("file_id")).select("path", F.col("bytes_now").alias("size"), "modified")
+    catalog.reindex_changed(f, c, listing, texts_of, progress=seen)
+    counts = seen.counts()
+    return spark.createDataFrame([tuple(counts[k] for k in ("listed", "read", "failed", "skipped"))], "listed long, read long, failed long, skipped long")
+
+
 @query("SELECT event_id, CASE WHEN event_id = 0 THEN 0.0 ELSE round(event_id * 60.0::DOUBLE, 3) END AS unix FROM events")
 def filetime_to_unix(spark: SparkSession, sf: str) -> DataFrame:
     ticks = F.when(F.col("event_id") == 0, F.lit(0).cast("long")).otherwise(F.col("event_id") * 600_000_000 + F.lit(116444736000000000))

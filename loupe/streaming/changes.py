@@ -69,6 +69,12 @@ def batch_changes(records: DataFrame, present: DataFrame, is_excluded: Callable[
     return gone, updates
 
 
+def journal_metadata(records: DataFrame) -> DataFrame:
+    """drive, journal_id, lowest_usn and next_usn of each drive's newest journal, from the records that it still holds."""
+    each = records.groupBy("drive", "journal_id").agg(F.min("usn").alias("lowest_usn"), (F.max("usn") + 1).alias("next_usn"))
+    return each.groupBy("drive").agg(F.max_by(F.struct("journal_id", "lowest_usn", "next_usn"), "journal_id").alias("j")).select("drive", "j.*")
+
+
 def catchup_ranges(snapshot: DataFrame, current: DataFrame) -> DataFrame:
     """drive, first_usn and next_usn that a snapshot lacks: the journals agree and it is behind."""
     now = current.select("drive", F.col("journal_id").alias("c_journal"), F.col("next_usn").alias("c_next"))

@@ -243,3 +243,14 @@ def test_paths_below_one_huge_folder(spark, monkeypatch):
     joined = skew.join_facts(entries.where("file_ref < 5000"), ["parent_ref"], entries.select(F.col("file_ref").alias("p")), ["p"])
     joined.collect()
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1502
+
+
+def test_small_rules(spark):
+    folders = spark.createDataFrame([("C:/b", None), ("C:/B", 1.0), ("C:/a", 2.0)], "path string, indexed_at double")
+    assert [r["path"] for r in catalog.folder_list(folders).collect()] == ["C:/B", "C:/a", "C:/b"]
+    status = catalog.folder_status(folders, spark.createDataFrame([("C:/a", 3)], "path string, n_pending long"), indexing=["C:/b"])
+    assert {r["path"]: r["status"] for r in status.collect()} == {"C:/b": "indexing", "C:/B": "done", "C:/a": "changed"}
+    some = spark.range(5).selectExpr("concat('p', id) AS path")
+    assert catalog.needs_scan(some) and not catalog.needs_scan(some, 5) and catalog.needs_scan(some.limit(0), 1)
+    records = spark.createDataFrame([("C", 1, 5, 1, 1), ("C", 1, 9, 1, 1), ("C", 2, 3, 1, 1), ("D", 1, 4, 1, 1)], changes.RECORD)
+    assert sorted(tuple(r) for r in changes.journal_metadata(records).select("drive", "journal_id", "lowest_usn", "next_usn").collect()) == [("C", 2, 3, 4), ("D", 1, 4, 5)]
