@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from . import postings as books
 from .match import Near, Phrase, Query, holds, idf_of, term_rank
-from .staging import remove_folder, staged, written_folders
+from .staging import folders_in, remove_folder, staged
 
 #: Documents of a block, about.
 BLOCK_DOCS = 256
@@ -52,7 +52,7 @@ class Index:
 
     def manifest(self) -> Manifest:
         """The last manifest row; it is read again only when there is a newer one."""
-        written = written_folders(self.spark, f"{self.path}/manifest")
+        written = folders_in(self.spark, f"{self.path}/manifest", written=True)
         if not written:
             return Manifest(-1, [], [], 0, 0, False)
         last = max(written, key=lambda name: int(name.partition("=")[2]))

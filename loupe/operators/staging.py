@@ -42,11 +42,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in path whose writing has ended; no job runs for it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(where):
+def folders_in(spark: SparkSession, path: str, *, written: bool = False) -> list[str]:
+    """Names of the folders in path, or of those only whose writing has ended; no job runs for it."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    store = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(of(path)):
         return []
-    names = [s.getPath().getName() for s in store.listStatus(where) if s.isDirectory()]
-    return [n for n in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    names = [s.getPath().getName() for s in store.listStatus(of(path)) if s.isDirectory()]
+    return [n for n in names if not written or store.exists(of(f"{path}/{n}/_SUCCESS"))]

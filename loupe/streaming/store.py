@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..operators import catalog as cat
 from ..operators.settings import upsert_offsets
-from ..operators.staging import remove_folder
+from ..operators.staging import folders_in, remove_folder
 
 BUCKETS = 256
 _ROWS = "drive string, file_ref long, path string, name string, extension string, size long, modified double, is_dir boolean"
@@ -47,8 +46,10 @@ class CatalogStore:
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The manifest of a version, or of the last one."""
-        path = f"{self.path}/manifest" if version is None else f"{self.path}/manifest/at={version}"
-        found = self.spark.read.schema(_MANIFEST).parquet(path).orderBy(F.desc("version")).select("version", "rows", "owners", "offsets").first()
+        number = version
+        if version is None:
+            number = max(int(name.partition("=")[2]) for name in folders_in(self.spark, f"{self.path}/manifest", written=True))
+        found = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/at={number}").first()
         return Manifest(found["version"], found["rows"], found["owners"], [tuple(o) for o in found["offsets"]])
 
     def _load(self, table: str, schema: str, at: dict[int, int]) -> DataFrame:
@@ -62,11 +63,8 @@ class CatalogStore:
         path = f"{self.path}/{table}/version={version}"
         rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         kept = {b: v for b, v in at.items() if b not in set(touched)}
-        try:
-            held = self.spark.read.parquet(path).select(F.col("bucket").cast("int")).distinct().collect()  # at most ``buckets`` numbers
-        except AnalysisException:  # nothing was left to write
-            held = []
-        return kept | {r[0]: version for r in held}
+        held = [int(name.partition("=")[2]) for name in folders_in(self.spark, path)]
+        return kept | dict.fromkeys(held, version)
 
     def _touched(self, keys: DataFrame, bucket: Column) -> list[int]:
         return [r[0] for r in keys.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
@@ -118,10 +116,10 @@ class CatalogStore:
 
     def _drop_unused(self, before: Manifest, now: Manifest) -> None:
         """Deletes what the version before ``before`` alone still named."""
-        try:
-            older = self.manifest(before.version - 1)
-        except AnalysisException:
+        number = before.version - 1
+        if f"at={number}" not in folders_in(self.spark, f"{self.path}/manifest"):
             return
+        older = self.manifest(number)
         for table, old, kept in (("rows", older.rows, (before.rows, now.rows)), ("owners", older.owners, (before.owners, now.owners))):
             for bucket, version in old.items():
                 if all(at.get(bucket) != version for at in kept):
