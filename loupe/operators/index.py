@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from . import postings as books
 from .match import Near, Phrase, Query, holds, idf_of, term_rank
-from .staging import folders_in, remove_folder, staged
+from .staging import folders_in, remove_folder
 
 #: Documents of a block, about.
 BLOCK_DOCS = 256
@@ -160,8 +160,8 @@ class Index:
         now = self.manifest()
         return self._hits(self.rows(now).where("token <> ''"), query, now)
 
-    def top(self, query: Query, k: int) -> tuple[DataFrame, dict[str, int]]:
-        """The k best of ``search`` (ties to the smaller id), and how many blocks hold a candidate and how many were read.
+    def top(self, query: Query, k: int, *, count_blocks: bool = False) -> tuple[DataFrame, dict[str, int]]:
+        """The k best of ``search`` (ties to the smaller id), and with ``count_blocks`` how many blocks may hold a match and how many are read.
 
         Blocks are skipped for conditions of whole words of one column's index; others are searched in full.
         """
@@ -173,14 +173,13 @@ class Index:
         live = self.rows(now)
         n = self._document_counts(live, words, now)
         idf = [idf_of(F.lit(now.n_docs), F.lit(n[w])) for w in words]
-        blocks = staged(self._bounds(query, words, idf, now), "bounds")
-        facts = blocks.agg(F.count("*"), F.sum("n_docs")).first()
+        blocks = self._bounds(query, words, idf, now)  # from the small table of blocks, so it isn't stored
         first = blocks.orderBy(F.desc("bound"), "segment", "block").limit(max(1, min(k, 64)))  # enough to find k good ones, usually
         seen = self._scored(live, first, query, words, idf, now)
         kth = [r["rank"] for r in best(seen).select("rank").collect()]
         least = -kth[-1] if len(kth) == k else 0.0
         wanted = blocks.where(F.col("bound") >= least * (1 - 1e-9))
-        report = {"blocks": facts[0], "read": wanted.count()}
+        report = {"blocks": blocks.count(), "read": wanted.count()} if count_blocks else {}
         return best(self._scored(live, wanted, query, words, idf, now)), report
 
     def _document_counts(self, live: DataFrame, words: list[Phrase], now: Manifest) -> dict[Phrase, int]:

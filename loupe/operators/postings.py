@@ -94,15 +94,15 @@ def hits(rows: DataFrame, query: Query, columns: list[str]) -> tuple[DataFrame,
             sums.append(F.sum(F.when(test, F.size("positions")).otherwise(0)).alias(f"h{i}"))
             continue
         for c in among:
-            sums += [F.array_sort(F.flatten(F.collect_list(F.when(t & (F.col("column") == c), F.col("positions"))))).alias(f"p{i}_{c}_{j}") for j, t in enumerate(tests)]
+            sums += [F.flatten(F.collect_list(F.when(t & (F.col("column") == c), F.col("positions")))).alias(f"p{i}_{c}_{j}") for j, t in enumerate(tests)]
         starts[p] = {c: f"s{i}_{c}" for c in among}
     wanted = reduce(lambda a, b: a | b, [t for p in phrases for t in _tests(p)])
     found = rows.where(wanted).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"), *sums)
 
     def meet(i: int, p: Phrase, c: str) -> Column:
-        """Positions at which all terms stand, each moved back by its place: sets that are intersected."""
+        """Positions at which all terms stand, each moved back by its place: sets that are intersected.  Their order doesn't matter."""
         moved = lambda j: F.transform(f"p{i}_{c}_{j}", lambda at: at - j)
-        both = F.array_sort(reduce(F.array_intersect, map(moved, range(len(p.terms)))))
+        both = reduce(F.array_intersect, map(moved, range(len(p.terms))))
         return F.filter(both, lambda at: at == 0) if p.initial else both
 
     found = found.select("doc_id", "n_tokens", *(f"h{i}" for i, p in enumerate(phrases) if p not in placed), *(meet(phrases.index(p), p, c).alias(name) for p, of in starts.items() for c, name in of.items()))

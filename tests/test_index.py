@@ -117,7 +117,7 @@ def test_top_skips_blocks_and_finds_the_same(spark, tmp_path, monkeypatch):
     kept.replace(spark.createDataFrame(rows, TEXT), "id")
 
     def same(query, k):
-        best, report = kept.top(query, k)
+        best, report = kept.top(query, k, count_blocks=True)
         want = sorted((r, i) for i, r in ranks(kept.search(query)).items())[:k]
         assert [(pytest.approx(r, abs=1e-9), i) for r, i in want] == [(r["rank"], r["doc_id"]) for r in best.collect()]
         return report
