@@ -35,7 +35,7 @@ from .textscan import mix
 #: Sharpness of the sampling: weights are scores to this power; 1 samples by the scores, large values take the best.
 ALPHA = 1.0
 #: Characters of text whose words share one lattice batch.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
 
 _CUT = "\ud801"  # between words; like LITERAL_SPACE it occurs in no text
 

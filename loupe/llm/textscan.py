@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text scanned at once; a longer document is scanned alone, whole.
 CHUNK_BYTES = 1 << 20
+#: The same where many numbers are held for each word.
+SMALL_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
