@@ -17,7 +17,8 @@ becomes an empty one in stage 2.  Empty texts are linked with nothing and have n
 end.  Very long texts are read whole by every stage.  Ties: a shared line stays with the
 largest doc_id, a group of near duplicates with the smallest.  Repeated rows of one doc_id
 count as one document in stage 2, and one of them stays in stage 3.  Copies that stage 4
-makes of a document have its doc_id, so stage 5, which seeds by it, gives them the same ids.
+makes of a document have its doc_id; stage 5 numbers equal rows again and seeds by (doc_id, number), so each
+is segmented by a draw of its own.
 Other columns, whatever their names, are carried by the first four stages, but for
 ``copy`` and ``shuffle_key``, which stage 4 drops.  An empty table gives an empty one.
 """
@@ -53,7 +54,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = pieces.encode(docs)
+    numbered = mixing.numbered_copies(docs).withColumn("__draw", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy"))
+    rows = pieces.encode(numbered, "__draw")
     return rows.select("row.doc_id", "row.lang", "row.source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "lossless", "ids")
 
 

@@ -100,12 +100,33 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, def
     more = F.aggregate(F.sequence(F.lit(1), F.col("blocks")), F.lit(0), lambda n, j: n + poisson_count(unit(seed, F.col("draw_key"), j), whole))
     times = poisson_count(F.col("u"), F.col("steps")) + F.when(F.col("blocks") > 0, more).otherwise(0)
     counted = joined.withColumn("times", times).where("times > 0")
-    if rates.where((F.col("blocks") + 1) * LARGEST_RATE >= many).isEmpty():
-        copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    else:
-        blocks = counted.select("row", "times", F.explode(F.sequence(F.lit(1), F.col("times"), F.lit(many))).alias("at"))
-        dealt = blocks.repartition(F.xxhash64("row", "at"))
-        copies = dealt.select("row", F.explode(F.sequence(F.col("at"), F.least("times", F.col("at") + many - 1))).alias("copy"))
+    largest = many if not rates.where((F.col("blocks") + 1) * LARGEST_RATE >= many).isEmpty() else 0
+    return shuffled(_copies(counted, largest, many), key_col, seed)
+
+
+def _copies(counted: DataFrame, largest: int, many: int) -> DataFrame:
+    """row and copy (from 1) for each of a row's ``times``, of which none is above ``largest`` where that is below ``many``."""
+    if largest < many:
+        return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    blocks = counted.select("row", "times", F.explode(F.sequence(F.lit(1), F.col("times"), F.lit(many))).alias("at"))
+    dealt = blocks.repartition(F.xxhash64("row", "at"))
+    return dealt.select("row", F.explode(F.sequence(F.col("at"), F.least("times", F.col("at") + many - 1))).alias("copy"))
+
+
+def shuffled(copies: DataFrame, key_col: str, seed: str) -> DataFrame:
+    """All columns of ``row``, ``copy`` and ``shuffle_key``, in the order of this hash of key and copy."""
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.coalesce(F.col(f"row.{key_col}").cast("string"), F.lit("null")), F.col("copy"))), 1, 15), 16, 10).cast("long")
     dealt = copies.select("row.*", "copy", place.alias("shuffle_key"))
     return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def numbered_copies(docs: DataFrame, key_col: str = "doc_id", seed: str = "mix-1", many: int = MANY) -> DataFrame:
+    """docs with equal rows numbered by ``copy`` (int, from 1), in the order in which ``mix_sources`` leaves its copies.
+
+    Equal rows are counted before the shuffle and made again after it, so a row with very many copies doesn't meet in one task.
+    """
+    docs = docs.drop("copy", "shuffle_key")
+    largest = docs.groupBy(key_col).count().agg(F.max("count")).first()[0] or 0
+    equal = docs.groupBy(*(F.col(f"`{c}`") for c in docs.columns)).agg(F.count("*").cast("int").alias("__times"))
+    counted = equal.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("__times").alias("times"))
+    return shuffled(_copies(counted, largest, many), key_col, seed).drop("shuffle_key")
