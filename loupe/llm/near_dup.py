@@ -40,8 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import flag_ids, join_facts, stored
-from .textscan import NONSPACE, Scan, keyed, mix, scans, windows
+from .shared import flag_ids, join_facts, scratch, stored
+from .textscan import NONSPACE, SMALL_BYTES, Scan, keyed, mix, scans, windows
+
 
 def shingle_sets(scan: Scan, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles (hashes) of each text, in the texts' order, and their texts."""
@@ -77,8 +78,8 @@ def signatures(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 #: Minwise values of a sketch, a byte each: sets with nothing in common agree on 1/256 of them.
 SKETCH = 64
-#: Every tree has so many minwise values of its own.
-TOKENS = 12
+#: Every tree has so many minwise values of its own, of 32 bits: with 16, a node of n sets had n / 65,536 of them by chance.
+TOKENS, TOKEN_BYTES = 12, 4
 TREES, LEVELS, SMALL_NODE = 16, 6, 32
 #: A large node with more than this share of its parent's sets is dense.
 DENSE = 0.6
@@ -94,7 +95,7 @@ def _sketch(width: int, trees: int):
             size, h1, h2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             sketch: list[bytes | None] = [None] * batch.num_rows
             tokens: list[bytes | None] = [None] * batch.num_rows
-            for lo, _, scan in scans(batch.column(1)):
+            for lo, _, scan in scans(batch.column(1), SMALL_BYTES):
                 grams, texts = shingle_sets(scan, width)
                 if not len(grams):
                     continue
@@ -104,7 +105,7 @@ def _sketch(width: int, trees: int):
                 h1[at] = np.add.reduceat(mix(grams), starts).view(np.int64)
                 h2[at] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
                 values = signatures(grams, starts, SKETCH + trees * TOKENS) * np.uint32(0x9E3779B1)
-                short, long = (values[:, :SKETCH] >> np.uint32(24)).astype(np.uint8), (values[:, SKETCH:] >> np.uint32(16)).astype(np.uint16)
+                short, long = (values[:, :SKETCH] >> np.uint32(24)).astype(np.uint8), values[:, SKETCH:]
                 for i, x, y in zip(at, short, long, strict=True):
                     sketch[i], tokens[i] = x.tobytes(), y.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(h1), pa.array(h2), pa.array(sketch, pa.binary()), pa.array(tokens, pa.binary())], names=["id", "n_shingles", "h1", "h2", "sketch", "tokens"])
@@ -112,7 +113,7 @@ def _sketch(width: int, trees: int):
     return run
 
 
-def _matrix(column: pa.Array, width: int, kind: type = np.uint16) -> np.ndarray:
+def _matrix(column: pa.Array, width: int, kind: type = np.uint32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
@@ -143,15 +144,22 @@ def _past_dense(open_: DataFrame, level: int, small: int, n_sets: int) -> tuple[
     The child that holds a node's smallest set is known by that set's token. Where it would be large and dense, its sets are linked
     to that set at once, as one level down they would be, and only the node's other sets go down by that token.
     """
-    first = [2 * ((2 * level + k) % TOKENS) + 1 for k in range(2)]
-    rows = open_.withColumn("pair", F.concat(*(F.substring("own", at, 2) for at in first)))
-    hubs = rows.where("rep = hub").select("node", F.col("size").alias("n"), F.col("pair").alias("hub_pair"))
-    agree = [F.substring("pair", at, 2) == F.substring("hub_pair", at, 2) for at in (1, 3)]
-    counts = join_facts(rows.select("node", "pair"), hubs, ["node"], "n", n_sets).groupBy("node", "hub_pair").agg(F.count("*").alias("n"), *(F.count_if(x).alias(f"n{k}") for k, x in enumerate(agree)))
+    firsts = [TOKEN_BYTES * ((2 * level + k) % TOKENS) + 1 for k in range(2)]
+    rows = open_.withColumns({f"t{k}": F.substring("own", at, TOKEN_BYTES) for k, at in enumerate(firsts)})
+    values = rows.groupBy("node", "t0", "t1").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
+
+    def at_least(k: int) -> DataFrame:
+        """Each node's value of token k that its smallest set has, and how many sets have it."""
+        each = values.groupBy("node", f"t{k}").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+        return each.groupBy("node").agg(F.min_by(f"t{k}", "least").alias(f"hub{k}"), F.min_by("n", "least").alias(f"n{k}"), F.sum("n").alias("n" if k == 0 else "total"))
+
+    counts = at_least(0).join(at_least(1), "node")
     dense = [((F.col(f"n{k}") > small) & (F.col(f"n{k}") > DENSE * F.col("n"))).alias(f"dense{k}") for k in range(2)]
-    rows = join_facts(rows, counts.select("node", "hub_pair", "n", *dense), ["node"], "n", n_sets)
+    rows = join_facts(rows, counts.select("node", "hub0", "hub1", "n", *dense), ["node"], "n", n_sets)
+    agree = [F.col(f"t{k}") == F.col(f"hub{k}") for k in range(2)]
     at_hub = sum((F.when(x & F.col(f"dense{k}"), 1 << k).otherwise(0) for k, x in enumerate(agree)), F.lit(0))
     rows = rows.withColumn("at_hub", at_hub.bitwiseAND(_picks("node"))).withColumn("follow", _picks("node") - F.col("at_hub"))
+    rows = stored(rows.select("node", "rep", "size", "sketch", "own", "hub", "at_hub", "follow"), "tree-branching")  # read three times
     links = rows.where("at_hub != 0 AND rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     return rows.where("follow != 0").select("node", "rep", "size", "sketch", "own", "follow"), links
 
@@ -231,13 +239,13 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE) -> DataFrame:
     """Candidate links (a, b) between representatives (rep, sketch, tokens)."""
     n_sets = reps.count()
-    rows = reps.select("rep", "tokens").mapInArrow(_plant(trees), "node long, rep long, tree int")
+    rows = stored(reps.select("rep", "tokens").mapInArrow(_plant(trees), "node long, rep long, tree int"), "tree-rows")  # counted, then joined
     leaves, dense = [], []
     for level in range(1, levels + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
         members = join_facts(rows, sizes.withColumn("size", F.col("n")), ["node"], "n", n_sets * 2).where("size IS NOT NULL")
         if level == 1:  # most sets have no company from the start; only the others bring their signatures
-            members = members.join(reps.select("rep", "sketch", "tokens"), "rep").withColumn("own", F.expr(f"substring(tokens, tree * {2 * TOKENS} + 1, {2 * TOKENS})")).withColumn("parent_size", F.lit(None).cast("long"))
+            members = members.join(reps.select("rep", "sketch", "tokens"), "rep").withColumn("own", F.expr(f"substring(tokens, tree * {TOKEN_BYTES * TOKENS} + 1, {TOKEN_BYTES * TOKENS})")).withColumn("parent_size", F.lit(None).cast("long"))
         members = stored(members.select("node", "rep", "size", "sketch", "own", "hub", "parent_size"), "tree-nodes")
         leaves.append(members.where(F.col("size") <= small).select("node", "rep", "sketch"))
         large = members.where(F.col("size") > small)
@@ -248,7 +256,7 @@ def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS
             break
         open_, links = _past_dense(open_, level, small, n_sets * 2)
         dense.append(links)
-        rows = open_.mapInArrow(_branch(level + 1), "node long, rep long, parent_size long, sketch binary, own binary")
+        rows = stored(open_.mapInArrow(_branch(level + 1), "node long, rep long, parent_size long, sketch binary, own binary"), "tree-rows")
     edges = functools.reduce(DataFrame.unionByName, leaves).repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small, "a long, b long")
     return functools.reduce(DataFrame.unionByName, dense, edges)
 
@@ -341,9 +349,9 @@ def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: in
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("rep").alias("hub"))
     parts = F.greatest(F.ceil(F.col("n") / group_texts), F.ceil(F.col("total") / group_shingles)).cast("int")
-    dealt = groups.join(sizes.select("component", parts.alias("parts"), "hub"), "component")
+    dealt = join_facts(groups, sizes.select("component", parts.alias("parts"), "hub", "n", F.col("n").alias("n_group")), ["component"], "n", groups.count())
     block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))).otherwise(0).cast("int")
-    dealt = stored(dealt.select(F.col("component").alias("group"), "rep", "parts", "hub", block.alias("block")), "dealt")
+    dealt = stored(dealt.select(F.col("component").alias("group"), "rep", "parts", "hub", "n_group", block.alias("block")), "dealt")
     rows = stored(flag_ids(texts, "rep", dealt.select("rep")).where("__may").drop("__may").join(dealt, "rep"), "group-texts")
     whole, large = rows.where("parts = 1"), rows.where("parts > 1")
     one_task = _blocks(whole.withColumn("side", F.lit(0)), width, percent).select("a", "b")
@@ -354,17 +362,23 @@ def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: in
     first = stored(_blocks(large.unionByName(copies).withColumn("side", F.lit(0)), width, percent), "group-edges")
     # what no block linked to the hub meets all blocks of its group, in chunks
     residual = stored(large.join(first.where("NOT with_hub").select(F.col("a").alias("rep")), "rep", "left_semi"), "group-residual")
-    chunks = residual.groupBy("group").agg(F.ceil(F.count("*") / group_texts).cast("int").alias("chunks"))
-    residual = residual.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("chunks")).cast("int"))
+    chunks = stored(residual.groupBy("group").agg(F.ceil(F.count("*") / group_texts).cast("int").alias("chunks"), F.max("n_group").alias("n")), "group-chunks")
+    most = chunks.agg(F.max("n")).first()[0] or 0
+    residual = join_facts(residual, chunks, ["group"], "n", most).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("chunks")).cast("int"))
     place = (F.col("at") * F.col("chunks") + F.col("chunk")).alias("block")
     right = residual.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", place, F.lit(1).alias("side"), "rep", "hub", "text")
-    left = large.withColumnRenamed("block", "at").join(chunks, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", place, F.lit(0).alias("side"), "rep", "hub", "text")
+    left = join_facts(large.withColumnRenamed("block", "at"), chunks, ["group"], "n", most).where("chunks IS NOT NULL").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("group", place, F.lit(0).alias("side"), "rep", "hub", "text")
     second = _blocks(left.unionByName(right), width, percent)
     return one_task, first.unionByName(second).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, small: int = SMALL_NODE, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable by links of ``percent`` or more) and kept of every row."""
+    """id, n_shingles, component_id (the smallest id reachable by links of ``percent`` or more) and kept of every row, as a stored table; what was stored on the way is deleted."""
+    with scratch() as kept:
+        return kept(_classified(docs, id_col, text_col, width, percent, trees, levels, small, group_texts, group_shingles), "near-duplicates")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int, levels: int, small: int, group_texts: int, group_shingles: int) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stored(texts.mapInArrow(_sketch(width, trees), "id long, n_shingles long, h1 long, h2 long, sketch binary, tokens binary"), "sketches")
     full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
@@ -391,17 +405,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that represent their group, all columns; of rows that share a kept id the one with the smallest hash stays."""
-    found = stored(near_duplicates(docs, id_col, text_col, **options), "near-duplicates").where("id IS NOT NULL")
+    found = near_duplicates(docs, id_col, text_col, **options).where("id IS NOT NULL")
     ids = found.groupBy("id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     ids = stored(ids.where("NOT kept OR n > 1"), "near-duplicate-ids")
-    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
-    gone = ids.where("NOT kept").select(F.col("id").alias("__id"))
-    flagged = flag_ids(rows, "__id", gone)
-    rows = flagged.where("NOT __may").unionByName(flagged.where("__may").join(gone, "__id", "left_anti")).drop("__may")
-    several = ids.where("kept").select(F.col("id").alias("__id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"))
+    gone = ids.where("NOT kept").select("id")
+    flagged = flag_ids(rows, "id", gone)
+    rows = flagged.where("NOT __may").unionByName(flagged.where("__may").join(gone, "id", "left_anti")).select("row", "id")
+    several = ids.where("kept").select("id")
     if not several.isEmpty():
-        flagged = flag_ids(rows, "__id", several)
-        least = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row")
-        one = flagged.where("__may").join(several, "__id", "left_semi").groupBy("__id").agg(least).select("__row.*")
-        rows = flagged.where("NOT __may").unionByName(flagged.where("__may").join(several, "__id", "left_anti")).select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+        flagged = flag_ids(rows, "id", several)
+        one = flagged.where("__may").join(several, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rows = flagged.where("NOT __may").unionByName(flagged.where("__may").join(several, "id", "left_anti").select(*flagged.columns)).select("row").unionByName(one.select("row"))
+    return rows.select(*(F.col(f"row.`{c}`") for c in docs.columns))

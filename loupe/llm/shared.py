@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +32,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside go at its end, also if it fails; what the given function stores stays."""
+    _open.append([])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        _open[-1].remove(out)
+        if len(_open) > 1:  # the next scope's
+            _open[-2].append(out)
+        return out
+
+    try:
+        yield kept
+    finally:
+        discard(*_open.pop())
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` wrote and nothing will read again."""
+    """Deletes tables that ``stored`` wrote and nothing will read again; those that are gone already don't matter."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
@@ -47,7 +72,8 @@ HOT_ROWS, HOT_KEYS = 1000, 10_000
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, at_most: int) -> DataFrame:
     """rows left-joined to facts, one row a key, without ``n_col``: a key's number of rows.  ``at_most``: no key has more.
 
-    Facts of hot keys, fewer than HOT_KEYS, are broadcast, so that no task gets all rows of one key; the others are joined by a shuffle.
+    Facts of hot keys are broadcast, so that no task gets all rows of one key; the others are joined by a shuffle.  Both
+    sides are split by the keys' hashes, of which the driver holds the hot ones, fewer than HOT_KEYS.
     """
     if at_most < HOT_ROWS:
         return rows.join(facts.drop(n_col), keys, "left")
@@ -56,11 +82,10 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, a
     least = max(HOT_ROWS, (total or 0) // HOT_KEYS + 1)
     if (most or 0) < least:
         return rows.join(facts.drop(n_col), keys, "left")
-    hot = F.col(n_col) >= least
-    few = facts.where(hot).drop(n_col)
-    is_hot = rows.join(F.broadcast(few.select(*keys, F.lit(True).alias("__hot"))), keys, "left")
-    left = is_hot.where("__hot").drop("__hot").join(F.broadcast(few), keys, "left")
-    right = is_hot.where("__hot IS NULL").drop("__hot").join(facts.where(~hot).drop(n_col), keys, "left")
+    spot = F.xxhash64(*keys)
+    hot = spot.isin([r[0] for r in facts.where(F.col(n_col) >= least).select(spot).collect()])
+    left = rows.where(hot).join(F.broadcast(facts.where(hot).drop(n_col)), keys, "left")
+    right = rows.where(~hot).join(facts.where(~hot).drop(n_col), keys, "left")
     return left.unionByName(right)
 
 

@@ -235,3 +235,32 @@ def test_numbered_copies(spark):
     mixed = mixing.mix_sources(docs, default_weight="sqrt(n_rows) * (1 + n_rows % 2)", key_col="doc_id")
     again = mixing.numbered_copies(mixed.drop("copy", "shuffle_key"))
     assert sorted(map(tuple, again.select("doc_id", "copy").collect())) == sorted(map(tuple, mixed.select("doc_id", "copy").collect()))
+
+
+def test_empty_vectors_meet_each_other(spark):
+    rows = [(i, []) for i in (0, 3, 7, 50, 50, 100)] + [(1, [1.0]), (150, [2.0])]
+    vectors = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in mtree.search(vectors.where("id % 50 = 0").distinct(), vectors, 3).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == [(0, 1, 3, 0), (0, 2, 7, 0), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0), (50, 3, 7, 0), (100, 1, 0, 0), (100, 2, 3, 0), (100, 3, 7, 0), (150, 1, 1, 512 * 256)]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dup", "mix", "encode"])
+def test_stages_take_long_texts_clashing_columns_and_ties(spark, sf, name):
+    """Columns with the names that operators use inside are carried with their values; a long text and equal rows go through whole."""
+    clash = ["id", "node", "rep", "hub", "n", "key", "seed", "row", "times", "join_key", "__id", "score", "kept"]
+    long = "\n".join(f"line number {k} of a long text that goes on and on" for k in range(20_000))
+    rows = [(1, long, "en", "s", len(long)), (2, "short words here", "en", "s", 16), (2, "short words here", "en", "s", 16), (5, "x" * 300_000, "fr", "t", 300_000), (6, "Ünï \U0001f600", None, "t", 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select(*table.columns)
+    table = (documents.where("doc_id > 10").unionByName(table) if name == "toxicity" else table).selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in clash))
+    out = dict(corpus_pipeline.STAGES)[name](spark, table, sf)
+    found = out.where("doc_id IN (1, 2, 5, 6)").collect()
+    if name == "encode":
+        assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 5, 6] and all(r["lossless"] for r in found)
+        return
+    assert out.columns == table.columns
+    texts = {i: t for i, t, *_ in rows}
+    for r in found:
+        assert r["text"] == texts[r["doc_id"]] and all(r[c] == f"{c}{r['doc_id']}" for c in clash)
+    if name != "mix":
+        assert sorted(r["doc_id"] for r in found) == ([1, 2, 5, 6] if name == "near_dup" else [1, 2, 2, 5, 6])
