@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, stored
+from .shared import discard, scratch, stored
 
 SCALE = 256
 _LARGEST = (1 << 63) - 1
@@ -216,7 +216,15 @@ def seeds(vectors: DataFrame, k: int, seed: str) -> list[list[int]]:
 
 
 def cluster(table: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int, rounds: int, seed: str, scale: int = SCALE) -> DataFrame:
-    """id, cluster (int), distance (long, squared), cluster_inertia and inertia (long), and centroid (array<string> of whole numbers) of each vector."""
+    """id, cluster (int), distance (long, squared), cluster_inertia and inertia (long), and centroid (array<string> of whole numbers) of each vector.
+
+    The result is a stored table; what was stored on the way is deleted.
+    """
+    with scratch() as kept:
+        return kept(_clustered(table, id_col, vec_col, dim, k, rounds, seed, scale), "clustered")
+
+
+def _clustered(table: DataFrame, id_col: str, vec_col: str, dim: int, k: int, rounds: int, seed: str, scale: int) -> DataFrame:
     spark = table.sparkSession
     vectors = stored(whole_vectors(table, id_col, vec_col, dim, scale), "cluster-vectors")
     centers = seeds(vectors, k, seed)

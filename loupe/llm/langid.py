@@ -155,11 +155,14 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text") -> Mod
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string"), text_col)
     if len(names := labelled.select(F.col(label_col)).distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
         raise ValueError(f"{label_col} has more than {MAX_LANGUAGES} values, the first being {sorted(r[0] for r in names)[:5]}")
-    rows = labelled.mapInArrow(_count_grams, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["label"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[np.searchsorted(languages, rows["label"].to_numpy(str)) if languages else np.zeros(0, int), rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(float)
-    return Model([str(x) for x in languages], counts)
+    counted = labelled.mapInArrow(_count_grams, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    found: dict[str, np.ndarray] = {}
+    for row in counted.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toLocalIterator():  # a label at a time: BUCKETS numbers each
+        found[row["label"]] = np.zeros(BUCKETS)
+        found[row["label"]][[c["bucket"] for c in row["counts"]]] = [c["n"] for c in row["counts"]]
+    languages = sorted(found)
+    counts = np.array([found[x] for x in languages]).reshape(len(languages), BUCKETS)
+    return Model(languages, counts)
 
 
 def _predict(handle):

@@ -19,8 +19,8 @@ vector don't meet in one task; queries of a slice come in blocks.
 Scores are exact: floats where all products stay under 2^53, 64-bit integers under 2^63,
 Python's integers beyond, cut to a long's range.  Bounds get a slack for their rounding.
 
-Vectors that are null, empty, or that hold nulls or non-finite numbers take no part; each
-dimension is searched among itself, one after the other.  Rows with a null id take no part.  Ties
+Vectors that are null, or that hold nulls or non-finite numbers take no part; each
+dimension is searched among itself, one after the other (empty vectors all have the score 0).  Rows with a null id take no part.  Ties
 go to the smaller id; repeated rows with one id count as separate candidates, except
 that a query never meets rows of its own id.  Other columns are ignored; an empty table
 gives no rows.
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import scratch, stored
 
 SCALE = 256
 #: Routing objects of the top node and of the others, drawn from a sample of at most so many vectors.
@@ -57,7 +57,7 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
     """id and v (array<double> of whole numbers) of the rows that take part."""
     x = F.col(vec_col)
-    sound = F.coalesce(F.size(x) > 0, F.lit(False)) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
+    sound = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
     rows = table.where(F.col(id_col).isNotNull() & sound)
     top = F.lit(sys.float_info.max)
 
@@ -356,27 +356,43 @@ def _bounds(handle, radii: np.ndarray, first: bool):
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score: the k vectors of highest inner product, all against all, own ids excluded.
 
-    queries and vectors: id and v as ``integer_vectors`` gives them.
+    queries and vectors: id and v as ``integer_vectors`` gives them.  The result is a stored table; what was stored on the way is deleted.
     """
+    with scratch() as kept:
+        return kept(_search_all(queries, vectors, k), "mtree-found")
+
+
+def _search_all(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     size = F.size("v")
     dims = vectors.groupBy(size.alias("dim")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).collect()  # a row a dimension
-    found = [_search_dimension(*(x.where(size == r["dim"]).select("id", "v") for x in (queries, vectors)), r["n"], Scale(r["dim"], r["largest"]), k) for r in dims]
+    found = [_search_dimension(*(x.where(size == r["dim"]).select("id", "v") for x in (queries, vectors)), r["n"], Scale(r["dim"], r["largest"]), k) for r in dims if r["dim"]]
+    if any(not r["dim"] for r in dims):
+        found.append(_search_empty(*(x.where(size == 0).select("id") for x in (queries, vectors)), k))
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def _search_empty(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """All scores are 0: the smallest ids that aren't the query's own.  Repeated rows with one id count as separate candidates."""
+    counts = vectors.groupBy("id").agg(F.count("*").alias("n")).orderBy("id").limit(k + 1)  # k + 1 rows hold k that aren't the query's own
+    least = counts.agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("least"))
+    others = F.flatten(F.transform(F.filter("least", lambda c: c["id"] != F.col("query_id")), lambda c: F.array_repeat(c["id"], F.least(c["n"], F.lit(k)).cast("int"))))
+    rows = queries.select(F.col("id").alias("query_id")).crossJoin(F.broadcast(least)).select("query_id", F.posexplode(F.slice(others, 1, k)).alias("p", "vec_id"))  # one row
+    return rows.select("query_id", (F.col("p") + 1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
+
+
 def _search_dimension(queries: DataFrame, vectors: DataFrame, n: int, scale: Scale, k: int) -> DataFrame:
     spark = vectors.sparkSession
     vectors, queries = stored(vectors, "mtree-rows"), stored(queries, "mtree-queries")
     pages, routes, radii, parts = build_index(vectors, n, scale)
     handle = spark.sparkContext.broadcast(routes)
-    slices = F.element_at(F.array(*(F.lit(parts.get(node, 0)) for node in range(len(routes.parent)))), F.col("node") + 1)
+    slices = F.broadcast(spark.createDataFrame(list(parts.items()), "node int, slices int"))  # a row a routing object
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def visit(wanted: DataFrame, first: bool) -> DataFrame:
         routed = wanted.mapInArrow(_bounds(handle, radii, first), "id long, v array<double>, floor long, node int")
-        routed = routed.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        routed = routed.join(slices, "node").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         routed = stored(routed, "mtree-routed")
         needed = routed.select(F.col("node").alias("q_node"), F.col("slice").alias("q_slice"), F.col("block").alias("q_block")).distinct()
         copies = pages.join(needed, (F.col("node") == F.col("q_node")) & (F.col("slice") == F.col("q_slice"))).withColumnRenamed("q_block", "block")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loupe.llm import langid, lm_score, pieces, toxicity
+from loupe.llm import langid, lm_score, pieces, queries, toxicity
 from loupe.llm.lattice import Lattice, Vocabulary
 from loupe.llm.queries import QUERIES
 from loupe.llm.textscan import scans
@@ -366,3 +366,33 @@ def test_texts_that_are_not_utf8(spark):
 def test_fold_is_crc32(spark, sf):
     rows = QUERIES["op5_toxicity"](spark, sf).select("doc_id", "held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_toxicity_forward_pass_by_loops():
+    """Convolution and max pooling recomputed one word, one filter at a time."""
+    rng = np.random.default_rng(8)
+    net = toxicity.Net.fresh(3)
+    net.bias = rng.normal(size=len(net.bias)).astype(np.float32)
+    owner = np.repeat([0, 1, 3, 4], [1, 2, 7, 12])  # text 2 has no words
+    words = rng.integers(0, len(net.embed), (len(owner), 2))
+    got = net.logits(words, owner, 5)
+    dim = net.embed.shape[1]
+    for text in range(5):
+        vectors = [sum(net.embed[b].astype(float) for b in w) for w in words[owner == text]]
+        feats = []
+        for width, filters in zip(toxicity._WIDTHS, net.filters, strict=True):
+            for f in filters.T:
+                sums = [sum(float(vectors[at + j] @ f[j * dim : (j + 1) * dim]) for j in range(width) if at + j < len(vectors)) for at in range(len(vectors))]
+                feats.append(max(sums, default=0.0))
+        want = float(np.maximum(np.array(feats) + net.bias, 0) @ net.out) + net.shift
+        assert got[text] == pytest.approx(want, abs=1e-4)
+
+
+def test_thresholds_are_those_of_the_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = queries.fit_toxicity(spark, docs, sf)
+    rows = toxicity.score(docs.withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "xx").otherwise(F.col("lang"))), model).select("row.lang", "score", "threshold", "rejected").collect()
+    for r in rows:
+        assert r["threshold"] == pytest.approx(model.thresholds.get(r["lang"], toxicity.DEFAULT_THRESHOLD))
+        assert r["rejected"] == (r["score"] >= r["threshold"])
+    assert {r["threshold"] for r in rows if r["lang"] == "xx"} == {toxicity.DEFAULT_THRESHOLD}

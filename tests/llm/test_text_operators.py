@@ -1,6 +1,7 @@
 """Quality rules, line dedup, mixing, license scans: against plain Python, with edge cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -199,3 +200,52 @@ def test_licenses(spark):
     spans = license_scan.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).where("id = 1").collect()
     assert [(s["label"], s["start"]) for s in spans] == [("mit", 1)] and spans[0]["similarity"] > 0.8
     assert license_scan.scan_licenses(empty(spark)).count() == 0
+
+
+def common(a, b):
+    """Length of the longest common subsequence of two lists of words."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_license_labels_against_plain_alignment(spark):
+    """Long notices planted with few or with many words changed: labels and scores follow the best alignment of any window."""
+    rng = random.Random(12)
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    long_ones = [(label, words_of(t)) for label, t in license_scan.TEMPLATES if len(words_of(t)) >= 12]
+    rows, planted = [], {}
+    for i in range(60):
+        text, here = [], []
+        for _ in range(rng.randint(0, 3)):
+            label, notice = rng.choice(long_ones)
+            keep = rng.choice([1.0, 0.95, 0.3])
+            text += rng.choices(["lorem", "ipsum", "dolor", "sit"], k=rng.randint(5, 30)) + [w if rng.random() < keep else rng.choice("qwxyz") * 3 for w in notice]
+            here.append((label, notice))
+        rows.append((i, " ".join([*text, "end"])))
+        planted[i] = here
+    got = {r["id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    clear = 0
+    for i, t in rows:
+        have, best = t.split(), {}
+        for label, notice in planted[i]:
+            n = len(notice)
+            share = max(common(have[at : at + n + n // 4], notice) / n for at in range(max(1, len(have) - n + 1)))
+            best[label] = max(best.get(label, 0), share)
+        sure, never = {x for x, s in best.items() if s >= 0.85}, {x for x, s in best.items() if s < 0.55}
+        labels = set(filter(None, got[i]["labels"].split(",")))
+        assert sure <= labels and not never & labels and labels <= set(best)
+        assert got[i]["score"] <= max(best.values(), default=0) + 1e-9 or got[i]["n_base"]
+        assert not sure or got[i]["score"] >= 0.7
+        clear += len(sure) + len(never)
+    assert clear > 60
+
+
+def test_mixing_replaces_columns_of_its_names(spark):
+    rows = [(i, "s", f"t{i}", "mine", 5) for i in range(50)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string, copy string, shuffle_key int"))
+    assert mixed.columns == ["doc_id", "source", "text", "copy", "shuffle_key"]
+    assert dict(mixed.dtypes)["copy"] == "int" and mixed.where("copy IS NULL OR copy < 1").count() == 0
