@@ -10,6 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,21 @@ def file_records(rows: DataFrame, ref_col: str = "file_ref", data_col: str = "re
     return rows.select(F.col(ref_col).cast("long"), data_col).mapInArrow(run, "file_ref long, parent_ref long, name string, is_dir boolean, size long, modified double")
 
 
-def table_image(spark, path: str, record_bytes: int = 1024) -> DataFrame:
-    """file_ref and record of a dumped file table: fixed-length records, split among tasks by Spark's own reader."""
-    records = spark.sparkContext.binaryRecords(path, record_bytes)  # no DataFrame reader splits fixed-length records
-    return records.zipWithIndex().map(lambda x: (x[1], bytearray(x[0]))).toDF("file_ref long, record binary")
+def table_image(spark, path: str, record_bytes: int = 1024, range_bytes: int = 32 << 20) -> DataFrame:
+    """file_ref and record of a dumped file table: fixed-length records, of which each task reads ranges where they lie."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    n = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen() // record_bytes
+    step = max(1, range_bytes // record_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+                with store.open_input_file(inner) as data:
+                    data.seek(first * record_bytes)
+                    found = data.read(min(step, n - first) * record_bytes)
+                records = [found[k : k + record_bytes] for k in range(0, len(found) - record_bytes + 1, record_bytes)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(records)), pa.int64()), pa.array(records, pa.binary())], names=["file_ref", "record"])
+
+    starts = spark.range(0, n, step, max(1, -(-n // step)))
+    return starts.mapInArrow(run, "file_ref long, record binary")

@@ -114,6 +114,8 @@ def test_file_records(spark, tmp_path):
     for odd in (file_record(times, flags=1), file_record(name_attribute("d", 1, 5), flags=0), file_record(name_attribute("d", 1, 5), base=3), file_record(name_attribute("d", 1, 5), damaged=True), b"", b"FILE"):
         assert records.file_record(odd) is None
     (tmp_path / "table").write_bytes(good + folder + b"\0" * 1024 + small)
+    ranges = records.table_image(spark, str(tmp_path / "table"), range_bytes=2048)
+    assert ranges.collect() == records.table_image(spark, f"file://{tmp_path}/table").collect() and ranges.count() == 4
     got = records.file_records(records.table_image(spark, str(tmp_path / "table"))).collect()
     assert sorted((r["file_ref"], r["name"], r["parent_ref"], r["size"]) for r in got) == [(0, "long name.txt", (1 << 33) + 5, big), (1, "dir", 5, 0), (3, "s", 5, 9)]
 
