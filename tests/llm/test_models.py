@@ -396,3 +396,34 @@ def test_thresholds_are_those_of_the_languages(spark, sf):
         assert r["threshold"] == pytest.approx(model.thresholds.get(r["lang"], toxicity.DEFAULT_THRESHOLD))
         assert r["rejected"] == (r["score"] >= r["threshold"])
     assert {r["threshold"] for r in rows if r["lang"] == "xx"} == {toxicity.DEFAULT_THRESHOLD}
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """A sample of each class, or one of texts under some length, would miss words that few texts hold; copies of the net are merged alike whatever the partitions."""
+    monkeypatch.setattr(toxicity, "_COPY_TEXTS", 2000)
+    rows = []
+    for i in range(6000):
+        words = [f"calm{(i * 31 + 7 * k) % 400}" for k in range(20)]
+        if i % 2:
+            words[i % 20] = "vileone"
+        rows.append((i, " ".join(words), "en", i % 2))
+    late = [(10_000 + i, f"{'calm1 calm2 ' * 1500} gruesome calm{i % 400}", "fr", 1) for i in range(60)]  # more than 2,000 words each
+    late += [(20_000 + i, f"{'calm1 calm2 ' * 1500} calm{i % 400}", "fr", 0) for i in range(60)]
+    table = spark.createDataFrame(rows + late, "doc_id long, text string, lang string, toxic int")
+    docs, labels = table.drop("toxic"), table.select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.where("doc_id >= 10000"), model).select("row.doc_id", "score").collect()}
+    assert np.mean([(got[i] >= 0.3) == (t == 1) for i, _, _, t in late]) > 0.9
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(model.net.flat(), again.net.flat()) and model.thresholds == again.thresholds
+
+
+def test_toxicity_slices_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = toxicity.Net.fresh(3)
+    owner = np.repeat([0, 1, 3], [5, 40, 3])
+    words = rng.integers(0, len(net.embed), (len(owner), 4))
+    whole = net.features(words, owner, 4)
+    monkeypatch.setattr(toxicity, "_SLICE_WORDS", 4)
+    sliced = net.features(words, owner, 4)
+    assert np.allclose(whole[0], sliced[0], atol=1e-6) and np.array_equal(whole[1], sliced[1])
