@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from . import postings as books
 from .match import Near, Phrase, Query, holds, idf_of, term_rank
-from .staging import folders_in, remove_folder
+from .staging import discard, folders_in, remove_folder, staged
 
 #: Documents of a block, about.
 BLOCK_DOCS = 256
@@ -96,8 +96,8 @@ class Index:
         each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array(*fields).alias("fields"))
         sized = each.select("doc_id", "fields", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["toks"])).alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
         own = F.array(F.struct(F.lit("").alias("column"), F.array(F.lit("")).alias("toks")))
-        words = sized.select("doc_id", "block", "n_tokens", F.explode(F.concat(own, "fields")).alias("f")).select("doc_id", "block", "n_tokens", "f.column", F.posexplode("f.toks").alias("p", "token"))
-        return words.groupBy("token", "column", "doc_id", "block", "n_tokens").agg(F.array_sort(F.collect_list("p")).alias("positions")).select(*(c.split()[0] for c in _ROWS.split(", ")))
+        words = sized.select("doc_id", "block", "n_tokens", F.explode(F.concat(own, "fields")).alias("f")).select("doc_id", "block", "n_tokens", "f.column", F.explode(books.occurrences(F.col("f.toks"))).alias("w"))
+        return words.select("w.token", "column", "doc_id", "block", "n_tokens", "w.positions")
 
     def _commit(self, now: Manifest, rows: DataFrame, gone: DataFrame | None, keep: list[int]) -> Manifest:
         """Writes segment now.segment + 1 and then its manifest row."""
@@ -123,7 +123,10 @@ class Index:
         now = self.manifest()
         blocks = docs.count() // BLOCK_DOCS + 1
         gone = docs.select(F.col(id_col).cast("long").alias("doc_id")) if now.segments else None
-        return self._commit(now, self._tokenised(docs, id_col, blocks), gone, now.segments)
+        rows = staged(self._tokenised(docs, id_col, blocks), "postings")  # dealing by ranges reads them twice
+        made = self._commit(now, rows, gone, now.segments)
+        discard(rows)
+        return made
 
     def remove(self, ids: DataFrame, id_col: str) -> Manifest:
         now = self.manifest()

@@ -15,12 +15,25 @@ from ..functions.text import let, tokens
 from .match import Near, NearHit, Phrase, Query, holds, idf_of, term_rank
 
 
+def occurrences(toks: Column) -> Column:
+    """A document's tokens as an array of (token, positions): sorted and cut within the row, so its tokens needn't be rows to be gathered."""
+    placed = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("token"), i.alias("p"))))
+    begins = lambda held: F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i)["token"] != F.get(held, i - 1)["token"]))
+
+    def cut(held: Column, at: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(at, k + 1), F.size(held))
+        return F.transform(at, lambda i, k: F.struct(F.get(held, i)["token"].alias("token"), F.transform(F.slice(held, i + 1, until(k) - i), lambda x: x["p"]).alias("positions")))
+
+    none = F.array().cast("array<struct<token:string,positions:array<int>>>")
+    return F.when(F.size(toks) > 0, let(placed, lambda held: let(begins(held), lambda at: cut(held, at)))).otherwise(none)
+
+
 def build(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """token, column, doc_id and positions (array<int>): one aggregation that combines a document's rows before the shuffle."""
+    """token, column, doc_id and positions (array<int>), made within each document's row; nothing is shuffled.  An id comes once."""
     fields = [F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("toks")) for c in columns]
     each = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*fields)).alias("f"))
-    words = each.select("doc_id", "f.column", F.posexplode("f.toks").alias("p", "token"))
-    return words.groupBy("token", "column", "doc_id").agg(F.array_sort(F.collect_list("p")).alias("positions"))
+    words = each.select("doc_id", "f.column", F.explode(occurrences(F.col("f.toks"))).alias("w"))
+    return words.select("w.token", "column", "doc_id", "w.positions")
 
 
 def write(postings: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -151,3 +151,17 @@ def test_scores_of_plain_postings_take_near(spark):
     want = {r["id"]: r["rank"] for r in search.score(search.with_tokens(rows, ["content"]), ["content"], near("alpha", "the", gap=3)).collect()}
     got = {r["doc_id"]: r["rank"] for r in postings.score(book, lengths, near("alpha", "the", gap=3)).collect()}
     assert got == pytest.approx(want)
+
+
+def test_occurrences_within_a_row(spark):
+    """Postings are made without a shuffle, and hold every position of every token."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("a b c dd é E 7".split()) for _ in range(n))) for i, n in enumerate([0, 1, 2, 50, 3000])] + [(9, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    built = postings.build(docs, "id", ["text"])
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t in rows:
+        for p, w in enumerate((t or "").lower().replace("é", "e").split()):
+            want.setdefault((w, "text", i), []).append(p)
+    assert {(r["token"], r["column"], r["doc_id"]): r["positions"] for r in built.collect()} == want
