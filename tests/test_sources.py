@@ -5,6 +5,7 @@ import os
 import struct
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from loupe.functions import paths
@@ -233,3 +234,14 @@ def test_walk_prunes_and_reads_only_what_is_asked_for(spark, tmp_path):
     assert sorted(opened) == ["d/b.md", "d/e/f/g.docx", "h/link.txt"]  # known, excluded, unreadable and empty files stay closed
     assert progress.counts() == {"listed": 6, "read": 3, "failed": 1, "skipped": 3}
     assert folders.walk(spark, str(tmp_path / "none")).count() == 0 and folders.walk(spark, str(top / "d" / "node_modules"), gone).count() == 0
+
+
+def test_few_bytes_are_values_at_once(spark, monkeypatch):
+    """A batch of many files is taken in pieces; a larger file is alone."""
+    monkeypatch.setattr(files, "SLICE_BYTES", 100)
+    data = [b"x" * n for n in (0, 40, 60, 1, 500, 99, 1)] + [None, b"y"]
+    batch = pa.record_batch([pa.array(range(len(data))), pa.array(data, pa.binary())], names=["i", "data"])
+    parts = [p.column(1).to_pylist() for p in files.slices(batch, 1)]
+    assert [x for p in parts for x in p] == data and [len(p) for p in parts] == [3, 1, 1, 3, 1]
+    assert not list(files.slices(batch.slice(0, 0), 1))
+    assert [x for p in files.slices(batch.slice(2, 5), 1) for x in p.column(1).to_pylist()] == data[2:7]
