@@ -4,7 +4,8 @@ Pointer doubling: after step k a node knows its ancestor 2^k links up and the na
 between, so a chain of n nodes takes log2(n) self-joins on equal keys, whatever the shape
 of the tree; nodes that have reached the root leave the loop, and it ends with the
 deepest.  Entries of folders that hold a large part of all are joined by broadcast of these few folders' facts.  A missing parent, or a node that is its own parent, is the root.  A cycle is cut
-at its smallest reference, which becomes a child of the root, so no entry is lost.
+at its smallest reference, which becomes a child of the root, so no entry is lost; only what lies on or below cycles, or very deep, is
+followed again.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import join_facts
+from .skew import join_facts, partitions
 from .staging import staged
 
 _KEY = ["drive", "file_ref"]
 #: Chains longer than this are checked for cycles.
 _USUAL_DEPTH = 256
+#: What a link takes besides its value, about.
+_ROW_BYTES = 40
 
 
 def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exclude: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -36,35 +39,59 @@ def resolve_paths(entries: DataFrame, root: Column | str, *, sep: str = "/", exc
     # a link: the chain from a node up to ``up`` (null: the root was reached), and its names joined
     links = staged(parents.select(*_KEY, F.col("p_ref").alias("up"), F.col("name").alias("tail")), "links")
     names = lambda far, near: F.concat_ws(sep, far, near)
-    ended, deep = _double(links, names, "tail", _USUAL_DEPTH)
+    ended, n_bytes, deep = _double(links, names, "tail", _USUAL_DEPTH)
     if deep is not None:  # deeper than usual, or on a cycle
-        links = _without_cycles(links, _cycle_heads(links.join(deep, _KEY, "left_semi")))
-        ended, _ = _double(links, names, "tail")
-    paths = inner.join(ended, _KEY).withColumn("path", F.concat_ws(sep, F.rtrim(root_path, F.lit(sep)), "tail")).drop("tail")
+        below = staged(links.join(deep, _KEY, "left_semi"), "links")
+        cut = staged(_without_cycles(below, _cycle_heads(below)), "links")
+        more, more_bytes, _ = _double(_from_ended(cut, ended, names, "tail"), names, "tail")
+        ended, n_bytes = ended.unionByName(more), n_bytes + more_bytes
+        links = links.join(deep, _KEY, "left_anti").unionByName(cut)
+    n = partitions(ended.sparkSession, n_bytes)
+    rows = (inner, ended) if n is None else (inner.repartition(n, *_KEY), ended.repartition(n, *_KEY))
+    paths = rows[0].join(rows[1], _KEY).withColumn("path", F.concat_ws(sep, F.rtrim(root_path, F.lit(sep)), "tail")).drop("tail")
     if exclude is None:
         return paths
     start = links.select(*_KEY, "up").join(paths.select(*_KEY, F.coalesce(exclude(F.col("path")), F.lit(False)).alias("out")), _KEY)
-    inherited, _ = _double(start, lambda far, near: far | near, "out")
+    inherited, _, _ = _double(staged(start, "links"), lambda far, near: far | near, "out")
     return paths.join(inherited.where("NOT out").select(*_KEY), _KEY)
 
 
-def _double(links: DataFrame, combine: Callable[[Column, Column], Column], value: str, depth: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Follows ``up`` until it is null, combining ``value`` of the far link with the near one's; with ``depth``, also the keys of longer chains."""
-    ended, links, span = [], staged(links, "links"), 1
+def _far(links: DataFrame, value: str) -> DataFrame:
+    return links.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value"))
+
+
+def _double(links: DataFrame, combine: Callable[[Column, Column], Column], value: str, depth: int | None = None) -> tuple[DataFrame, int, DataFrame | None]:
+    """Follows ``up`` until it is null, combining ``value`` of the far link with the near one's: what has ended, and its bytes; with ``depth``, also the keys of longer chains.
+
+    links is a stored table.  A join is dealt into partitions by the bytes of its values, which grow with each step.
+    """
+    ended, ended_bytes, span = [], 0, 1
     while True:
-        ended.append(links.where("up IS NULL"))
-        open_ = links.where("up IS NOT NULL")
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, ended).drop("up"), None
+        open_, done = links.where("up IS NOT NULL"), links.where("up IS NULL")
+        size = F.octet_length(F.col(value).cast("string")) + _ROW_BYTES
+        n_open, open_bytes, done_bytes = (x or 0 for x in links.agg(F.count("up"), F.sum(F.when(F.col("up").isNotNull(), size)), F.sum(F.when(F.col("up").isNull(), size))).first())
+        ended.append(done)
+        ended_bytes += done_bytes
+        all_ended = reduce(DataFrame.unionByName, ended)
+        if not n_open:
+            return all_ended.drop("up"), ended_bytes, None
         if depth is not None and span > depth:
-            return reduce(DataFrame.unionByName, ended).drop("up"), open_.select(*_KEY)
-        far = links.unionByName(reduce(DataFrame.unionByName, ended[:-1])) if len(ended) > 1 else links
-        far = far.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col("up").alias("f_up"), F.col(value).alias("f_value"))
-        both = join_facts(open_, ["drive", "up"], far, ["f_drive", "f_ref"], "inner")
+            return all_ended.drop("up"), ended_bytes, open_.select(*_KEY)
+        parts = partitions(links.sparkSession, 2 * open_bytes + ended_bytes)
+        both = join_facts(open_, ["drive", "up"], _far(open_.unionByName(all_ended), value), ["f_drive", "f_ref"], "inner", parts)
         links = staged(both.select(*_KEY, F.col("f_up").alias("up"), combine(F.col("f_value"), F.col(value)).alias(value)), "links")
         span *= 2
 
 
+def _from_ended(links: DataFrame, ended: DataFrame, combine: Callable[[Column, Column], Column], value: str) -> DataFrame:
+    """links, stored, with those that hang from an ended one ended; the others then meet among themselves."""
+    ups = staged(links.where("up IS NOT NULL").select("drive", F.col("up").alias("file_ref")).distinct(), "links")
+    near = staged(ended.join(ups, _KEY, "left_semi"), "links")
+    both = join_facts(links, ["drive", "up"], near.select(F.col("drive").alias("f_drive"), F.col("file_ref").alias("f_ref"), F.col(value).alias("f_value")), ["f_drive", "f_ref"])
+    hangs = F.col("f_ref").isNotNull()
+    return staged(both.select(*_KEY, F.when(~hangs, F.col("up")).alias("up"), F.when(hangs, combine(F.col("f_value"), F.col(value))).otherwise(F.col(value)).alias(value)), "links")
+
+
 def _cycle_heads(links: DataFrame) -> DataFrame:
     """drive and head: the smallest reference of each cycle among ``links`` (drive, file_ref, up); other chains leave the loop."""
     low = staged(links.select(*_KEY, "up", F.col("file_ref").alias("low")), "cycles")

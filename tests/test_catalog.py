@@ -254,3 +254,23 @@ def test_small_rules(spark):
     assert catalog.needs_scan(some) and not catalog.needs_scan(some, 5) and catalog.needs_scan(some.limit(0), 1)
     records = spark.createDataFrame([("C", 1, 5, 1, 1), ("C", 1, 9, 1, 1), ("C", 2, 3, 1, 1), ("D", 1, 4, 1, 1)], changes.RECORD)
     assert sorted(tuple(r) for r in changes.journal_metadata(records).select("drive", "journal_id", "lowest_usn", "next_usn").collect()) == [("C", 2, 3, 4), ("D", 1, 4, 5)]
+
+
+def test_paths_are_dealt_by_their_bytes(spark, monkeypatch):
+    """Chains deeper than usual, some below another's end, and one below a cycle; no partition holds a large part of the paths."""
+    monkeypatch.setattr(skew, "TASK_BYTES", 64 << 10, raising=False)
+    monkeypatch.setattr(tree, "_USUAL_DEPTH", 16)
+    parents = {i: i - 1 if i % 100 else -1 for i in range(1, 401)} | {5000: 5002, 5001: 5000, 5002: 5001} | {i: i - 1 for i in range(5003, 5063)}
+    parents |= {6000 + i: 20 for i in range(50)}
+    name = lambda i: f"n{i}" + "x" * 40
+    entries = spark.createDataFrame([("C", i, p, name(i)) for i, p in parents.items()], "drive string, file_ref long, parent_ref long, name string")
+    want: dict[int, str] = {}
+    for i in sorted(parents):
+        want[i] = want.get(-1 if i == 5000 else 5000 if i == 5001 else parents[i], "C:") + f"/{name(i)}"
+    want[5002] = f"{want[5001]}/{name(5002)}"
+    for i in range(5003, 5063):
+        want[i] = f"{want[i - 1]}/{name(i)}"
+    rows = tree.resolve_paths(entries, "C:/").select("file_ref", "path", F.spark_partition_id().alias("part")).collect()
+    assert {r["file_ref"]: r["path"] for r in rows} == want
+    held = {p: sum(len(r["path"]) for r in rows if r["part"] == p) for p in {r["part"] for r in rows}}
+    assert max(held.values()) <= 4 * (64 << 10) < sum(held.values()) / 3
