@@ -1,14 +1,14 @@
 """A full-text index kept as segments of postings, updated at the cost of what changed.
 
-A segment is a folder of postings: token, column, doc_id, block, n_tokens (the document's length) and positions, sorted by token
-and block; each document also has one row under the empty token, so lengths come from the same pass.  A change writes
+A segment is a folder of postings, each file sorted by token and block, as its documents lay (merged segments: dealt by ranges): a row holds the ids, lengths and positions of all of a block's documents with
+the token in the column; documents are also held under the empty token, so lengths come from the same pass.  A change writes
 one new segment with the changed documents' postings and the ids whose older postings are dead from now on; nothing else is
 touched.  The manifest's last row names the live segments and the corpus totals, and is written last: a crash before it
 leaves the index as it was, and the next change writes that segment's number again.  ``compact`` merges the smallest
 segments.  Readers drop dead postings by a join with the dead ids (few, so usually a broadcast).
 
-``search`` ranks by one scan of the query's tokens and one shuffle.  ``top`` reads small statistics a block of documents first
-(a token's most hits and shortest document in it), and then only the blocks whose best possible rank reaches the k-th
+``search`` ranks by one scan of the query's tokens and one shuffle.  ``top`` reads small columns of these rows first
+(a token's most hits and shortest document in the block), and then only the blocks whose best possible rank reaches the k-th
 best found so far.
 """
 
@@ -20,14 +20,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from . import postings as books
 from .match import Near, Phrase, Query, holds, idf_of, term_rank
 from .staging import discard, folders_in, remove_folder, staged
 
 #: Documents of a block, about.
 BLOCK_DOCS = 256
-_ROWS = "token string, column string, doc_id long, block int, n_tokens int, positions array<int>"
+_ROW_GROUP = 16 << 20
 _MANIFEST = "segment int, segments array<int>, sizes array<long>, n_docs long, n_tokens long, has_dead boolean"
 
 
@@ -76,7 +75,7 @@ class Index:
     def rows(self, now: Manifest | None = None) -> DataFrame:
         """All live rows, those of documents under the empty token too."""
         now = now or self.manifest()
-        found = self._table("postings", now.segments, _ROWS)
+        found = books.of_blocks(self._table("postings", now.segments, books.BLOCK_ROWS), "segment")
         if not now.has_dead:
             return found
         held = found.join(self._dead(now), "doc_id", "left").where("dead_before IS NULL OR segment >= dead_before")
@@ -91,25 +90,15 @@ class Index:
 
     # -- changes
 
-    def _tokenised(self, docs: DataFrame, id_col: str, blocks: int) -> DataFrame:
-        fields = [F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("toks")) for c in self.columns]
-        each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array(*fields).alias("fields"))
-        sized = each.select("doc_id", "fields", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["toks"])).alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-        own = F.array(F.struct(F.lit("").alias("column"), F.array(F.lit("")).alias("toks")))
-        words = sized.select("doc_id", "block", "n_tokens", F.explode(F.concat(own, "fields")).alias("f")).select("doc_id", "block", "n_tokens", "f.column", F.explode(books.occurrences(F.col("f.toks"))).alias("w"))
-        return words.select("w.token", "column", "doc_id", "block", "n_tokens", "w.positions")
-
     def _commit(self, now: Manifest, rows: DataFrame, gone: DataFrame | None, keep: list[int]) -> Manifest:
         """Writes segment now.segment + 1 and then its manifest row."""
         number = now.segment + 1
         at = f"segment={number}"
-        rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block", "doc_id").write.mode("overwrite").parquet(f"{self.path}/postings/{at}")
+        rows.sortWithinPartitions("token", "block").write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).parquet(f"{self.path}/postings/{at}")
         (self.spark.createDataFrame([], "doc_id long") if gone is None else gone).write.mode("overwrite").parquet(f"{self.path}/gone/{at}")
-        fresh = self.spark.read.schema(_ROWS).parquet(f"{self.path}/postings/{at}")
-        words = fresh.where("token <> ''").groupBy("token", "column", "block").agg(F.count("*").alias("n_docs"), F.max(F.size("positions")).alias("most"), F.min("n_tokens").alias("shortest"))
-        words.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.path}/blocks/{at}")
+        size = self.spark.read.schema(books.BLOCK_ROWS).parquet(f"{self.path}/postings/{at}").agg(F.sum("n_docs")).first()[0] or 0
         segments = [*keep, number]
-        sizes = [dict(zip(now.segments, now.sizes, strict=True))[s] for s in keep] + [fresh.count()]
+        sizes = [dict(zip(now.segments, now.sizes, strict=True))[s] for s in keep] + [size]
         has_dead = bool(keep) and (now.has_dead or gone is not None)
         totals = Manifest(number, segments, sizes, 0, 0, has_dead)
         live = self.rows(totals).where("token = ''").agg(F.count("*"), F.sum("n_tokens")).first()  # the narrow rows of documents only
@@ -121,16 +110,12 @@ class Index:
     def replace(self, docs: DataFrame, id_col: str) -> Manifest:
         """Puts documents in, in place of their older versions.  An id comes once; of texts that are null nothing is found."""
         now = self.manifest()
-        blocks = docs.count() // BLOCK_DOCS + 1
         gone = docs.select(F.col(id_col).cast("long").alias("doc_id")) if now.segments else None
-        rows = staged(self._tokenised(docs, id_col, blocks), "postings")  # dealing by ranges reads them twice
-        made = self._commit(now, rows, gone, now.segments)
-        discard(rows)
-        return made
+        return self._commit(now, books.by_block(docs, id_col, self.columns, BLOCK_DOCS), gone, now.segments)
 
     def remove(self, ids: DataFrame, id_col: str) -> Manifest:
         now = self.manifest()
-        return self._commit(now, self.spark.createDataFrame([], _ROWS), ids.select(F.col(id_col).cast("long").alias("doc_id")), now.segments)
+        return self._commit(now, self.spark.createDataFrame([], books.BLOCK_ROWS), ids.select(F.col(id_col).cast("long").alias("doc_id")), now.segments)
 
     def compact(self, at_most: int = 4) -> Manifest:
         """Merges the smallest segments, if there are more than so many; their folders stay until ``clean``."""
@@ -142,15 +127,17 @@ class Index:
         rows = self.rows(now).where(F.col("segment").isin(merged)).drop("segment")
         blocks = sum(n for n, _ in by_size) and rows.where("token = ''").count() // BLOCK_DOCS + 1
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-        return self._commit(now, dealt, None, [s for s in now.segments if s not in merged])
+        rows = staged(books.in_blocks(dealt), "postings")  # dealing by ranges reads them twice
+        made = self._commit(now, rows.repartitionByRange("token", "block"), None, [s for s in now.segments if s not in merged])
+        discard(rows)
+        return made
 
     def clean(self) -> None:
         """Deletes folders of segments that the manifest no longer names; nothing may be reading them."""
         now = self.manifest()
         for s in range(now.segment + 1):
             if s not in now.segments:
-                for name in ("postings", "blocks"):
-                    remove_folder(self.spark, f"{self.path}/{name}/segment={s}")
+                remove_folder(self.spark, f"{self.path}/postings/segment={s}")
 
     # -- search
 
@@ -176,7 +163,7 @@ class Index:
         live = self.rows(now)
         n = self._document_counts(live, words, now)
         idf = [idf_of(F.lit(now.n_docs), F.lit(n[w])) for w in words]
-        blocks = self._bounds(query, words, idf, now)  # from the small table of blocks, so it isn't stored
+        blocks = self._bounds(query, words, idf, now)  # from small columns, so it isn't stored
         first = blocks.orderBy(F.desc("bound"), "segment", "block").limit(max(1, min(k, 64)))  # enough to find k good ones, usually
         seen = self._scored(live, first, query, words, idf, now)
         kth = [r["rank"] for r in best(seen).select("rank").collect()]
@@ -196,7 +183,8 @@ class Index:
         return {w: found.get(w.terms[0], 0) for w in words}
 
     def _blocks(self, now: Manifest) -> DataFrame:
-        return self._table("blocks", now.segments, "token string, column string, block int, n_docs long, most int, shortest int")
+        found = self._table("postings", now.segments, books.BLOCK_ROWS).where("token <> ''")
+        return found.select("token", "column", "block", "n_docs", "most", "shortest", "segment")
 
     def _bounds(self, query: Query, words: list[Phrase], idf: list[Column], now: Manifest) -> DataFrame:
         """segment, block, n_docs and bound: the best negative rank that a document of the block can have, where the block can match."""

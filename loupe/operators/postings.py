@@ -6,8 +6,13 @@ groups; a search by postings touches the query's tokens instead of every documen
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,77 @@ from ..functions.text import let, tokens
 from .match import Near, NearHit, Phrase, Query, holds, idf_of, term_rank
 
 
+#: A row holds a token's documents in one block: their ids, lengths and positions (one after another; ``begins`` says where each document's
+#: begin), and the bounds that ``Index.top`` reads without them.
+BLOCK_ROWS = "token string, column string, block long, n_docs long, most int, shortest int, doc_id array<long>, n_tokens array<int>, begins array<int>, positions array<int>"
+_BLOCK = pa.schema([("token", pa.string()), ("column", pa.string()), ("block", pa.int64()), ("n_docs", pa.int64()), ("most", pa.int32()), ("shortest", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("begins", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+
+
+def _gathered(toks: pa.ListArray, ids: pa.Array, lengths: np.ndarray, column: str, block: int) -> pa.RecordBatch:
+    """One column's rows of a block, by token; toks holds at least one."""
+    counts = toks.value_lengths().to_numpy(zero_copy_only=False)
+    coded = toks.flatten().dictionary_encode()
+    by_token = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(by_token), np.uint16 if len(by_token) < 1 << 16 else np.int64)  # two bytes are sorted by radix
+    rank[by_token.to_numpy()] = np.arange(len(by_token))
+    token = rank[coded.indices.to_numpy()]
+    order = np.argsort(token, kind="stable")  # of a token: by document and place, as they come
+    doc = np.repeat(np.arange(len(ids)), counts)[order]
+    place = (np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts))[order].astype(np.int32)
+    token = token[order]
+    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])  # of a document's hits
+    hits = np.diff(np.r_[first, len(token)])
+    begin = np.flatnonzero(np.r_[True, token[first][1:] != token[first][:-1]])  # of a token's documents
+    docs, places = np.r_[begin, len(first)], np.r_[first[begin], len(token)]
+    held = lengths[doc[first]]
+    inside = first - np.repeat(first[begin], np.diff(docs))
+    lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+    return pa.RecordBatch.from_arrays([
+        coded.dictionary.take(by_token), pa.array([column] * len(begin), pa.string()), pa.array(np.full(len(begin), block), pa.int64()), pa.array(np.diff(docs), pa.int64()),
+        pa.array(np.maximum.reduceat(hits, begin), pa.int32()), pa.array(np.minimum.reduceat(held, begin), pa.int32()),
+        lists(docs, ids.take(pa.array(doc[first]))), lists(docs, pa.array(held, pa.int32())), lists(docs, pa.array(inside, pa.int32())), lists(places, pa.array(place)),
+    ], schema=_BLOCK)
+
+
+def by_block(docs: DataFrame, id_col: str, columns: list[str], block_docs: int) -> DataFrame:
+    """``BLOCK_ROWS`` of documents as they lie, about so many a block; each document is also held under the empty token.  Nothing is shuffled.
+
+    A block's tokens are coded, sorted and cut as arrays, so a posting is neither a row nor a value of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_docs):
+                part = batch.slice(at, block_docs)
+                ids, toks = part.column(0), part.columns[1:]
+                lengths = reduce(lambda a, b: a + b, [t.value_lengths().to_numpy(zero_copy_only=False) for t in toks]).astype(np.int32)
+                own = pa.array([[""]] * len(ids), pa.list_(pa.string()))
+                for column, held in [("", own), *zip(columns, toks, strict=True)]:
+                    if len(held.flatten()):
+                        yield _gathered(held, ids, lengths, column, block)
+                block += 1
+
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(tokens(F.col(c)).alias(f"toks{i}") for i, c in enumerate(columns)))
+    return each.mapInArrow(run, BLOCK_ROWS)
+
+
+def in_blocks(postings: DataFrame) -> DataFrame:
+    """``BLOCK_ROWS`` of postings with ``block`` and ``n_tokens``: one shuffle."""
+    held = postings.groupBy("token", "column", "block").agg(F.collect_list(F.struct("doc_id", "n_tokens", "positions")).alias("d"))
+    most = F.array_max(F.transform("d.positions", F.size))
+    # where each document's positions begin: the sums of the sizes before it
+    sums = F.aggregate("d.positions", F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + F.size(x))))
+    begins = F.slice(sums, 1, F.size("d"))
+    return held.select("token", "column", F.col("block").cast("long").alias("block"), F.size("d").cast("long").alias("n_docs"), most.alias("most"), F.array_min("d.n_tokens").alias("shortest"), "d.doc_id", "d.n_tokens", begins.alias("begins"), F.flatten("d.positions").alias("positions"))
+
+
+def of_blocks(rows: DataFrame, *others: str) -> DataFrame:
+    """token, column, block, other columns, doc_id, n_tokens and positions: ``BLOCK_ROWS`` as postings."""
+    own = F.transform("begins", lambda at, i: F.slice("positions", at + 1, F.coalesce(F.get("begins", i + 1), F.size("positions")) - at))
+    return rows.select("token", "column", "block", *others, F.inline(F.arrays_zip("doc_id", "n_tokens", own.alias("positions"))))
+
+
 def occurrences(toks: Column) -> Column:
     """A document's tokens as an array of (token, positions): sorted and cut within the row, so its tokens needn't be rows to be gathered."""
     placed = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("token"), i.alias("p"))))

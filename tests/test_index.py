@@ -165,3 +165,19 @@ def test_occurrences_within_a_row(spark):
         for p, w in enumerate((t or "").lower().replace("é", "e").split()):
             want.setdefault((w, "text", i), []).append(p)
     assert {(r["token"], r["column"], r["doc_id"]): r["positions"] for r in built.collect()} == want
+
+
+def test_a_block_holds_a_token_in_one_row(spark, tmp_path):
+    """Stored rows are fewer than postings by far, and give the same postings as each document does, before and after a merge."""
+    rows = [*texts(600, 3, ["été"]), (600, None), (601, ""), (602, "alpha " * 3000)]
+    docs = spark.createDataFrame(rows, TEXT).coalesce(1)
+    want = sorted(tuple(r) for r in postings.build(docs, "id", ["content"]).select("token", "column", "doc_id", "positions").collect())
+    kept = index.Index(spark, str(tmp_path / "i"), ["content"])
+    kept.replace(docs, "id")
+    held = lambda: sorted(tuple(r) for r in kept.postings().select("token", "column", "doc_id", "positions").collect())
+    assert held() == want and kept.documents().count() == len(rows)
+    assert spark.read.parquet(str(tmp_path / "i" / "postings" / "segment=0")).count() < len(want) / 20
+    kept.replace(docs.where("id >= 300"), "id")
+    kept.compact(1)
+    assert held() == want and kept.manifest().segments == [2]
+    assert spark.read.parquet(str(tmp_path / "i" / "postings" / "segment=2")).count() < len(want) / 20
