@@ -15,7 +15,8 @@ a tree with a chance of 0.48 at the last level (the branching process's exact va
 Those links only gather candidates: their connected components bring the texts
 together, each once.  There, full sets decide, and every pair of a group is compared that
 shares one of its rarest shingles, as any linked pair must: groups of bounded size are linked
-exactly in one task; a larger group is dealt into blocks that share a hub, and whatever
+exactly in one task; a larger group is first split where no rare shingle is shared, and only a part that
+is still large is dealt into blocks that share a hub, and whatever
 isn't linked to the hub's component is compared with all blocks, so no link is lost to
 a block's bound.  Components of confirmed links are the result.
 
@@ -36,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import flag_ids, join_facts, scratch, stored
+from .shared import discard, flag_ids, join_facts, scratch, stored
 from .textscan import NONSPACE, SMALL_BYTES, Scan, keyed, mix, scans, windows
 
 
@@ -247,6 +248,7 @@ def candidate_edges(reps: DataFrame, *, trees: int = TREES, levels: int = LEVELS
         if level == 1:  # most sets have no company from the start; only the others bring their signatures
             members = members.join(reps.select("rep", "sketch", "tokens"), "rep").withColumn("own", F.expr(f"substring(tokens, tree * {TOKEN_BYTES * TOKENS} + 1, {TOKEN_BYTES * TOKENS})")).withColumn("parent_size", F.lit(None).cast("long"))
         members = stored(members.select("node", "rep", "size", "sketch", "own", "hub", "parent_size"), "tree-nodes")
+        discard(rows)
         leaves.append(members.where(F.col("size") <= small).select("node", "rep", "sketch"))
         large = members.where(F.col("size") > small)
         ended = F.coalesce(F.col("size") > DENSE * F.col("parent_size"), F.lit(False)) if level < levels else F.lit(True)
@@ -342,18 +344,61 @@ def _blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return ready.mapInArrow(_confirm(width, percent), "a long, b long, with_hub boolean")
 
 
-def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: int, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """Labels (a: rep, b: smallest linked rep) of the groups linked in one task, and edges (a, b) of the others.
+def _shared_keys(width: int, percent: int):
+    """Rows (group, rep, text) -> (key, rep, spare): a row a shingle, and how many of its text's most common shingles a linked text may share alone."""
 
-    texts: rep, text.  groups: rep, component (the candidate group) and n_shingles.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, rep = (batch.column(k).to_numpy() for k in range(2))
+            for lo, _, scan in scans(batch.column(2), SMALL_BYTES):
+                grams, texts = shingle_sets(scan, width)
+                if not len(grams):
+                    continue
+                spare = -(-percent * np.bincount(texts, minlength=scan.n) // 100) - 1
+                key = mix(grams ^ mix(group[lo + texts].view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rep[lo + texts]), pa.array(spare[texts])], names=["key", "rep", "spare"])
+
+    return run
+
+
+def split_groups(large: DataFrame, width: int, percent: int) -> DataFrame:
+    """node and component: the texts (group, rep, text) of large groups, connected where two share one of their rarest shingles.
+
+    As in ``_Sets``, any linked pair does, rarity being counted in the whole group. A text without such company isn't linked with any and has no row.
     """
+    rows = stored(large.select("group", "rep", "text").mapInArrow(_shared_keys(width, percent), "key long, rep long, spare long"), "group-keys")
+    n_texts = large.count()
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("held", F.col("n"))
+    common = join_facts(rows, counts, ["key"], "n", n_texts).where("held IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("held"), F.desc("key")))
+    rare = stored(common.withColumn("place", place).where("place > spare").select("key", "rep"), "group-rare-keys")
+    discard(rows)
+    hubs = rare.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return components(join_facts(rare, hubs, ["key"], "n", n_texts).where("hub IS NOT NULL").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+
+
+def _dealt(groups: DataFrame, group_texts: int, group_shingles: int) -> DataFrame:
+    """Each rep's group, its number of texts, its smallest rep and of how many blocks which one is the rep's."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"), F.min("rep").alias("hub"))
     parts = F.greatest(F.ceil(F.col("n") / group_texts), F.ceil(F.col("total") / group_shingles)).cast("int")
     dealt = join_facts(groups, sizes.select("component", parts.alias("parts"), "hub", "n", F.col("n").alias("n_group")), ["component"], "n", groups.count())
     block = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts"))).otherwise(0).cast("int")
-    dealt = stored(dealt.select(F.col("component").alias("group"), "rep", "parts", "hub", "n_group", block.alias("block")), "dealt")
-    rows = stored(flag_ids(texts, "rep", dealt.select("rep")).where("__may").drop("__may").join(dealt, "rep"), "group-texts")
+    return stored(dealt.select(F.col("component").alias("group"), "rep", "n_shingles", "parts", "hub", "n_group", block.alias("block")), "dealt")
+
+
+def confirmed_edges(texts: DataFrame, groups: DataFrame, width: int, percent: int, group_texts: int = GROUP_TEXTS, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Labels (a: rep, b: smallest linked rep) of the groups linked in one task, and edges (a, b) of the others.
+
+    texts: rep, text.  groups: rep, component (the candidate group) and n_shingles.
+    """
+    dealt = _dealt(groups, group_texts, group_shingles)
+    rows = stored(flag_ids(texts, "rep", dealt.select("rep")).where("__may").drop("__may").join(dealt.drop("n_shingles"), "rep"), "group-texts")
     whole, large = rows.where("parts = 1"), rows.where("parts > 1")
+    if not large.isEmpty():
+        sizes = dealt.where("parts > 1").groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
+        again = _dealt(stored(split_groups(large, width, percent).withColumnRenamed("node", "rep").join(sizes, "rep"), "groups"), group_texts, group_shingles)
+        rows = stored(large.select("rep", "text").join(again.drop("n_shingles"), "rep"), "group-texts")
+        whole, large = whole.unionByName(rows.where("parts = 1")), rows.where("parts > 1")
     one_task = _blocks(whole.withColumn("side", F.lit(0)), width, percent).select("a", "b")
     if large.isEmpty():
         return one_task, one_task.limit(0)
@@ -385,6 +430,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     keys = ["h1", "h2", "n_shingles"]
     classes = full.groupBy(*keys).agg(F.min(F.struct("id", "sketch", "tokens")).alias("least"), F.count("*").alias("n"))
     classes = stored(classes.select(*keys, "n", F.col("least.id").alias("rep"), F.col("least.sketch").alias("sketch"), F.col("least.tokens").alias("tokens")), "classes")
+    whole, sketches = sketches, stored(sketches.select("id", "n_shingles", "h1", "h2"), "sizes")  # the representatives' tokens are in the classes
+    discard(whole)
+    full = sketches.where("n_shingles > 0 AND id IS NOT NULL")
     gathered = components(candidate_edges(classes, trees=trees, levels=levels, small=small))
     groups = classes.select("rep", "n_shingles").join(gathered.withColumnRenamed("node", "rep"), "rep")
     labels, edges = confirmed_edges(texts.withColumnRenamed("id", "rep"), groups, width, percent, group_texts, group_shingles)

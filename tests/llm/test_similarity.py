@@ -75,6 +75,27 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == 0
 
 
+def test_large_groups_of_different_texts_are_not_compared_block_by_block(spark, monkeypatch):
+    """Texts that have only a long passage in common are one candidate group; their texts go to few tasks, and no link is lost."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(400):
+        own = [f"w{x}" for x in rng.integers(0, 1 << 40, 60)]
+        if i % 10 == 0 and i:
+            own = rows[i - 1][1].split()[80:]
+            own[7] = "x"
+        rows.append((i, " ".join(passage + own)))
+    texts = spark.createDataFrame(rows, "rep long, text string")
+    groups = texts.select("rep", F.lit(0).cast("long").alias("component"), F.lit(140 - 3).cast("long").alias("n_shingles"))
+    sent, deal = [], near_dup._blocks
+    monkeypatch.setattr(near_dup, "_blocks", lambda rows, *options: sent.append(rows.count()) or deal(rows, *options))
+    labels, edges = near_dup.confirmed_edges(texts, groups, 4, 80, group_texts=8)
+    found = {(r["a"], r["b"]) for r in labels.unionByName(edges).collect() if r["a"] != r["b"]}
+    assert found == {(i, j) for i, _, j, kept in brute_components(rows, 4) if not kept} == {(i, i - 1) for i in range(10, 400, 10)}
+    assert sum(sent) <= 2 * len(rows)
+
+
 def test_near_duplicates_odd_ids(spark):
     long = "a b c d e f g h i j k l m n o p"
     rows = [(5, long), (5, long), (7, long), (None, long), (None, None), (8, "other words that stand alone here now"), (9, "x y z q w e r t"), (9, long)]
