@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import HOT_ROWS, discard, join_facts, stored
 
+#: So many edges at most (16 bytes each) are connected in one task; more of them by steps over all tasks.
+TASK_EDGES = 200_000
+
 
 def _least(edges: DataFrame, to: str) -> DataFrame:
     """The smallest neighbour of each node a, as ``to``, and its number of edges: combined before the shuffle."""
@@ -25,10 +32,30 @@ def _star_step(edges: DataFrame, n: int) -> DataFrame:
     return stored(moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component of all edges (a, b)."""
+    edges = [np.stack([batch.column(k).to_numpy() for k in range(2)]) for batch in batches]
+    if not edges:
+        return
+    nodes, at = np.unique(np.concatenate(edges, 1), return_inverse=True)
+    left, right = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[left] != root[right]).any():
+        x, y = root[left], root[right]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of edges (a, b: long); self-loops and null ends are ignored."""
     oriented = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = stored(oriented, "edges"), None
+    if now.count() <= TASK_EDGES:
+        found = stored(now.coalesce(1).mapInArrow(_connected, "node long, component long"), "components")
+        discard(now)
+        return found
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

@@ -154,6 +154,17 @@ def brute_search(ids, vectors, queries, k):
     return sorted(out)
 
 
+def test_components_in_one_task_and_by_steps(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 4000, (2500, 2))] + [(i, i + 1) for i in range(5000, 5200)] + [(6000 + i, 6000) for i in range(1200)] + [(None, 1), (7, 7)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    found = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(components, "TASK_EDGES", most)
+        found.append(sorted(map(tuple, components.components(table).collect())))
+    assert found[0] == found[1] and len(found[0]) > 3000
+
+
 def test_exact_search(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(6, 8))
